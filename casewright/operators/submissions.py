@@ -155,14 +155,14 @@ def submit_documents(requests: DataFrame, tables: Tables, as_of: dt.datetime) ->
     )
     is_accepted = F.col("code") == "ACCEPTED"
     advances = (F.col("missing_after") == 0) & text_eq(F.col("case_status"), "Open")
-    settled = (
-        judged.join(progress, "case_id", "left")
-        .withColumn("missing_after", F.when(is_accepted, still_missing))
-        .withColumn(
-            "new_status", F.when(is_accepted, F.when(advances, "InReview").otherwise(F.col("case_status")))
-        )
-        .drop("missing_before", "gains")
-        .join(numbered, "first_id", "left")
+    joined = judged.join(progress, "case_id", "left").join(numbered, "first_id", "left")
+    settled = joined.select(
+        *_KEY,
+        "first_id",
+        "case_status",
+        "code",
+        F.when(is_accepted, still_missing).alias("missing_after"),
+        "new_document_id",
     )
 
     message = (
@@ -185,21 +185,27 @@ def submit_documents(requests: DataFrame, tables: Tables, as_of: dt.datetime) ->
         "first_id",
         "case_status",
         F.col("code").alias("_code"),
-        *[F.col(c).alias(f"_{c}") for c in ("missing_after", "new_status", "new_document_id")],
+        "missing_after",
+        "new_document_id",
     )
-    answered = requests.select("request_id", *_KEY)
-    answered = answered.join(fate, _same_key(answered, fate))
+    asked = requests.select("request_id", *_KEY)
     repeated = (F.col("_code") == "ACCEPTED") & (F.col("request_id") != F.col("first_id"))
-    answered = answered.withColumn("code", F.when(repeated, "DUPLICATE").otherwise(F.col("_code")))
-    for name in ("missing_after", "new_status", "new_document_id"):
-        answered = answered.withColumn(name, F.when(is_accepted, F.col(f"_{name}")))
+    answered = asked.join(fate, _same_key(asked, fate)).select(
+        "request_id",
+        *_KEY,
+        "case_status",
+        F.when(repeated, "DUPLICATE").otherwise(F.col("_code")).alias("code"),
+        F.when(~repeated, F.col("missing_after")).alias("missing_after"),
+        F.when(~repeated, F.col("new_document_id")).alias("new_document_id"),
+    )
+    status_after = F.when(advances, "InReview").otherwise(F.col("case_status"))
     verdicts = answered.select(
         "request_id",
         "code",
         message.alias("message"),
         F.coalesce("new_document_id", F.lit(0)).alias("new_document_id"),
         "missing_after",
-        "new_status",
+        F.when(is_accepted, status_after).alias("new_status"),
     )
     new_documents = settled.filter(is_accepted).select(
         F.col("new_document_id").alias("submitted_document_id"),

@@ -64,6 +64,7 @@ class Derived(Mapping[str, DataFrame]):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._built: dict[str, DataFrame] = {}
 
     NAMES = (
         "country",
@@ -85,7 +86,9 @@ class Derived(Mapping[str, DataFrame]):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.NAMES:
             raise KeyError(name)
-        return getattr(self, name)()
+        if name not in self._built:
+            self._built[name] = getattr(self, name)()
+        return self._built[name]
 
     def __iter__(self) -> Iterator[str]:
         return iter(self.NAMES)
