@@ -7,26 +7,20 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.functions.rules import is_reportable
 from casewright.functions.text import text_eq
+from casewright.operators.gaps import reportable_owners
 
 Tables = Mapping[str, DataFrame]
 
 
 def ineligible_ubo_docs(tables: Tables) -> DataFrame:
     """Documents of an owner without a holding of at least 25 % in the case's company."""
-    owners = (
-        tables["ownership"]
-        .filter(is_reportable(F.col("ownership_percentage")))
-        .select("company_id", "ubo_id")
-        .distinct()
-    )
     return (
         tables["submitted_documents"]
         .filter(F.col("ubo_id").isNotNull())
         .select("submitted_document_id", "case_id", "ubo_id")
         .join(tables["onboarding_case"].select("case_id", "company_id"), "case_id", "left")
-        .join(owners, ["company_id", "ubo_id"], "left_anti")
+        .join(reportable_owners(tables), ["company_id", "ubo_id"], "left_anti")
         .select("submitted_document_id", "case_id", "ubo_id")
     )
 

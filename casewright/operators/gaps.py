@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions.dates import not_ended
 from casewright.functions.rules import is_live, is_reportable
+from casewright.functions.shuffles import distinct_apart
 from casewright.functions.text import collated
 
 Tables = Mapping[str, DataFrame]
@@ -110,15 +112,16 @@ def missing_by_level(tables: Tables) -> DataFrame:
     )
 
 
-def missing_ubo_docs(tables: Tables, as_of) -> DataFrame:
+def reportable_owners(tables: Tables, as_of: dt.datetime | None = None) -> DataFrame:
+    """Distinct (company, owner) with a holding of at least 25 %, if asked for one not yet ended."""
+    holding = tables["ownership"].filter(is_reportable(F.col("ownership_percentage")))
+    if as_of is not None:
+        holding = holding.filter(not_ended(F.col("valid_to"), as_of))
+    return distinct_apart(holding, "company_id", "ubo_id")
+
+
+def missing_ubo_docs(tables: Tables, as_of: dt.datetime) -> DataFrame:
     """Personal documents still lacking per case and active reportable owner."""
-    owners = (
-        tables["ownership"]
-        .filter(is_reportable(F.col("ownership_percentage")))
-        .filter(not_ended(F.col("valid_to"), as_of))
-        .select("company_id", "ubo_id")
-        .distinct()
-    )
     rules = (
         tables["required_documents"]
         .filter(F.col("is_mandatory") & F.col("applies_to_ubo"))
@@ -127,7 +130,7 @@ def missing_ubo_docs(tables: Tables, as_of) -> DataFrame:
     return (
         _case_forms(tables["onboarding_case"], tables, "inner")
         .join(rules, "legal_form_id")
-        .join(owners, "company_id")
+        .join(reportable_owners(tables, as_of), "company_id")
         .join(
             _live_types(tables, "ubo_id"),
             ["case_id", "ubo_id", "document_type_id"],

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions.dates import today
 from casewright.functions.rules import DECISIONS, TRANSITIONS, status_label, transition_allowed
+from casewright.functions.shuffles import grouped_apart
 from casewright.functions.text import text_eq, text_in
 from casewright.schema import CASE_STATUSES
 
@@ -80,8 +81,8 @@ def _first_per_target() -> list[Column]:
     ]
 
 
-def _accepted_steps(requests: DataFrame, states: DataFrame) -> DataFrame:
-    """Accepted steps (case_id, request_id, state), found without ordering a case's requests.
+def _accepted_steps(requests: DataFrame, states: DataFrame) -> list[DataFrame]:
+    """The first, second, … accepted step of every case that takes one: (case_id, request_id, state).
 
     The lifecycle has no way back, so a case takes at most ``MAX_STEPS``
     steps, and each step is the earliest later request with an allowed
@@ -91,27 +92,35 @@ def _accepted_steps(requests: DataFrame, states: DataFrame) -> DataFrame:
     asked = requests.select("case_id", "request_id", _number(F.col("new_status")).alias("target")).filter(
         F.col("case_id").isNotNull() & F.col("target").isin([_NUMBER[t] for t in _TARGETS])
     )
+    stacked = asked.unionByName(states.select("case_id", "state"), allowMissingColumns=True)
     step = _next_step(
-        asked.groupBy("case_id").agg(*_first_per_target()).join(states.select("case_id", "state"), "case_id")
+        grouped_apart(stacked, ("case_id",), *_first_per_target(), F.max("state").alias("state"))
     )
     steps = [step]
     for _ in range(MAX_STEPS - 1):
-        # The case travels as a struct from the one-row-per-case side: grouping
-        # by it has its own shuffle after the partial minimum, which leaves the
-        # join free to be split at run time when one case dominates.
         before = step.select(
-            F.col("case_id").alias("of_case"),
-            F.col("request_id").alias("after_request"),
-            F.struct("case_id", "state").alias("case"),
+            F.col("case_id").alias("of_case"), F.col("request_id").alias("after_request"), "state"
         )
         later = asked.join(
             before, (F.col("case_id") == F.col("of_case")) & (F.col("request_id") > F.col("after_request"))
         )
-        step = _next_step(
-            later.groupBy("case").agg(*_first_per_target()).select("case.*", *[f"first_{t}" for t in _TARGETS])
-        )
+        step = _next_step(grouped_apart(later, ("of_case", "state"), *_first_per_target())
+                          .withColumnRenamed("of_case", "case_id"))
         steps.append(step)
-    return reduce(DataFrame.unionByName, steps)
+    return steps
+
+
+def _timeline(requests: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per case its stored state and its steps: request_1, state_1, request_2, …"""
+    states = cases.select("case_id", _number(F.col("case_status")).alias("state"))
+    stacked = states
+    for i, step in enumerate(_accepted_steps(requests, states), 1):
+        numbered = step.select(
+            "case_id", F.col("request_id").alias(f"request_{i}"), F.col("state").alias(f"state_{i}")
+        )
+        stacked = stacked.unionByName(numbered, allowMissingColumns=True)
+    columns = [c for c in stacked.columns if c != "case_id"]
+    return grouped_apart(stacked, ("case_id",), *[F.max(c).alias(c) for c in columns])
 
 
 def status_update_verdicts(requests: DataFrame, cases: DataFrame) -> DataFrame:
@@ -119,27 +128,17 @@ def status_update_verdicts(requests: DataFrame, cases: DataFrame) -> DataFrame:
 
     ``code`` is ACCEPTED, NOT_FOUND or INVALID.
     """
-    return _verdicts(requests, cases).select("request_id", "case_id", "new_status", "code", "message")
-
-
-def _verdicts(requests: DataFrame, cases: DataFrame) -> DataFrame:
-    states = cases.select("case_id", "case_status", _number(F.col("case_status")).alias("state"))
-    path = (
-        _accepted_steps(requests, states)
-        .groupBy("case_id")
-        # at most MAX_STEPS entries
-        .agg(F.sort_array(F.collect_list(F.struct("request_id", "state"))).alias("path"))
+    row = requests.select("request_id", "case_id", "new_status").join(
+        _timeline(requests, cases), "case_id", "left"
     )
-    timeline = states.join(path, "case_id", "left")
-    row = requests.select("request_id", "case_id", "new_status").join(timeline, "case_id", "left")
-    earlier = F.filter(F.col("path"), lambda s: s.request_id < F.col("request_id"))
-    current = F.coalesce(F.try_element_at(earlier, F.lit(-1)).state, F.col("state"))
-    taken = F.exists(F.col("path"), lambda s: s.request_id == F.col("request_id"))
+    current, taken = F.col("state"), F.lit(False)
+    for i in range(1, MAX_STEPS + 1):
+        current = F.when(F.col("request_id") > F.col(f"request_{i}"), F.col(f"state_{i}")).otherwise(current)
+        taken = taken | F.col("request_id").eqNullSafe(F.col(f"request_{i}"))
     code = (
-        F.when(F.col("state").isNull(), "NOT_FOUND")
-        .when(F.coalesce(taken, F.lit(False)), "ACCEPTED")
-        .otherwise("INVALID")
+        F.when(F.col("state").isNull(), "NOT_FOUND").when(taken, "ACCEPTED").otherwise("INVALID")
     )
+    judged = row.select("request_id", "case_id", "new_status", code.alias("code"), current.alias("current"))
     new_label = status_label(F.col("new_status"))
     message = (
         F.when(F.col("code") == "NOT_FOUND", NOT_FOUND)
@@ -163,16 +162,18 @@ def _verdicts(requests: DataFrame, cases: DataFrame) -> DataFrame:
             )
         )
     )
-    return row.withColumn("code", code).withColumn("current", current).withColumn("message", message)
+    return judged.select("request_id", "case_id", "new_status", "code", message.alias("message"))
 
 
 def status_changes(requests: DataFrame, cases: DataFrame) -> DataFrame:
     """The accepted requests as changes: (request_id, case_id, old_status, new_status)."""
     # a window over at most MAX_STEPS accepted rows per case
     by_case = Window.partitionBy("case_id").orderBy("request_id")
+    stored = cases.select("case_id", "case_status")
     return (
-        _verdicts(requests, cases)
+        status_update_verdicts(requests, cases)
         .filter(F.col("code") == "ACCEPTED")
+        .join(stored, "case_id")
         .select(
             "request_id",
             "case_id",
@@ -216,9 +217,10 @@ def decisions(changes: DataFrame, order: str | None = None) -> DataFrame:
 
 def propagate_to_documents(documents: DataFrame, decided: DataFrame, as_of: dt.datetime) -> DataFrame:
     """``documents`` after the decisions: pending ones become Verified or Rejected as of today."""
-    outcome = decided.select("case_id", F.col("new_status").alias("_decision"))
-    hit = F.col("_decision").isNotNull() & text_eq(F.col("document_status"), "Pending")
-    outcome_status = F.when(text_eq(F.col("_decision"), "Approved"), "Verified").otherwise("Rejected")
+    approved = text_eq(F.col("new_status"), "Approved")
+    outcome = grouped_apart(decided, ("case_id",), F.max(approved).alias("_approved"))
+    hit = F.col("_approved").isNotNull() & text_eq(F.col("document_status"), "Pending")
+    outcome_status = F.when(F.col("_approved"), "Verified").otherwise("Rejected")
     changed = {
         "document_status": F.when(hit, outcome_status).otherwise(F.col("document_status")),
         "verification_date": F.when(hit, today(as_of)).otherwise(F.col("verification_date")),

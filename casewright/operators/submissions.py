@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from casewright.functions.dates import today
 from casewright.functions.ids import id_slices, with_dense_ids
-from casewright.functions.rules import ACCEPTS_DOCUMENTS, is_live, is_reportable, status_label
+from casewright.functions.rules import ACCEPTS_DOCUMENTS, is_live, status_label
+from casewright.functions.shuffles import grouped_apart
 from casewright.functions.text import text_eq, text_in
-from casewright.operators.gaps import requirement_state
+from casewright.operators.gaps import reportable_owners, requirement_state
 
 Tables = Mapping[str, DataFrame]
 
@@ -75,13 +76,7 @@ def _judged(requests: DataFrame, tables: Tables) -> DataFrame:
         .distinct()
         .withColumn("on_file", F.lit(True))
     )
-    owners = (
-        tables["ownership"]
-        .filter(is_reportable(F.col("ownership_percentage")))
-        .select("company_id", "ubo_id")
-        .distinct()
-        .withColumn("eligible", F.lit(True))
-    )
+    owners = reportable_owners(tables).withColumn("eligible", F.lit(True))
     judged = keys.join(cases, "case_id", "left").join(types, "document_type_id", "left")
     judged = judged.join(live, _same_key(judged, live), "left").drop(*[f"_{c}" for c in _KEY])
     judged = judged.join(owners, ["company_id", "ubo_id"], "left")
@@ -114,15 +109,12 @@ def _case_progress(accepted: DataFrame, requests: DataFrame, tables: Tables) ->
         .select("case_id", "document_type_id", "need")
     )
     first = accepted.groupBy("case_id", "document_type_id").agg(F.min("first_id").alias("filled_by"))
-    return (
-        missing.join(first, ["case_id", "document_type_id"], "left")
-        .groupBy("case_id")
-        .agg(
-            F.sum("need").alias("missing_before"),
-            F.collect_list(
-                F.when(F.col("filled_by").isNotNull(), F.struct("filled_by", "need"))
-            ).alias("gains"),
-        )
+    gain = F.when(F.col("filled_by").isNotNull(), F.struct("filled_by", "need"))
+    return grouped_apart(
+        missing.join(first, ["case_id", "document_type_id"], "left"),
+        ("case_id",),
+        F.sum("need").alias("missing_before"),
+        F.collect_list(gain).alias("gains"),
     )
 
 
