@@ -49,9 +49,18 @@ def _number(status: Column) -> Column:
     return out.otherwise(0)
 
 
-def _label_of(number: Column) -> Column:
+def state_name(number: Column) -> Column:
+    """The status that a state number stands for, NULL for an unknown one."""
     names = F.array(*[F.lit(s) for s in CASE_STATUSES])
-    return status_label(F.when(number > 0, F.element_at(names, F.greatest(number, F.lit(1)))))
+    return F.when(number > 0, F.element_at(names, F.greatest(number, F.lit(1))))
+
+
+def standard_spelling(status: Column) -> Column:
+    return state_name(_number(status))
+
+
+def state_label(number: Column) -> Column:
+    return status_label(state_name(number))
 
 
 def _next_step(firsts: DataFrame) -> DataFrame:
@@ -104,14 +113,14 @@ def _accepted_steps(requests: DataFrame, states: DataFrame) -> list[DataFrame]:
         later = asked.join(
             before, (F.col("case_id") == F.col("of_case")) & (F.col("request_id") > F.col("after_request"))
         )
-        step = _next_step(grouped_apart(later, ("of_case", "state"), *_first_per_target())
-                          .withColumnRenamed("of_case", "case_id"))
+        firsts = grouped_apart(later, ("of_case", "state"), *_first_per_target())
+        step = _next_step(firsts.withColumnRenamed("of_case", "case_id"))
         steps.append(step)
     return steps
 
 
-def _timeline(requests: DataFrame, cases: DataFrame) -> DataFrame:
-    """Per case its stored state and its steps: request_1, state_1, request_2, …"""
+def status_timeline(requests: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per case its stored state and its steps: case_id, state, request_1, state_1, request_2, …"""
     states = cases.select("case_id", _number(F.col("case_status")).alias("state"))
     stacked = states
     for i, step in enumerate(_accepted_steps(requests, states), 1):
@@ -123,22 +132,66 @@ def _timeline(requests: DataFrame, cases: DataFrame) -> DataFrame:
     return grouped_apart(stacked, ("case_id",), *[F.max(c).alias(c) for c in columns])
 
 
+def state_before(request_id: Column) -> Column:
+    """The state number that a request meets, from the columns of a timeline."""
+    current = F.col("state")
+    for i in range(1, MAX_STEPS + 1):
+        current = F.when(request_id > F.col(f"request_{i}"), F.col(f"state_{i}")).otherwise(current)
+    return current
+
+
+def is_step(request_id: Column) -> Column:
+    """Whether a request is one of the accepted steps of a timeline."""
+    taken = F.lit(False)
+    for i in range(1, MAX_STEPS + 1):
+        taken = taken | request_id.eqNullSafe(F.col(f"request_{i}"))
+    return taken
+
+
+def steps_of(timeline: DataFrame) -> DataFrame:
+    """The steps of a timeline as changes: (request_id, case_id, old_status, new_status)."""
+    steps, before = [], F.col("state")
+    for i in range(1, MAX_STEPS + 1):
+        after = F.col(f"state_{i}")
+        steps.append(
+            F.struct(
+                F.col(f"request_{i}").alias("request_id"),
+                state_name(before).alias("old_status"),
+                state_name(after).alias("new_status"),
+            )
+        )
+        before = after
+    return (
+        timeline.select("case_id", F.explode(F.array(*steps)).alias("step"))
+        .filter(F.col("step.request_id").isNotNull())
+        .select("step.request_id", "case_id", "step.old_status", "step.new_status")
+    )
+
+
+def state_in(state: Column, statuses: tuple[str, ...]) -> Column:
+    return state.isin([_NUMBER[s] for s in statuses])
+
+
 def status_update_verdicts(requests: DataFrame, cases: DataFrame) -> DataFrame:
     """Every status request with its outcome, as if handled one after the other by request_id.
 
     ``code`` is ACCEPTED, NOT_FOUND or INVALID.
     """
-    row = requests.select("request_id", "case_id", "new_status").join(
-        _timeline(requests, cases), "case_id", "left"
-    )
-    current, taken = F.col("state"), F.lit(False)
-    for i in range(1, MAX_STEPS + 1):
-        current = F.when(F.col("request_id") > F.col(f"request_{i}"), F.col(f"state_{i}")).otherwise(current)
-        taken = taken | F.col("request_id").eqNullSafe(F.col(f"request_{i}"))
+    return judge_status_requests(requests, status_timeline(requests, cases))
+
+
+def judge_status_requests(requests: DataFrame, timeline: DataFrame) -> DataFrame:
+    """The verdicts of status requests, given the steps that their cases take."""
+    row = requests.select("request_id", "case_id", "new_status").join(timeline, "case_id", "left")
+    request_id = F.col("request_id")
     code = (
-        F.when(F.col("state").isNull(), "NOT_FOUND").when(taken, "ACCEPTED").otherwise("INVALID")
+        F.when(F.col("state").isNull(), "NOT_FOUND")
+        .when(is_step(request_id), "ACCEPTED")
+        .otherwise("INVALID")
+    )
+    judged = row.select(
+        "request_id", "case_id", "new_status", code.alias("code"), state_before(request_id).alias("current")
     )
-    judged = row.select("request_id", "case_id", "new_status", code.alias("code"), current.alias("current"))
     new_label = status_label(F.col("new_status"))
     message = (
         F.when(F.col("code") == "NOT_FOUND", NOT_FOUND)
@@ -155,7 +208,7 @@ def status_update_verdicts(requests: DataFrame, cases: DataFrame) -> DataFrame:
         .otherwise(
             F.concat(
                 F.lit(INVALID[0]),
-                _label_of(F.col("current")),
+                state_label(F.col("current")),
                 F.lit(INVALID[1]),
                 new_label,
                 F.lit(INVALID[2]),
@@ -167,13 +220,16 @@ def status_update_verdicts(requests: DataFrame, cases: DataFrame) -> DataFrame:
 
 def status_changes(requests: DataFrame, cases: DataFrame) -> DataFrame:
     """The accepted requests as changes: (request_id, case_id, old_status, new_status)."""
+    return changes_of(status_update_verdicts(requests, cases), cases)
+
+
+def changes_of(verdicts: DataFrame, cases: DataFrame) -> DataFrame:
+    """The changes that accepted ``verdicts`` make, each with the status it replaces."""
     # a window over at most MAX_STEPS accepted rows per case
     by_case = Window.partitionBy("case_id").orderBy("request_id")
-    stored = cases.select("case_id", "case_status")
     return (
-        status_update_verdicts(requests, cases)
-        .filter(F.col("code") == "ACCEPTED")
-        .join(stored, "case_id")
+        verdicts.filter(F.col("code") == "ACCEPTED")
+        .join(cases.select("case_id", "case_status"), "case_id")
         .select(
             "request_id",
             "case_id",

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.dates import today
@@ -15,6 +15,7 @@ from casewright.functions.rules import ACCEPTS_DOCUMENTS, is_live, status_label
 from casewright.functions.shuffles import grouped_apart
 from casewright.functions.text import text_eq, text_in
 from casewright.operators.gaps import reportable_owners, requirement_state
+from casewright.sources.snapshots import stored
 
 Tables = Mapping[str, DataFrame]
 
@@ -118,88 +119,74 @@ def _case_progress(accepted: DataFrame, requests: DataFrame, tables: Tables) ->
     )
 
 
-def submit_documents(requests: DataFrame, tables: Tables, as_of: dt.datetime) -> Submission:
-    """Handle ``requests`` (request_id, case_id, document_type_id, ubo_id) in request_id order.
-
-    The outcome equals handling them one at a time: a case stays open for
-    submissions throughout the batch, so requests influence each other only
-    as duplicates and through the count of missing documents.
-    """
+def settle(requests: DataFrame, tables: Tables) -> DataFrame:
+    """The judged keys, the accepted ones with what is missing once they are on file."""
     judged = _judged(requests, tables)
-    accepted = judged.filter(F.col("code") == "ACCEPTED")
-    progress = _case_progress(accepted, requests, tables)
-
+    progress = _case_progress(judged.filter(F.col("code") == "ACCEPTED"), requests, tables)
     gained = F.aggregate(
         F.filter(F.col("gains"), lambda g: g.filled_by <= F.col("first_id")),
         F.lit(0).cast("bigint"),
         lambda acc, g: acc + g.need,
     )
     still_missing = F.coalesce(F.col("missing_before") - gained, F.lit(0).cast("bigint"))
-    highest = tables["submitted_documents"].agg(
-        F.coalesce(F.max("submitted_document_id"), F.lit(0)).alias("highest")
-    )
-    numbered = with_dense_ids(
-        accepted.select("first_id"),
-        "first_id",
-        "new_document_id",
-        highest.scalar(),
-        id_slices(requests, "request_id"),
-    )
-    is_accepted = F.col("code") == "ACCEPTED"
-    advances = (F.col("missing_after") == 0) & text_eq(F.col("case_status"), "Open")
-    joined = judged.join(progress, "case_id", "left").join(numbered, "first_id", "left")
-    settled = joined.select(
+    return judged.join(progress, "case_id", "left").select(
         *_KEY,
         "first_id",
         "case_status",
         "code",
-        F.when(is_accepted, still_missing).alias("missing_after"),
-        "new_document_id",
+        F.when(F.col("code") == "ACCEPTED", still_missing).alias("missing_after"),
     )
 
-    message = (
-        F.when(F.col("code") == "CASE_NOT_FOUND", _around(CASE_NOT_FOUND, F.col("case_id").cast("string")))
-        .when(F.col("code") == "CASE_STATUS", _around(CASE_STATUS, status_label(F.col("case_status"))))
-        .when(
-            F.col("code") == "TYPE_NOT_FOUND",
-            _around(TYPE_NOT_FOUND, F.col("document_type_id").cast("string")),
-        )
-        .when(F.col("code") == "DUPLICATE", DUPLICATE)
-        .when(
-            F.col("code") == "UBO_NOT_REPORTABLE",
-            _around(UBO_NOT_REPORTABLE, F.col("ubo_id").cast("string")),
-        )
-        .when(F.col("missing_after") == 0, COMPLETE)
-        .otherwise(_around(STILL_MISSING, F.col("missing_after").cast("string")))
+
+def with_document_ids(settled: DataFrame, requests: DataFrame, tables: Tables) -> DataFrame:
+    """``settled`` with the next free document ids on its accepted keys, in request order."""
+    highest = tables["submitted_documents"].agg(
+        F.coalesce(F.max("submitted_document_id"), F.lit(0)).alias("highest")
     )
-    fate = settled.select(
-        *[F.col(c).alias(f"_{c}") for c in _KEY],
+    numbered = with_dense_ids(
+        settled.filter(F.col("code") == "ACCEPTED").select("first_id"),
         "first_id",
-        "case_status",
-        F.col("code").alias("_code"),
-        "missing_after",
         "new_document_id",
+        highest.scalar(),
+        id_slices(requests, "request_id"),
     )
+    return settled.join(numbered, "first_id", "left")
+
+
+def answer(requests: DataFrame, fate: DataFrame) -> DataFrame:
+    """Every request next to the fate of its key; copies of an accepted request are duplicates."""
     asked = requests.select("request_id", *_KEY)
+    fate = fate.withColumnsRenamed({c: f"_{c}" for c in (*_KEY, "code", "missing_after", "new_document_id")})
+    joined = asked.join(fate, _same_key(asked, fate))
     repeated = (F.col("_code") == "ACCEPTED") & (F.col("request_id") != F.col("first_id"))
-    answered = asked.join(fate, _same_key(asked, fate)).select(
+    others = [c for c in fate.columns if not c.startswith("_") and c != "first_id"]
+    return joined.select(
         "request_id",
         *_KEY,
-        "case_status",
+        *others,
         F.when(repeated, "DUPLICATE").otherwise(F.col("_code")).alias("code"),
-        F.when(~repeated, F.col("missing_after")).alias("missing_after"),
-        F.when(~repeated, F.col("new_document_id")).alias("new_document_id"),
+        F.when(~repeated, F.col("_missing_after")).alias("missing_after"),
+        F.when(~repeated, F.col("_new_document_id")).alias("new_document_id"),
     )
-    status_after = F.when(advances, "InReview").otherwise(F.col("case_status"))
-    verdicts = answered.select(
-        "request_id",
-        "code",
-        message.alias("message"),
-        F.coalesce("new_document_id", F.lit(0)).alias("new_document_id"),
-        "missing_after",
-        F.when(is_accepted, status_after).alias("new_status"),
+
+
+def message(status: Column) -> Column:
+    """The text for a verdict; ``status`` is the label of the case status that a request met."""
+    code = F.col("code")
+    return (
+        F.when(code == "CASE_NOT_FOUND", _around(CASE_NOT_FOUND, F.col("case_id").cast("string")))
+        .when(code == "CASE_STATUS", _around(CASE_STATUS, status))
+        .when(code == "TYPE_NOT_FOUND", _around(TYPE_NOT_FOUND, F.col("document_type_id").cast("string")))
+        .when(code == "DUPLICATE", DUPLICATE)
+        .when(code == "UBO_NOT_REPORTABLE", _around(UBO_NOT_REPORTABLE, F.col("ubo_id").cast("string")))
+        .when(F.col("missing_after") == 0, COMPLETE)
+        .otherwise(_around(STILL_MISSING, F.col("missing_after").cast("string")))
     )
-    new_documents = settled.filter(is_accepted).select(
+
+
+def documents_of(settled: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The rows that accepted keys add to the submitted documents."""
+    return settled.filter(F.col("code") == "ACCEPTED").select(
         F.col("new_document_id").alias("submitted_document_id"),
         "case_id",
         "ubo_id",
@@ -208,13 +195,36 @@ def submit_documents(requests: DataFrame, tables: Tables, as_of: dt.datetime) ->
         F.lit("Pending").alias("document_status"),
         F.lit(None).cast("date").alias("verification_date"),
     )
+
+
+def submit_documents(requests: DataFrame, tables: Tables, as_of: dt.datetime) -> Submission:
+    """Handle ``requests`` (request_id, case_id, document_type_id, ubo_id) in request_id order.
+
+    The outcome equals handling them one at a time: a case stays open for
+    submissions throughout the batch, so requests influence each other only
+    as duplicates and through the count of missing documents.
+    """
+    # all three results build on the settled keys
+    settled = stored(settle(requests, tables), "settled-submissions")
+    settled = with_document_ids(settled, requests, tables)
+    accepted = F.col("code") == "ACCEPTED"
+    advances = (F.col("missing_after") == 0) & text_eq(F.col("case_status"), "Open")
+    status_after = F.when(advances, "InReview").otherwise(F.col("case_status"))
+    verdicts = answer(requests, settled).select(
+        "request_id",
+        "code",
+        message(status_label(F.col("case_status"))).alias("message"),
+        F.coalesce("new_document_id", F.lit(0)).alias("new_document_id"),
+        "missing_after",
+        F.when(accepted, status_after).alias("new_status"),
+    )
     case_updates = (
-        settled.filter(is_accepted & advances)
+        settled.filter(accepted & advances)
         .select("case_id", F.col("case_status").alias("old_status"), F.lit("InReview").alias("new_status"))
         .distinct()
     )
-    return Submission(verdicts, new_documents, case_updates)
+    return Submission(verdicts, documents_of(settled, as_of), case_updates)
 
 
-def _around(parts: tuple[str, str], value):
+def _around(parts: tuple[str, str], value: Column) -> Column:
     return F.concat(F.lit(parts[0]), value, F.lit(parts[1]))

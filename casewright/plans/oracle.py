@@ -44,6 +44,11 @@ def _allowed(old: str, new: str) -> str:
     return f"coalesce({steps}, FALSE)"
 
 
+def _spelling(x: str) -> str:
+    whens = " ".join(f"WHEN {_quote(k.lower())} THEN {_quote(k)}" for k in rules.STATUS_LABELS)
+    return f"(CASE {_fold(x)} {whens} END)"
+
+
 PROP = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 
 DOMAIN = {
@@ -244,6 +249,80 @@ DOMAIN = {
         LEFT JOIN (SELECT case_id, document_type_id, count(*) AS need FROM missing_rows
                    GROUP BY case_id, document_type_id) n
           ON n.case_id = t.case_id AND n.document_type_id = t.document_type_id""",
+    # The interleaved feed, one request of each case after the other; a case
+    # carries its status and the lists of live documents and live types.
+    "workflow_requests": """
+        SELECT request_id * 2 AS request_id, 'submit' AS kind, case_id, document_type_id, ubo_id,
+               CAST(NULL AS VARCHAR) AS new_status FROM submit_requests
+        UNION ALL
+        SELECT request_id * 2 + 1, 'status', case_id, NULL, NULL, new_status FROM status_requests""",
+    "feed": """
+        SELECT r.*, c.case_status, c.company_id,
+               CASE WHEN r.ubo_id IS NULL THEN TRUE ELSE EXISTS (
+                   SELECT 1 FROM ownership o WHERE o.company_id = c.company_id AND o.ubo_id = r.ubo_id
+                                               AND o.ownership_percentage >= 25) END AS eligible,
+               EXISTS (SELECT 1 FROM document_type t
+                       WHERE t.document_type_id = r.document_type_id) AS known_type,
+               CAST(r.document_type_id AS VARCHAR) || ':' || coalesce(CAST(r.ubo_id AS VARCHAR), '')
+                   AS doc_key,
+               row_number() OVER (PARTITION BY r.case_id ORDER BY r.request_id) AS turn_no
+        FROM workflow_requests r JOIN onboarding_case c ON c.case_id = r.case_id""",
+    "case_start": """
+        SELECT oc.case_id, oc.case_status,
+               coalesce(d.live_keys, []) AS live_keys, coalesce(d.live_types, []) AS live_types,
+               coalesce(q.wanted, []) AS wanted
+        FROM onboarding_case oc
+        LEFT JOIN (SELECT case_id, list(CAST(document_type_id AS VARCHAR) || ':'
+                                        || coalesce(CAST(ubo_id AS VARCHAR), '')) AS live_keys,
+                          list(document_type_id) AS live_types
+                   FROM live_docs GROUP BY case_id) d ON d.case_id = oc.case_id
+        LEFT JOIN (SELECT c.company_id, list(rd.document_type_id) AS wanted
+                   FROM company c JOIN required_documents rd ON rd.legal_form_id = c.legal_form_id
+                   WHERE rd.is_mandatory AND NOT rd.applies_to_ubo
+                   GROUP BY c.company_id) q ON q.company_id = oc.company_id""",
+    "acted": f"""
+        SELECT case_id, CAST(0 AS BIGINT) AS turn_no, CAST(NULL AS BIGINT) AS request_id,
+               CAST(NULL AS VARCHAR) AS code, CAST(NULL AS BIGINT) AS missing_after,
+               CAST(NULL AS VARCHAR) AS met, case_status AS now, live_keys, live_types, wanted
+        FROM case_start WHERE case_id IN (SELECT case_id FROM feed)
+        UNION ALL
+        SELECT case_id, turn_no, request_id, code, missing_after, met,
+               CASE WHEN kind = 'status' AND code = 'ACCEPTED' THEN {_spelling('new_status')}
+                    WHEN kind = 'submit' AND missing_after = 0 AND {_fold('met')} = 'open' THEN 'InReview'
+                    ELSE met END,
+               live_keys, live_types, wanted
+        FROM (SELECT *, CASE WHEN kind = 'submit' AND code = 'ACCEPTED' THEN
+                             len(list_filter(wanted, lambda x: NOT list_contains(live_types, x)))
+                        END AS missing_after
+              FROM (SELECT * EXCLUDE (live_keys, live_types),
+                           CASE WHEN kind = 'submit' AND code = 'ACCEPTED'
+                                THEN list_append(live_keys, doc_key) ELSE live_keys END AS live_keys,
+                           CASE WHEN kind = 'submit' AND code = 'ACCEPTED'
+                                THEN list_append(live_types, document_type_id) ELSE live_types
+                           END AS live_types
+                    FROM (SELECT f.case_id, f.turn_no, f.request_id, f.kind, f.new_status, f.doc_key,
+                                 f.document_type_id, a.now AS met, a.live_keys, a.live_types, a.wanted,
+                                 CASE WHEN f.kind = 'status' THEN
+                                           CASE WHEN {_allowed('a.now', 'f.new_status')}
+                                                THEN 'ACCEPTED' ELSE 'INVALID' END
+                                      WHEN {_fold('a.now')} NOT IN ('open', 'inreview') THEN 'CASE_STATUS'
+                                      WHEN NOT f.known_type THEN 'TYPE_NOT_FOUND'
+                                      WHEN list_contains(a.live_keys, f.doc_key) THEN 'DUPLICATE'
+                                      WHEN NOT f.eligible THEN 'UBO_NOT_REPORTABLE'
+                                      ELSE 'ACCEPTED' END AS code
+                          FROM acted a JOIN feed f
+                            ON f.case_id = a.case_id AND f.turn_no = a.turn_no + 1)))""",
+    "acted_rows": "SELECT * FROM acted WHERE turn_no > 0",
+    "handled": """
+        SELECT r.request_id, r.kind, r.case_id, r.document_type_id, r.ubo_id, r.new_status AS asked_status,
+               coalesce(a.code, CASE r.kind WHEN 'submit' THEN 'CASE_NOT_FOUND' ELSE 'NOT_FOUND' END)
+                   AS code,
+               a.missing_after, a.met, a.now,
+               CASE WHEN r.kind = 'submit' AND a.code = 'ACCEPTED' THEN
+                    (SELECT max(submitted_document_id) FROM submitted_documents)
+                    + sum(CASE WHEN r.kind = 'submit' AND a.code = 'ACCEPTED' THEN 1 ELSE 0 END)
+                        OVER (ORDER BY r.request_id) END AS new_document_id
+        FROM workflow_requests r LEFT JOIN acted_rows a ON a.request_id = r.request_id""",
     "live_docs": f"""
         SELECT DISTINCT case_id, document_type_id, ubo_id FROM submitted_documents
         WHERE {_fold('document_status')} <> 'rejected'""",
@@ -269,6 +348,12 @@ NEEDS = {
     "taken": ("ranked", "submitted_documents"),
     "progressed": ("taken", "missing", "missing_rows"),
     "live_docs": ("submitted_documents",),
+    "workflow_requests": ("submit_requests", "status_requests"),
+    "feed": ("workflow_requests", "onboarding_case", "ownership", "document_type"),
+    "case_start": ("onboarding_case", "live_docs", "company", "required_documents"),
+    "acted": ("case_start", "feed"),
+    "acted_rows": ("acted",),
+    "handled": ("workflow_requests", "acted_rows", "submitted_documents"),
 }
 
 
@@ -525,6 +610,54 @@ ORACLE: dict[str, str] = {
     ),
     "status_change_documents": _sql("SELECT * EXCLUDE (changed) FROM documents_after", "documents_after"),
     "status_change_audit_checks": _sql("SELECT * FROM audit_rows", "audit_rows"),
+    "workflow_verdicts": _sql(
+        f"""SELECT request_id, kind, case_id, code,
+                   CASE WHEN kind = 'status' AND code = 'NOT_FOUND' THEN {_quote(lifecycle.NOT_FOUND)}
+                        WHEN kind = 'status' AND code = 'ACCEPTED'
+                             THEN {_wrap(lifecycle.UPDATED, _text('case_id'), _label('asked_status'))}
+                        WHEN kind = 'status'
+                             THEN {_wrap(lifecycle.INVALID, _label('met'), _label('asked_status'))}
+                        WHEN code = 'CASE_NOT_FOUND'
+                             THEN {_wrap(submissions.CASE_NOT_FOUND, _text('case_id'))}
+                        WHEN code = 'CASE_STATUS' THEN {_wrap(submissions.CASE_STATUS, _label('met'))}
+                        WHEN code = 'TYPE_NOT_FOUND'
+                             THEN {_wrap(submissions.TYPE_NOT_FOUND, _text('document_type_id'))}
+                        WHEN code = 'DUPLICATE' THEN {_quote(submissions.DUPLICATE)}
+                        WHEN code = 'UBO_NOT_REPORTABLE'
+                             THEN {_wrap(submissions.UBO_NOT_REPORTABLE, _text('ubo_id'))}
+                        WHEN missing_after = 0 THEN {COMPLETE_MESSAGE}
+                        ELSE {_wrap(submissions.STILL_MISSING, _text('missing_after'))} END AS message,
+                   CAST(coalesce(new_document_id, 0) AS BIGINT) AS new_document_id, missing_after,
+                   CASE WHEN code = 'ACCEPTED' THEN now END AS new_status
+            FROM handled""",
+        "handled",
+    ),
+    "workflow_cases": _sql(
+        """SELECT oc.case_id, oc.company_id, oc.case_open_date,
+                  coalesce(l.now, oc.case_status) AS case_status
+           FROM onboarding_case oc
+           LEFT JOIN (SELECT case_id, arg_max(now, turn_no) AS now FROM acted GROUP BY case_id) l
+             ON l.case_id = oc.case_id""",
+        "onboarding_case",
+        "acted",
+    ),
+    "workflow_documents": _sql(
+        f"""SELECT d.submitted_document_id, d.case_id, d.ubo_id, d.document_type_id, d.submission_date,
+                   CASE WHEN {_fold('d.document_status')} <> 'pending' OR e.now IS NULL THEN d.document_status
+                        WHEN e.now = 'Approved' THEN 'Verified' ELSE 'Rejected' END AS document_status,
+                   CASE WHEN {_fold('d.document_status')} = 'pending' AND e.now IS NOT NULL
+                        THEN {AS_OF_DAY} ELSE d.verification_date END AS verification_date
+            FROM (SELECT * FROM submitted_documents
+                  UNION ALL
+                  SELECT CAST(new_document_id AS BIGINT), case_id, ubo_id, document_type_id, {AS_OF_DAY},
+                         'Pending', CAST(NULL AS DATE)
+                  FROM handled WHERE new_document_id IS NOT NULL) d
+            LEFT JOIN (SELECT case_id, now FROM handled
+                       WHERE kind = 'status' AND code = 'ACCEPTED' AND now IN ('Approved', 'Rejected')) e
+              ON e.case_id = d.case_id""",
+        "submitted_documents",
+        "handled",
+    ),
     "audit_illegal_transitions": _sql(
         f"""SELECT r.request_id, r.case_id, oc.case_status AS old_status, r.new_status
             FROM status_requests r JOIN onboarding_case oc ON oc.case_id = r.case_id

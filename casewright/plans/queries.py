@@ -21,6 +21,7 @@ from casewright.operators import (
     review,
     roster,
     submissions,
+    workflow,
 )
 from casewright.schema import TABLES
 from casewright.sources.derived import Derived
@@ -185,6 +186,25 @@ def status_change_audit_checks(t: Derived) -> DataFrame:
     )
 
 
+def _outcome(t: Derived) -> workflow.Outcome:
+    return workflow.run_requests(t["workflow_requests"], t, AS_OF)
+
+
+@_query
+def workflow_verdicts(t: Derived) -> DataFrame:
+    return _outcome(t).verdicts
+
+
+@_query
+def workflow_cases(t: Derived) -> DataFrame:
+    return workflow.tables_after(t, _outcome(t), AS_OF)["onboarding_case"]
+
+
+@_query
+def workflow_documents(t: Derived) -> DataFrame:
+    return workflow.tables_after(t, _outcome(t), AS_OF)["submitted_documents"]
+
+
 @_query
 def audit_illegal_transitions(t: Derived) -> DataFrame:
     """The status requests read as direct updates of the stored status."""

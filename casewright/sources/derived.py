@@ -60,7 +60,7 @@ def _text(col: Column) -> Column:
 
 
 class Derived(Mapping[str, DataFrame]):
-    """The twelve tables plus the two request feeds, each built when asked for."""
+    """The twelve tables plus the request feeds, each built when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -81,6 +81,7 @@ class Derived(Mapping[str, DataFrame]):
         "external_verification_check",
         "submit_requests",
         "status_requests",
+        "workflow_requests",
     )
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -290,6 +291,23 @@ class Derived(Mapping[str, DataFrame]):
             F.when(_prop() > 0, target).alias("new_status"),
         )
 
+    def workflow_requests(self) -> DataFrame:
+        """Every event submits a document, and right after that asks for a status."""
+        submit = self["submit_requests"].select(
+            (F.col("request_id") * 2).alias("request_id"),
+            F.lit("submit").alias("kind"),
+            "case_id",
+            "document_type_id",
+            "ubo_id",
+        )
+        status = self["status_requests"].select(
+            (F.col("request_id") * 2 + 1).alias("request_id"),
+            F.lit("status").alias("kind"),
+            "case_id",
+            "new_status",
+        )
+        return submit.unionByName(status, allowMissingColumns=True)
+
 
 def _prop() -> Column:
     """The number inside the small JSON text of an event, 0 to 99."""

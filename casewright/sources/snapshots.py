@@ -27,6 +27,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For a result that several later steps build on: its plan is not repeated
+    inside theirs, and a lost executor costs a re-read only.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def snapshot_path(base: str, as_of: dt.datetime) -> str:
     return f"{base}_{as_of:%Y%m%d}"
 
