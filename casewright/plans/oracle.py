@@ -829,4 +829,5 @@ ORACLE: dict[str, str] = {
         "documents_after",
     ),
 }
+ORACLE["stream_workflow_verdicts"] = ORACLE["workflow_verdicts"]
 ORACLE["cases_by_jurisdiction"] = ORACLE["onboarding_overview"]

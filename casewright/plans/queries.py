@@ -27,7 +27,7 @@ from casewright.schema import TABLES
 from casewright.sources.derived import Derived
 from casewright.sources.snapshots import restore, shared_dir, snapshot, snapshot_path
 from casewright.sources.tables import lookup, row_counts, with_defaults
-from casewright.streaming.status_changes import CHANGE_SCHEMA, follow_status_changes, read_output
+from casewright.streaming import request_feed, status_changes as change_stream
 
 AS_OF = dt.datetime(1998, 6, 1, 12, 0, 0)
 OWNERSHIP_DAY = dt.date(1997, 1, 1)
@@ -402,10 +402,13 @@ def sql_ubos_by_company(t: Derived) -> DataFrame:
 def _streamed(t: Derived, output: str) -> DataFrame:
     base = shared_dir(t.spark, "status-stream")
     feed = f"{base}/feed"
-    _changes(t).repartitionByRange(4, "request_id").write.parquet(feed)
-    stream = t.spark.readStream.schema(CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(feed)
-    follow_status_changes(stream, t, f"{base}/out", f"{base}/checkpoint", AS_OF).awaitTermination()
-    return read_output(t.spark, f"{base}/out", output).drop("batch_id")
+    _changes(t).repartitionByRange(2, "request_id").write.parquet(feed)
+    stream = t.spark.readStream.schema(change_stream.CHANGE_SCHEMA)
+    stream = stream.option("maxFilesPerTrigger", 1).parquet(feed)
+    change_stream.follow_status_changes(
+        stream, t, f"{base}/out", f"{base}/checkpoint", AS_OF
+    ).awaitTermination()
+    return change_stream.read_output(t.spark, f"{base}/out", output).drop("batch_id")
 
 
 @_query
@@ -416,3 +419,18 @@ def stream_status_change_checks(t: Derived) -> DataFrame:
 @_query
 def stream_document_updates(t: Derived) -> DataFrame:
     return _streamed(t, "document_updates")
+
+
+@_query
+def stream_workflow_verdicts(t: Derived) -> DataFrame:
+    """The interleaved feed in two micro-batches, the earlier requests first."""
+    base = shared_dir(t.spark, "request-stream")
+    feed, out = f"{base}/feed", f"{base}/out"
+    requests = t["workflow_requests"]
+    middle = requests.approxQuantile("request_id", [0.5], 0.01)[0]
+    run = {"tables": t, "out": out, "checkpoint": f"{base}/checkpoint", "as_of": AS_OF}
+    for part in (F.col("request_id") <= middle, F.col("request_id") > middle):
+        requests.filter(part).write.mode("append").parquet(feed)
+        stream = t.spark.readStream.schema(request_feed.REQUEST_SCHEMA).parquet(feed)
+        request_feed.follow_requests(stream, **run).awaitTermination()
+    return request_feed.read_output(t.spark, out, "verdicts").drop("batch_id")
