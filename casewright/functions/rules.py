@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casewright.functions.text import text_eq, text_in
+from casewright.functions.text import text_case, text_eq, text_in
 
 # Threshold, labels and texts that results must carry verbatim.
 REPORTABLE_FROM = 25
@@ -51,10 +51,7 @@ def ownership_type(is_direct: Column) -> Column:
 
 
 def status_label(status: Column) -> Column:
-    label = None
-    for value, text in STATUS_LABELS.items():
-        label = F.when(text_eq(status, value), text) if label is None else label.when(text_eq(status, value), text)
-    return label.otherwise(UNKNOWN_STATUS_LABEL)
+    return text_case(status, STATUS_LABELS, UNKNOWN_STATUS_LABEL)
 
 
 def transition_allowed(current: Column, target: Column) -> Column:

@@ -6,7 +6,7 @@ inside predicates and keys only.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,9 +20,18 @@ def collated(col: Column) -> Column:
 
 def text_eq(col: Column, value: str | Column) -> Column:
     """``col = value`` under the collation; NULL when either side is NULL."""
-    other = F.lit(value) if isinstance(value, str) else value
-    return collated(col) == collated(other)
+    return collated(col) == (value if isinstance(value, str) else collated(value))
 
 
 def text_in(col: Column, values: Iterable[str]) -> Column:
     return collated(col).isin(list(values))
+
+
+def text_case(col: Column, results: Mapping[str, object], otherwise: object = None) -> Column:
+    """``CASE col WHEN key THEN value … ELSE otherwise END`` under the collation."""
+    text = collated(col)
+    (first, value), *rest = results.items()
+    out = F.when(text == first, value)
+    for key, value in rest:
+        out = out.when(text == key, value)
+    return out.otherwise(otherwise)

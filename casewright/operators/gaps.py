@@ -21,61 +21,57 @@ def _company_rules(tables: Tables) -> DataFrame:
     return tables["required_documents"].filter(F.col("is_mandatory") & ~F.col("applies_to_ubo"))
 
 
-def _case_forms(cases: DataFrame, tables: Tables, how: str) -> DataFrame:
-    company = tables["company"].select("company_id", "legal_form_id")
-    return cases.select("case_id", "company_id").join(company, "company_id", how)
-
-
-def requirement_state(
-    tables: Tables, cases: DataFrame | None = None, documents: DataFrame | None = None
+def _case_forms(cases: DataFrame, tables: Tables, how: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cases with the legal form of their company, and ``keep`` from either table."""
+    of_case = [c for c in keep if c in cases.columns]
+    company = tables["company"].select("company_id", "legal_form_id", *[c for c in keep if c not in of_case])
+    return cases.select("case_id", "company_id", *of_case).join(company, "company_id", how)
+
+
+def missing_types(
+    tables: Tables,
+    cases: DataFrame | None = None,
+    documents: DataFrame | None = None,
+    how: str = "left",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per case and document type: rule rows asking for it, and whether one is on file.
+    """Per case the document types still missing, once per rule row: (case_id, *keep, missing_types).
+
+    ``keep`` names more columns of the case or its company to carry along;
+    ``how`` is the join to the company.
 
-    Requirements and documents are stacked and aggregated by (case, type)
-    instead of joined: the map-side combine leaves at most one row per task,
-    case and type, so a case with very many documents costs no more than any
-    other. A case without rules keeps one row with a NULL type and ``need`` 0;
-    rows of documents whose case is not in ``cases`` have a NULL ``need``.
+    Both sides come down to one row per case before they meet. The documents
+    collapse map-side into the set of types on file, so a case with very many
+    documents shuffles no more than others; the set only keeps types that
+    some rule asks for, which bounds it by the rule table.
     """
     cases = tables["onboarding_case"] if cases is None else cases
     documents = tables["submitted_documents"] if documents is None else documents
-    rules = (
-        _company_rules(tables)
-        .groupBy("legal_form_id", "document_type_id")
-        .agg(F.count(F.lit(1)).alias("need"))
-    )
-    wanted = (
-        _case_forms(cases, tables, "left")
-        .join(rules, "legal_form_id", "left")
-        .select(
-            "case_id",
-            "document_type_id",
-            F.coalesce("need", F.lit(0)).alias("need"),
-            F.lit(None).cast("int").alias("live"),
-        )
+    rules = _company_rules(tables).select("legal_form_id", "document_type_id")
+    wanted = rules.groupBy("legal_form_id").agg(F.collect_list("document_type_id").alias("wanted"))
+    on_file = (
+        documents.filter(is_live(F.col("document_status")))
+        .select("case_id", "document_type_id")
+        .join(rules.select("document_type_id").distinct(), "document_type_id", "left_semi")
+        .groupBy("case_id")
+        .agg(F.collect_set("document_type_id").alias("on_file"))
     )
-    on_file = documents.filter(is_live(F.col("document_status"))).select(
-        "case_id",
-        "document_type_id",
-        F.lit(None).cast("bigint").alias("need"),
-        F.lit(1).alias("live"),
+    none = F.array().cast("array<bigint>")
+    lacking = F.filter(
+        F.coalesce("wanted", none), lambda t: ~F.array_contains(F.coalesce("on_file", none), t)
     )
     return (
-        wanted.unionByName(on_file)
-        .groupBy("case_id", "document_type_id")
-        .agg(F.max("need").alias("need"), F.max("live").alias("live"))
+        _case_forms(cases, tables, how, keep)
+        .join(wanted, "legal_form_id", "left")
+        .join(on_file, "case_id", "left")
+        .select("case_id", *keep, lacking.alias("missing_types"))
     )
 
 
 def missing_counts(tables: Tables, cases: DataFrame | None = None) -> DataFrame:
     """Missing mandatory company documents of every case, 0 included: (case_id, missing)."""
-    open_need = F.when(F.col("live").isNull(), F.col("need"))
-    return (
-        requirement_state(tables, cases)
-        .groupBy("case_id")
-        .agg(F.coalesce(F.sum(open_need), F.lit(0)).alias("missing"), F.max("need").alias("_need"))
-        .filter(F.col("_need").isNotNull())
-        .select("case_id", "missing")
+    return missing_types(tables, cases).select(
+        "case_id", F.size("missing_types").cast("bigint").alias("missing")
     )
 
 
@@ -103,12 +99,21 @@ def missing_detail(tables: Tables) -> DataFrame:
 
 
 def missing_by_level(tables: Tables) -> DataFrame:
-    """Missing documents per case and requirement level."""
+    """Missing documents per case and requirement level.
+
+    Levels that differ in case only are one level. They get one spelling in
+    the small rule table, so that the cases group by plain text.
+    """
+    rules = tables["required_documents"].withColumn("_level", collated(F.col("requirement_level")))
+    spelling = rules.groupBy("_level").agg(F.min("requirement_level").alias("_spelling"))
+    spelled = rules.join(
+        spelling.withColumnRenamed("_level", "_known"), F.col("_level").eqNullSafe(F.col("_known"))
+    )
+    spelled = spelled.withColumn("requirement_level", F.col("_spelling"))
     return (
-        missing_detail(tables)
-        .groupBy("case_id", collated(F.col("requirement_level")).alias("_level"))
-        .agg(F.min("requirement_level").alias("requirement_level"), F.count(F.lit(1)).alias("missing"))
-        .select("case_id", "requirement_level", "missing")
+        missing_detail(dict(tables) | {"required_documents": spelled})
+        .groupBy("case_id", "requirement_level")
+        .agg(F.count(F.lit(1)).alias("missing"))
     )
 
 

@@ -60,7 +60,11 @@ def unique_violations(tables: Tables) -> DataFrame:
 
 
 def _flagged_columns(df: DataFrame, table: Table, flags: dict[str, Column]) -> DataFrame:
-    """(table_name, row_key, column_name, value) for every raised flag, in one pass over ``df``."""
+    """(table_name, row_key, column_name, value) for every raised flag, in one pass over ``df``.
+
+    An unknown (NULL) flag is not raised. The flags are also the plain filter
+    of the scan, so simple ones reach the Parquet reader.
+    """
     raised = F.array(
         *[
             F.when(flag, F.struct(F.lit(name).alias("column_name"), F.col(name).cast("string").alias("value")))
@@ -69,7 +73,7 @@ def _flagged_columns(df: DataFrame, table: Table, flags: dict[str, Column]) -> D
     )
     hits = F.filter(raised, lambda x: x.isNotNull())
     return (
-        df.filter(reduce(Column.__or__, [F.coalesce(f, F.lit(False)) for f in flags.values()]))
+        df.filter(reduce(Column.__or__, flags.values()))
         .select(_name(table), _row_key(table), F.explode(hits).alias("hit"))
         .select("table_name", "row_key", "hit.column_name", "hit.value")
     )
@@ -107,21 +111,16 @@ def _holds(check: Check) -> Column:
     col = F.col(check.column)
     if check.allowed is not None:
         return text_in(col, check.allowed)
-    holds = F.lit(True)
-    if check.low is not None:
-        holds = holds & (col >= check.low)
-    if check.high is not None:
-        holds = holds & (col <= check.high)
-    return holds
+    if check.high is None:
+        return col >= check.low
+    return col.between(check.low, check.high)
 
 
 def check_violations(tables: Tables) -> DataFrame:
     """Rows whose check is false; an unknown result (NULL) passes."""
     return _union(
         [
-            _flagged_columns(
-                tables[t.name], t, {c.column: ~F.coalesce(_holds(c), F.lit(True)) for c in t.checks}
-            )
+            _flagged_columns(tables[t.name], t, {c.column: ~_holds(c) for c in t.checks})
             for t in TABLES.values()
             if t.checks
         ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from casewright.functions.dates import today
 from casewright.functions.rules import DECISIONS, TRANSITIONS, status_label, transition_allowed
 from casewright.functions.shuffles import grouped_apart
-from casewright.functions.text import text_eq, text_in
+from casewright.functions.text import text_case, text_eq, text_in
 from casewright.schema import CASE_STATUSES
+from casewright.sources.snapshots import stored
 
 Tables = Mapping[str, DataFrame]
 
@@ -41,12 +43,7 @@ MAX_STEPS = max(map(_longest_path, CASE_STATUSES))
 
 def _number(status: Column) -> Column:
     """The number of a status, 0 for an unknown or missing one."""
-    out = reduce(
-        lambda acc, item: acc.when(text_eq(status, item[0]), item[1]),
-        _NUMBER.items(),
-        F.when(status.isNull(), 0),
-    )
-    return out.otherwise(0)
+    return text_case(status, _NUMBER, 0)
 
 
 def state_name(number: Column) -> Column:
@@ -307,6 +304,37 @@ def audit_checks(decided: DataFrame, checks: DataFrame, as_of: dt.datetime) -> D
     )
 
 
+@dataclass(frozen=True)
+class StatusOutcome:
+    """What a batch of status requests leads to."""
+
+    verdicts: DataFrame
+    changes: DataFrame
+    cases: DataFrame
+    documents: DataFrame
+    new_checks: DataFrame
+
+
+def apply_status_requests(requests: DataFrame, tables: Tables, as_of: dt.datetime) -> StatusOutcome:
+    """Handle status requests and carry their decisions through to documents and checks.
+
+    The changes are stored first. They are few next to the documents, and the
+    size of their files tells the planner so: while they are small they are
+    broadcast and the documents stay where they are, else both are shuffled.
+    """
+    cases = tables["onboarding_case"]
+    verdicts = status_update_verdicts(requests, cases)
+    changes = stored(changes_of(verdicts, cases), "status-changes")
+    decided = decisions(changes)
+    return StatusOutcome(
+        verdicts,
+        changes,
+        with_status(cases, last_status(changes)),
+        propagate_to_documents(tables["submitted_documents"], decided, as_of),
+        audit_checks(decided, tables["external_verification_check"], as_of),
+    )
+
+
 def illegal_transitions(changes: DataFrame) -> DataFrame:
     """Changes of a status history that the lifecycle does not allow."""
     old, new = F.col("old_status"), F.col("new_status")

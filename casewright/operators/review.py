@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions.rules import ACCEPTS_DOCUMENTS
 from casewright.functions.text import text_eq, text_in
-from casewright.operators.gaps import missing_counts
+from casewright.operators.gaps import missing_types
 
 Tables = Mapping[str, DataFrame]
 
@@ -21,12 +21,16 @@ MANY_MISSING = ("Noch ", " Pflichtdokumente ausstehend")
 
 
 def _reviewed(tables: Tables) -> DataFrame:
+    """Running cases of known companies with what they miss, in one pass over each table."""
     cases = tables["onboarding_case"].filter(text_in(F.col("case_status"), ACCEPTS_DOCUMENTS))
-    complete = F.col("missing") == 0
-    return (
-        cases.select("case_id", "company_id", "case_status")
-        .join(missing_counts(tables, cases), "case_id")
-        .withColumn("advances", complete & text_eq(F.col("case_status"), "Open"))
+    lacking = missing_types(tables, cases, how="inner", keep=("case_status", "company_name"))
+    missing = F.size("missing_types").cast("bigint")
+    return lacking.select(
+        "case_id",
+        "company_name",
+        "case_status",
+        missing.alias("missing"),
+        ((missing == 0) & text_eq(F.col("case_status"), "Open")).alias("advances"),
     )
 
 
@@ -39,26 +43,20 @@ def compliance_review_report(tables: Tables, ordered: bool = True) -> DataFrame:
         .when(missing == 1, ONE_MISSING)
         .otherwise(F.concat(F.lit(MANY_MISSING[0]), missing.cast("string"), F.lit(MANY_MISSING[1])))
     )
-    report = (
-        _reviewed(tables)
-        .join(tables["company"].select("company_id", "company_name"), "company_id")
-        .select(
-            "case_id",
-            "company_name",
-            F.when(F.col("advances"), "InReview").otherwise(F.col("case_status")).alias("case_status"),
-            missing.alias("missing_mandatory"),
-            advice.alias("recommendation"),
-        )
+    report = _reviewed(tables).select(
+        "case_id",
+        "company_name",
+        F.when(F.col("advances"), "InReview").otherwise(F.col("case_status")).alias("case_status"),
+        missing.alias("missing_mandatory"),
+        advice.alias("recommendation"),
     )
     return report.orderBy(F.desc("missing_mandatory"), "case_id") if ordered else report
 
 
 def review_case_updates(tables: Tables) -> DataFrame:
     """The status changes of the review: complete cases that were still open."""
-    companies = tables["company"].select("company_id")
     return (
         _reviewed(tables)
         .filter("advances")
-        .join(companies, "company_id", "left_semi")
         .select("case_id", F.col("case_status").alias("old_status"), F.lit("InReview").alias("new_status"))
     )

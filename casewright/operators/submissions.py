@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from casewright.functions.dates import today
 from casewright.functions.ids import id_slices, with_dense_ids
 from casewright.functions.rules import ACCEPTS_DOCUMENTS, is_live, status_label
-from casewright.functions.shuffles import grouped_apart
+from casewright.functions.shuffles import distinct_apart, grouped_apart
 from casewright.functions.text import text_eq, text_in
-from casewright.operators.gaps import reportable_owners, requirement_state
+from casewright.operators.gaps import missing_types, reportable_owners
 from casewright.sources.snapshots import stored
 
 Tables = Mapping[str, DataFrame]
@@ -66,7 +66,7 @@ def _judged(requests: DataFrame, tables: Tables) -> DataFrame:
     work small when one case gets a large share of the requests.
     """
     keys = requests.groupBy(*_KEY).agg(F.min("request_id").alias("first_id"))
-    touched = requests.select("case_id").distinct()
+    touched = distinct_apart(keys, "case_id")
     cases = tables["onboarding_case"].select("case_id", "company_id", "case_status")
     types = tables["document_type"].select("document_type_id").withColumn("known_type", F.lit(True))
     live = (
@@ -92,43 +92,32 @@ def _judged(requests: DataFrame, tables: Tables) -> DataFrame:
     return judged.select(*_KEY, "first_id", "case_status", code.alias("code"))
 
 
-def _case_progress(accepted: DataFrame, requests: DataFrame, tables: Tables) -> DataFrame:
-    """Per case with accepted documents: missing before, and which request fills how much.
+def _case_progress(accepted: DataFrame, tables: Tables) -> DataFrame:
+    """Per case what was missing before, and by which request each missing rule row is met.
 
-    ``gains`` has at most one entry per document type that the rules ask for.
+    ``met_by`` has at most one entry per rule row of the case's legal form.
     """
-    touched = requests.select("case_id").distinct()
-    running = (
-        tables["onboarding_case"]
-        .filter(text_in(F.col("case_status"), ACCEPTS_DOCUMENTS))
-        .join(touched, "case_id", "left_semi")
-    )
+    touched = distinct_apart(accepted, "case_id")
+    running = tables["onboarding_case"].join(touched, "case_id", "left_semi")
     documents = tables["submitted_documents"].join(touched, "case_id", "left_semi")
-    missing = (
-        requirement_state(tables, running, documents)
-        .filter(F.col("live").isNull() & (F.col("need") > 0))
-        .select("case_id", "document_type_id", "need")
+    missing = missing_types(tables, running, documents).select(
+        "case_id", F.explode("missing_types").alias("document_type_id")
     )
-    first = accepted.groupBy("case_id", "document_type_id").agg(F.min("first_id").alias("filled_by"))
-    gain = F.when(F.col("filled_by").isNotNull(), F.struct("filled_by", "need"))
+    first = accepted.groupBy("case_id", "document_type_id").agg(F.min("first_id").alias("first_of_type"))
     return grouped_apart(
         missing.join(first, ["case_id", "document_type_id"], "left"),
         ("case_id",),
-        F.sum("need").alias("missing_before"),
-        F.collect_list(gain).alias("gains"),
+        F.count(F.lit(1)).alias("missing_before"),
+        F.collect_list("first_of_type").alias("met_by"),
     )
 
 
 def settle(requests: DataFrame, tables: Tables) -> DataFrame:
     """The judged keys, the accepted ones with what is missing once they are on file."""
-    judged = _judged(requests, tables)
-    progress = _case_progress(judged.filter(F.col("code") == "ACCEPTED"), requests, tables)
-    gained = F.aggregate(
-        F.filter(F.col("gains"), lambda g: g.filled_by <= F.col("first_id")),
-        F.lit(0).cast("bigint"),
-        lambda acc, g: acc + g.need,
-    )
-    still_missing = F.coalesce(F.col("missing_before") - gained, F.lit(0).cast("bigint"))
+    judged = stored(_judged(requests, tables), "judged-submissions")
+    progress = _case_progress(judged.filter(F.col("code") == "ACCEPTED"), tables)
+    met = F.size(F.filter(F.col("met_by"), lambda request: request <= F.col("first_id")))
+    still_missing = F.coalesce(F.col("missing_before") - met, F.lit(0))
     return judged.join(progress, "case_id", "left").select(
         *_KEY,
         "first_id",

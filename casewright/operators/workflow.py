@@ -107,7 +107,7 @@ def run_requests(requests: DataFrame, tables: Tables, as_of: dt.datetime) -> Out
     return Outcome(
         submit_verdicts.unionByName(status_verdicts),
         submissions.documents_of(kept, as_of),
-        lifecycle.steps_of(timeline),
+        stored(lifecycle.steps_of(timeline), "case-steps"),
     )
 
 

@@ -162,6 +162,10 @@ def _changes(t: Derived) -> DataFrame:
     return lifecycle.status_changes(t["status_requests"], t["onboarding_case"])
 
 
+def _applied(t: Derived) -> lifecycle.StatusOutcome:
+    return lifecycle.apply_status_requests(t["status_requests"], t, AS_OF)
+
+
 @_query
 def status_changes(t: Derived) -> DataFrame:
     return _changes(t)
@@ -169,21 +173,17 @@ def status_changes(t: Derived) -> DataFrame:
 
 @_query
 def cases_after_status_updates(t: Derived) -> DataFrame:
-    return lifecycle.with_status(t["onboarding_case"], lifecycle.last_status(_changes(t)))
+    return _applied(t).cases
 
 
 @_query
 def status_change_documents(t: Derived) -> DataFrame:
-    return lifecycle.propagate_to_documents(
-        t["submitted_documents"], lifecycle.decisions(_changes(t)), AS_OF
-    )
+    return _applied(t).documents
 
 
 @_query
 def status_change_audit_checks(t: Derived) -> DataFrame:
-    return lifecycle.audit_checks(
-        lifecycle.decisions(_changes(t)), t["external_verification_check"], AS_OF
-    )
+    return _applied(t).new_checks
 
 
 def _outcome(t: Derived) -> workflow.Outcome:
