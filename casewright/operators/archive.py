@@ -13,19 +13,18 @@ from casewright.operators.overview import onboarding_overview
 Tables = Mapping[str, DataFrame]
 
 
-def write_cases_by_jurisdiction(tables: Tables, path: str) -> None:
-    """The case overview in one folder per country code.
+def by_jurisdiction(tables: Tables) -> DataFrame:
+    """The case overview with the rows of a country together.
 
-    The rebalance hint groups a country's rows into few files and cuts a
-    country that is too big for one task into several at run time.
+    The rebalance hint leads to few files per country, and cuts a country
+    that is too big for one task into several at run time.
     """
-    (
-        onboarding_overview(tables)
-        .hint("rebalance", "country_code")
-        .write.mode("overwrite")
-        .partitionBy("country_code")
-        .parquet(path)
-    )
+    return onboarding_overview(tables).hint("rebalance", "country_code")
+
+
+def write_cases_by_jurisdiction(tables: Tables, path: str) -> None:
+    """The case overview in one folder per country code."""
+    by_jurisdiction(tables).write.mode("overwrite").partitionBy("country_code").parquet(path)
 
 
 def split_closed(cases: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,10 @@ from casewright.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(
-        4, "4g", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared"))
+        4,
+        "4g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+        spark__sql__maxMetadataStringLength="5000",
     )
     yield session
     session.stop()
