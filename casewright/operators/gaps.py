@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions.dates import not_ended
 from casewright.functions.rules import is_live, is_reportable
-from casewright.functions.shuffles import distinct_apart
+from casewright.functions.shuffles import distinct_apart, grouped_apart
 from casewright.functions.text import collated
 
 Tables = Mapping[str, DataFrame]
@@ -125,15 +125,49 @@ def reportable_owners(tables: Tables, as_of: dt.datetime | None = None) -> DataF
     return distinct_apart(holding, "company_id", "ubo_id")
 
 
+def _owner_rules(tables: Tables) -> DataFrame:
+    return tables["required_documents"].filter(F.col("is_mandatory") & F.col("applies_to_ubo"))
+
+
 def missing_ubo_docs(tables: Tables, as_of: dt.datetime) -> DataFrame:
-    """Personal documents still lacking per case and active reportable owner."""
-    rules = (
-        tables["required_documents"]
-        .filter(F.col("is_mandatory") & F.col("applies_to_ubo"))
-        .select("legal_form_id", "required_document_id", "document_type_id")
+    """Personal documents per case: how many its active reportable owners need, and how many lack.
+
+    Needed is owners times rules; what is on file is counted from the
+    documents. Cases, owners and rules are never multiplied out.
+    """
+    owners = reportable_owners(tables, as_of)
+    rules = _owner_rules(tables).groupBy("legal_form_id", "document_type_id").agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    owner_count = grouped_apart(owners, ("company_id",), F.count(F.lit(1)).alias("_owners"))
+    rule_count = rules.groupBy("legal_form_id").agg(F.sum("_rows").alias("_rules"))
+    cases = _case_forms(tables["onboarding_case"], tables, "inner")
+    needed = (
+        cases.join(rule_count, "legal_form_id")
+        .join(owner_count, "company_id")
+        .select("case_id", (F.col("_owners") * F.col("_rules")).alias("required_documents"))
+    )
+    on_file = (
+        _live_types(tables, "ubo_id")
+        .filter(F.col("ubo_id").isNotNull())
+        .join(cases, "case_id")
+        .join(rules, ["legal_form_id", "document_type_id"])
+        .join(owners, ["company_id", "ubo_id"], "left_semi")
+        .groupBy("case_id")
+        .agg(F.sum("_rows").alias("_on_file"))
+    )
+    lacking = F.col("required_documents") - F.coalesce("_on_file", F.lit(0))
+    return needed.join(on_file, "case_id", "left").select(
+        "case_id", "required_documents", lacking.alias("missing_documents")
     )
+
+
+def missing_ubo_docs_of_case(tables: Tables, as_of: dt.datetime, case_id: int) -> DataFrame:
+    """The personal documents still lacking in one case, by owner and rule."""
+    case = tables["onboarding_case"].filter(F.col("case_id") == case_id)
+    rules = _owner_rules(tables).select("legal_form_id", "required_document_id", "document_type_id")
     return (
-        _case_forms(tables["onboarding_case"], tables, "inner")
+        _case_forms(case, tables, "inner")
         .join(rules, "legal_form_id")
         .join(reportable_owners(tables, as_of), "company_id")
         .join(

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.dates import not_ended, valid_on
 from casewright.functions.rules import full_name, is_reportable, owner_flag, ownership_type
+from casewright.functions.shuffles import grouped_apart
 from casewright.operators.overview import company_profile
 
 Tables = Mapping[str, DataFrame]
@@ -88,11 +89,65 @@ def ownership_as_of(tables: Tables, day: dt.date) -> DataFrame:
 
 
 def reportable_at_onboarding(tables: Tables) -> DataFrame:
-    """Holdings of at least 25 % that were valid when the case was opened."""
+    """Holdings of at least 25 % that were valid when a case of the company was opened.
+
+    One row per such holding with the number of cases opened while it was
+    valid, from running totals of case openings: a holding covers the cases
+    up to its end less those before its start. Cases and holdings of a
+    company never meet as pairs. A running total has one row per company and
+    day, so its window is bounded by the calendar.
+    """
+    holding = (
+        tables["ownership"]
+        .filter(is_reportable(F.col("ownership_percentage")))
+        .select("company_id", "ubo_id", "ownership_percentage", "valid_from", "valid_to")
+        .withColumn("_eve", F.date_sub("valid_from", 1))
+    )
+    opened = (
+        tables["onboarding_case"]
+        .groupBy("company_id", F.col("case_open_date").alias("day"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    ends = [
+        holding.filter(F.col(c).isNotNull()).select("company_id", F.col(c).alias("day"), F.lit(0).alias("n"))
+        for c in ("_eve", "valid_to")
+    ]
+    by_day = Window.partitionBy("company_id").orderBy("day")
+    running = (
+        opened.unionByName(ends[0])
+        .unionByName(ends[1])
+        .groupBy("company_id", "day")
+        .agg(F.sum("n").alias("n"))
+        .select("company_id", "day", F.sum("n").over(by_day).alias("so_far"))
+    )
+    total = grouped_apart(opened, ("company_id",), F.sum("n").alias("_total"))
+
+    def up_to(day: str, name: str) -> DataFrame:
+        return running.select("company_id", F.col("day").alias(day), F.col("so_far").alias(name))
+
+    covered = F.coalesce("_through", "_total") - F.coalesce("_before", F.lit(0))
+    return (
+        holding.join(total, "company_id")
+        .join(up_to("_eve", "_before"), ["company_id", "_eve"], "left")
+        .join(up_to("valid_to", "_through"), ["company_id", "valid_to"], "left")
+        .select(
+            "company_id",
+            "ubo_id",
+            "ownership_percentage",
+            "valid_from",
+            "valid_to",
+            covered.alias("cases_opened"),
+        )
+        .filter(F.col("cases_opened") > 0)
+    )
+
+
+def reportable_owners_of_case(tables: Tables, case_id: int) -> DataFrame:
+    """The holdings of at least 25 % that were valid when one case was opened."""
+    case = tables["onboarding_case"].filter(F.col("case_id") == case_id)
     holding = tables["ownership"].filter(is_reportable(F.col("ownership_percentage")))
     return (
-        tables["onboarding_case"]
-        .join(holding, "company_id")
+        case.join(holding, "company_id")
         .filter(valid_on(F.col("valid_from"), F.col("valid_to"), F.col("case_open_date")))
         .select("case_id", "company_id", "case_open_date", "ubo_id", "ownership_percentage")
     )

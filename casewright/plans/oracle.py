@@ -496,7 +496,8 @@ ORACLE: dict[str, str] = {
         "missing_rows",
     ),
     "missing_ubo_docs": _sql(
-        f"""SELECT oc.case_id, o.ubo_id, rd.required_document_id, rd.document_type_id
+        f"""SELECT oc.case_id, count(*) AS required_documents,
+                   count(CASE WHEN d.case_id IS NULL THEN 1 END) AS missing_documents
             FROM onboarding_case oc JOIN company c ON c.company_id = oc.company_id
             JOIN required_documents rd ON rd.legal_form_id = c.legal_form_id
                  AND rd.is_mandatory AND rd.applies_to_ubo
@@ -504,9 +505,9 @@ ORACLE: dict[str, str] = {
                   WHERE ownership_percentage >= 25
                     AND (valid_to IS NULL OR CAST(valid_to AS TIMESTAMP) >= {AS_OF})) o
               ON o.company_id = c.company_id
-            WHERE NOT EXISTS (SELECT 1 FROM live_docs d
-                              WHERE d.case_id = oc.case_id AND d.ubo_id = o.ubo_id
-                                AND d.document_type_id = rd.document_type_id)""",
+            LEFT JOIN live_docs d ON d.case_id = oc.case_id AND d.ubo_id = o.ubo_id
+                                 AND d.document_type_id = rd.document_type_id
+            GROUP BY oc.case_id""",
         "onboarding_case",
         "company",
         "required_documents",
@@ -532,11 +533,13 @@ ORACLE: dict[str, str] = {
         "ownership",
     ),
     "reportable_at_onboarding": _sql(
-        """SELECT oc.case_id, oc.company_id, oc.case_open_date, o.ubo_id, o.ownership_percentage
-           FROM onboarding_case oc JOIN ownership o ON o.company_id = oc.company_id
-            AND o.ownership_percentage >= 25
-            AND (o.valid_from IS NULL OR o.valid_from <= oc.case_open_date)
-            AND (o.valid_to IS NULL OR o.valid_to >= oc.case_open_date)""",
+        """SELECT company_id, ubo_id, ownership_percentage, valid_from, valid_to, cases_opened
+           FROM (SELECT o.*, (SELECT count(*) FROM onboarding_case oc
+                              WHERE oc.company_id = o.company_id
+                                AND (o.valid_from IS NULL OR o.valid_from <= oc.case_open_date)
+                                AND (o.valid_to IS NULL OR o.valid_to >= oc.case_open_date)) AS cases_opened
+                 FROM ownership o WHERE o.ownership_percentage >= 25)
+           WHERE cases_opened > 0""",
         "onboarding_case",
         "ownership",
     ),

@@ -1,6 +1,7 @@
 """Edge rows of the single rules."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -103,7 +104,45 @@ def test_point_in_time(spark):
     tables = world(spark, ownership=rows, onboarding_case=cases)
     assert as_set(ownership.ownership_as_of(tables, d(2025, 3, 15)), "ownership_id") == {(1,), (3,)}
     assert as_set(ownership.ownership_as_of(tables, d(2025, 3, 16)), "ownership_id") == {(2,), (3,)}
-    assert as_set(ownership.reportable_at_onboarding(tables), "case_id", "ubo_id") == {(1, 1)}
+    assert as_set(ownership.reportable_owners_of_case(tables, 1), "case_id", "ubo_id") == {(1, 1)}
+    assert as_set(ownership.reportable_at_onboarding(tables), "ubo_id", "cases_opened") == {(1, 1)}
+
+
+def test_reportable_at_onboarding_counts(spark):
+    """Running totals against counting case by case, with open and reversed intervals."""
+    rng = random.Random(11)
+    day = dt.date(2025, 1, 1)
+
+    def some_day():
+        return None if rng.random() < 0.2 else day + dt.timedelta(rng.randint(0, 30))
+
+    cases = [
+        dict(case_id=i, company_id=rng.randint(1, 4), case_open_date=day + dt.timedelta(rng.randint(0, 30)), case_status="Open")
+        for i in range(80)
+    ]
+    holdings = [
+        dict(
+            ownership_id=i,
+            company_id=rng.randint(1, 5),
+            ubo_id=i,
+            ownership_percentage=Decimal(rng.choice(["24.99", "25.00"])),
+            valid_from=some_day(),
+            valid_to=some_day(),
+        )
+        for i in range(60)
+    ]
+    tables = world(spark, onboarding_case=cases, ownership=holdings)
+    expected = set()
+    for h in holdings:
+        n = sum(
+            c["company_id"] == h["company_id"]
+            and (h["valid_from"] is None or h["valid_from"] <= c["case_open_date"])
+            and (h["valid_to"] is None or h["valid_to"] >= c["case_open_date"])
+            for c in cases
+        )
+        if n and h["ownership_percentage"] >= 25:
+            expected.add((h["ubo_id"], n))
+    assert as_set(ownership.reportable_at_onboarding(tables), "ubo_id", "cases_opened") == expected
 
 
 def test_checks(spark):

@@ -67,6 +67,8 @@ def test_no_python_and_no_cross_joins(tables):
     for df in (
         gaps.missing_detail(tables),
         gaps.missing_ubo_docs(tables, AS_OF),
+        gaps.missing_ubo_docs_of_case(tables, AS_OF, 3),
+        ownership.reportable_owners_of_case(tables, 3),
         review.compliance_review_report(tables),
         ownership.company_with_ubo(tables),
         ownership.reportable_at_onboarding(tables),
@@ -85,8 +87,3 @@ def test_documents_are_counted_before_the_join(tables):
 def test_jurisdiction_layout_rebalances(tables):
     plan = _plan(archive.by_jurisdiction(tables))
     assert "REBALANCE_PARTITIONS_BY_COL" in plan
-
-
-def test_point_in_time_interval_stays_on_a_key_join(tables):
-    plan = _plan(ownership.reportable_at_onboarding(tables))
-    assert re.search(r"(BroadcastHash|SortMerge)Join \[company_id", plan)
