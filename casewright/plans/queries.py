@@ -348,7 +348,10 @@ def archive_closed_cases(t: Derived) -> DataFrame:
 @_query
 def access_roster(t: Derived) -> DataFrame:
     """Suppliers as users, nations as their roles, customers in credit as logins."""
-    role_id = F.col("n_nationkey").cast("bigint") + F.lit(1_000_000_000_000)
+
+    def role_id(nation: str):
+        return F.col(nation).cast("bigint") + F.lit(1_000_000_000_000)
+
     users = t.raw("supplier").select(
         F.col("s_name").alias("name"),
         F.lit("S").alias("type"),
@@ -361,7 +364,7 @@ def access_roster(t: Derived) -> DataFrame:
         F.lit("R").alias("type"),
         F.lit("DATABASE_ROLE").alias("type_desc"),
         F.lit(None).cast("bigint").alias("sid"),
-        role_id.alias("principal_id"),
+        role_id("n_nationkey").alias("principal_id"),
     )
     logins = (
         t.raw("customer")
@@ -370,7 +373,7 @@ def access_roster(t: Derived) -> DataFrame:
     )
     members = t.raw("supplier").select(
         F.col("s_suppkey").alias("member_principal_id"),
-        (F.col("s_nationkey").cast("bigint") + F.lit(1_000_000_000_000)).alias("role_principal_id"),
+        role_id("s_nationkey").alias("role_principal_id"),
     )
     return roster.access_roster(users.unionByName(roles), logins, members)
 

@@ -4,7 +4,6 @@ import datetime as dt
 from decimal import Decimal
 
 from casewright.schema import TABLES
-from casewright.sources.tables import with_defaults
 
 AS_OF = dt.datetime(2026, 3, 1, 9, 30)
 
@@ -175,4 +174,4 @@ def as_set(df, *columns):
     return {tuple(r) for r in df.select(*columns).collect()}
 
 
-__all__ = ["AS_OF", "as_set", "frame", "rows_of_sample", "with_defaults", "world"]
+__all__ = ["AS_OF", "as_set", "frame", "rows_of_sample", "world"]
