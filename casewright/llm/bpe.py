@@ -60,7 +60,7 @@ def char_classes() -> np.ndarray:
     return table
 
 
-def split_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split_words(data: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which the matches of the splitting pattern begin, and the matches before each text.
 
     The pattern takes runs of one class of characters. The last blank of a run of white space goes to the
@@ -71,7 +71,7 @@ def split_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     place = np.flatnonzero((data & 0xC0) != 0x80)
     text_start = np.searchsorted(place, at)
     n = len(chars)
-    kind = char_classes()[chars]
+    kind = classes[chars]
     border = np.zeros(n + 1, bool)
     border[text_start] = True
     new = border[:-1].copy()
@@ -140,6 +140,7 @@ class RankTable:
             self.shift[g], taken[slot[own] ^ shift] = shift, True
             self.key[slot[own] ^ shift] = keys[own]
             self.rank[slot[own] ^ shift] = [joined[int(k)] for k in keys[own]]
+        self.classes = char_classes()
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pieces = sorted(ranks, key=ranks.get)
         if [ranks[p] for p in pieces] != list(range(len(pieces))):
@@ -213,7 +214,7 @@ def encode_texts(texts: pa.Array, table: RankTable) -> tuple[np.ndarray, np.ndar
     data, at = text_bytes(texts)
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    begins, before = split_words(data, at)
+    begins, before = split_words(data, at, table.classes)
     marks = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
     found = pa.Array.from_buffers(
         pa.large_binary(), len(begins), [None, marks, pa.py_buffer(np.ascontiguousarray(data))]

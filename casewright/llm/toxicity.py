@@ -34,6 +34,8 @@ BUCKETS, DIMENSION, SIZES = 1 << 17, 4, (3, 4, 5)
 SAMPLE = (6000, 1700)
 #: The rate falls to 0 over all steps.
 EPOCHS, BATCH, RATE = 10, 50, 0.06
+#: Small samples get more epochs, up to this many steps.
+LEAST_STEPS = 600
 HELD_OUT = 5
 
 
@@ -106,8 +108,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Toxi
         np.zeros(2, np.float32),
     ]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    step, steps = 0, EPOCHS * -(-len(rows) // BATCH)
-    for _ in range(EPOCHS):
+    batches = -(-len(rows) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    step, steps = 0, epochs * batches
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for low in range(0, len(order), BATCH):
             batch = order[low : low + BATCH]
