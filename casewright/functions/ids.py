@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SLICES = 1000
+
+def slice_of(order: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are below or at ``order``, by halving."""
+    if not cuts:
+        return F.lit(0)
+    return _between(order, cuts, 0, len(cuts))
+
+
+def _between(order: Column, cuts: list[int], low: int, high: int) -> Column:
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(order < cuts[middle], _between(order, cuts, low, middle)).otherwise(
+        _between(order, cuts, middle + 1, high)
+    )
 
 
 def id_slices(rows: DataFrame, order: str, slices: int | None = None) -> list[int]:
@@ -18,8 +32,7 @@ def id_slices(rows: DataFrame, order: str, slices: int | None = None) -> list[in
     """
     if slices is None:
         slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(1, min(slices, MAX_SLICES))
-    if slices == 1:
+    if slices <= 1:
         return []
     cuts = rows.approxQuantile(order, [i / slices for i in range(1, slices)], 0.2 / slices)
     return sorted({int(c) for c in cuts})
@@ -33,11 +46,7 @@ def with_dense_ids(
     Rows are numbered inside each slice; a slice starts where the counts of
     the slices before it end. Only one row per slice is ever summed up.
     """
-    if cuts:
-        bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts])
-        sliced = rows.withColumn("_slice", F.size(F.filter(bounds, lambda b: b < F.col(order))))
-    else:
-        sliced = rows.withColumn("_slice", F.lit(0))
+    sliced = rows.withColumn("_slice", slice_of(F.col(order), cuts))
     starts = (
         sliced.groupBy("_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
