@@ -32,25 +32,44 @@ from casewright.llm.common import GOLDEN, blocks, mix, text_bytes
 #: Levels kept, smallest names kept of each, and the phrases a level must have to be compared.
 LEVELS, KEPT, ENOUGH = 4, 48, 8
 FIRST_LEVEL = 2
-NAME_BITS = 32
+
+
+def _differing_bit(label: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Twice the place of the lowest bit in which two 32-bit numbers differ, plus that bit of the first."""
+    differ = label ^ before
+    low = differ & (~differ + np.uint32(1))
+    # the exponent of a power of two
+    place = (low.astype(np.float32).view(np.uint32) >> np.uint32(23)) - np.uint32(127)
+    place[low == 0] = 0
+    return (2 * place + (label >> place & np.uint32(1))).astype(np.uint8)
+
+
+_PAIR = np.arange(64 * 64, dtype=np.uint32)
+#: The next label of a label below 64 after another, at 64 times the one before plus the label.
+NEXT_LABEL = _differing_bit(_PAIR & np.uint32(63), _PAIR >> np.uint32(6))
 
 
 def coin_labels(names: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Labels below 6, different from the one before wherever the names are; ``head``: first of a text."""
-    labels, bound = names, 1 << NAME_BITS
-    before = np.empty_like(labels)
-    while bound > 6:
-        before[0] = 0
-        before[1:] = labels[:-1]
-        before[head] = labels[head] ^ np.uint64(1)
-        differ = labels ^ before
-        low = differ & (~differ + np.uint64(1))
-        # the exponent of a power of two
-        place = (low.astype(np.float64).view(np.uint64) >> np.uint64(52)) - np.uint64(1023)
-        place[low == 0] = 0
-        labels = 2 * place + (labels >> place & np.uint64(1))
-        bound = 2 * max(1, (bound - 1).bit_length())
-    return labels.astype(np.int8)
+    before = np.empty_like(names)
+    before[0], before[1:] = 0, names[:-1]
+    before[head] = ~names[head]
+    labels = _differing_bit(names, before)
+    first = np.flatnonzero(head)
+    for _ in range(3):
+        index = np.empty(len(labels), np.uint16)
+        index[0], index[1:] = 0, labels[:-1]
+        index[first] = labels[first] ^ 1
+        labels = NEXT_LABEL[index << 6 | labels]
+    return labels.view(np.int8)
+
+
+def _name(codes: np.ndarray) -> np.ndarray:
+    return (mix(codes) >> np.uint64(32)).astype(np.uint32)
+
+
+#: Labels leave no phrase longer than this.
+PLACE_FACTOR = mix(np.arange(1, 65, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 
 
 def parse(names: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +80,7 @@ def parse(names: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[1:] |= names[1:] != names[:-1]
     start = np.flatnonzero(new)
     length = np.diff(start, append=n)
-    names = np.where(length > 1, mix(names[start] + mix(length.astype(np.uint64))) >> np.uint64(64 - NAME_BITS), names[start])
+    names = np.where(length > 1, _name(names[start] + mix(length.astype(np.uint64))), names[start])
     head = head[start]
     n = len(names)
     labels = coin_labels(names, head)
@@ -76,11 +95,11 @@ def parse(names: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut[1:] &= ~head[:-1] | head[1:]
     begin = np.flatnonzero(cut)
     place = np.arange(n) - np.repeat(begin, np.diff(begin, append=n))
-    parts = mix(names + mix((place + 1).astype(np.uint64) * GOLDEN))
-    return mix(np.add.reduceat(parts, begin)) >> np.uint64(64 - NAME_BITS), head[begin]
+    parts = (names + np.uint64(1)) * PLACE_FACTOR[np.minimum(place, len(PLACE_FACTOR) - 1)]
+    return _name(np.add.reduceat(mix(parts), begin)), head[begin]
 
 
-BYTE_NAME = mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(64 - NAME_BITS)
+BYTE_NAME = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def fingerprints(data: np.ndarray, at: np.ndarray) -> list[str]:
@@ -95,9 +114,9 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> list[str]:
         for level in range(LEVELS + 1):
             if level >= FIRST_LEVEL:
                 owner = texts[np.cumsum(head) - 1]
-                both = np.unique(owner.astype(np.uint64) << np.uint64(NAME_BITS) | names)
-                edges = np.searchsorted((both >> np.uint64(NAME_BITS)).astype(np.int64), np.arange(count + 1))
-                low = both & np.uint64((1 << NAME_BITS) - 1)
+                both = np.unique(owner.astype(np.uint64) << np.uint64(32) | names)
+                edges = np.searchsorted((both >> np.uint64(32)).astype(np.int64), np.arange(count + 1))
+                low = both & np.uint64(0xFFFFFFFF)
                 for t in texts:
                     some = low[edges[t] : min(edges[t + 1], edges[t] + KEPT)]
                     out[t].append(f"{edges[t + 1] - edges[t]}:" + some.astype(">u4").tobytes().hex())
