@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import bpe, decontaminate, fingerprint, minhash, secret_scan, toxicity
+from casewright.llm import bpe, decontaminate, fingerprint, lm, minhash, secret_scan, toxicity
 from casewright.llm.common import remainder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -72,6 +72,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), lm.HELD_OUT) == 0
+    scored = lm.score(table(spark, sf_dir, "documents"), RANKS, ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
@@ -79,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_fingerprint": op6_fingerprint,
     "op7_decontaminate": op7_decontaminate,
+    "op8_lm": op8_lm,
 }
 SQL: dict[str, str] = {}
