@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import bpe, decontaminate, fingerprint, lm, minhash, repeats, secret_scan, toxicity
+from casewright.llm import bpe, decontaminate, fingerprint, lm, minhash, personal_data, repeats, secret_scan, toxicity
 from casewright.llm.common import remainder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -78,6 +78,17 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.detect(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "other")
+    return found.select(
+        "doc_id",
+        *[count_of(kind) for kind in personal_data.KINDS[:4]],
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -91,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprint": op6_fingerprint,
     "op7_decontaminate": op7_decontaminate,
     "op8_lm": op8_lm,
+    "op9_personal_data": op9_personal_data,
     "op10_repeats": op10_repeats,
 }
 SQL: dict[str, str] = {}
