@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casewright.sources.snapshots import stored
-
-__all__ = ["blocks", "fold_text", "mix", "offsets_of", "remainder", "stored", "text_bytes", "word_hashes"]
+from casewright.sources.snapshots import stored as stored
 
 #: Text worked on at once, in bytes; a longer single text makes a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -84,8 +82,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, inverse:
     return mix((prefix[stop] - prefix[start]) * inverse[start] + mix((stop - start).astype(U64)))
 
 
-def fold_text(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(texts)
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, or a longer one that no column has; column names do not tell case apart."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
 
 
 #: Bytes that belong to words: ASCII letters and digits, and all bytes of other characters.

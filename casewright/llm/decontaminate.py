@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import (
-    BASE_INVERSE, GOLDEN, blocks, mix, powers, prefix_hash, span_hash, stored, word_hashes,
+    BASE_INVERSE, GOLDEN, blocks, fresh, mix, powers, prefix_hash, span_hash, stored, word_hashes,
 )
 
 SEED, COVERAGE, FIRST_SEARCH = 5, 0.5, 20
@@ -230,6 +230,7 @@ def contamination(
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns, without those that leak an item."""
-    found = stored(leaks(docs, benchmark, text).select(F.col("key").alias("_leaked")).distinct(), "leaks")
-    keyed = docs.withColumn("_md5", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
-    return keyed.join(found, F.col("_md5") == F.col("_leaked"), "left_anti").select(docs.columns)
+    md5, leaked = fresh(docs.columns, "_md5"), fresh(docs.columns, "_leaked")
+    found = stored(leaks(docs, benchmark, text).select(F.col("key").alias(leaked)).distinct(), "leaks")
+    keyed = docs.withColumn(md5, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    return keyed.join(found, F.col(md5) == F.col(leaked), "left_anti").select(docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import GOLDEN, blocks, mix, stored, word_hashes
+from casewright.llm.common import GOLDEN, blocks, fresh, mix, stored, word_hashes
 from casewright.llm.graph import components
 
 SHINGLE, SIMILAR, NOT_FAR = 5, 0.8, 0.6
@@ -131,7 +131,8 @@ def _bands(keyed: DataFrame) -> DataFrame:
                 ["id", "key", "bands"],
             )
 
-    return keyed.mapInArrow(work, keyed.schema["id"].dataType.simpleString().join(("id ", ", key binary, bands array<long>")))
+    kind = keyed.schema["id"].dataType.simpleString()
+    return keyed.mapInArrow(work, f"id {kind}, key binary, bands array<long>")
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
@@ -236,11 +237,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, with all columns: the smallest key, and of its rows the smallest text."""
+    """One row of each class, with all columns: the smallest key, and of its rows the smallest MD5."""
     found = stored(classes(docs, doc_id, text), "classes")
     first = found.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "key")).alias("first"))
-    kept = first.select(F.col("first.id").alias("_id"), F.col("first.key").alias("_key"))
-    keyed = docs.withColumn("_md5", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
-    rows = keyed.join(kept, (F.col("_md5") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")))
-    # rows that repeat key and text are still several
-    return rows.dropDuplicates(["_md5"]).select(docs.columns)
+    md5, kept, one = (fresh(docs.columns, name) for name in ("_md5", "_kept", "_one"))
+    first = stored(first.select(F.col("first.key").alias(kept), F.col("first.id").alias(one)), "first")
+    rows = docs.withColumn(md5, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    rows = rows.join(first, (F.col(md5) == F.col(kept)) & F.col(doc_id).eqNullSafe(F.col(one)))
+    if not found.groupBy("id", "key").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates([kept])  # rows that repeat key and text
+    return rows.select(docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import blocks, runs, text_bytes
+from casewright.llm.common import blocks, runs, stored, text_bytes
 
 KINDS = ("assign", "access", "hex", "format")
 #: Distinct strings of each kind, and of other runs, from which the automata are learned, and their longest length.
@@ -208,6 +208,13 @@ class FormatModel:
         return False
 
 
+def all_spans(data: np.ndarray, at: np.ndarray, model: FormatModel) -> list[Span]:
+    """The fixed formats' spans and those that the automata add, by start and then kind."""
+    base, raw = base_spans(data, at), data.tobytes()
+    found = base + [(3, b, e) for b, e in candidate_runs(data, at, base) if model.is_secret(raw[b:e])]
+    return sorted(found, key=lambda s: (s[1], s[0]))
+
+
 def learn_formats(docs: DataFrame, text: str = "text") -> FormatModel:
     """Automata from a bounded sample: the ``SAMPLE`` strings of each kind with the smallest hashes."""
 
@@ -223,7 +230,7 @@ def learn_formats(docs: DataFrame, text: str = "text") -> FormatModel:
                 ["kind", "run"],
             )
 
-    strings = docs.select(F.col(text).alias("text")).mapInArrow(work, "kind int, run string").distinct()
+    strings = stored(docs.select(F.col(text).alias("text")).mapInArrow(work, "kind int, run string").distinct(), "runs")
     samples = []
     for kind in range(len(KINDS)):
         picked = strings.where(F.col("kind") == kind).orderBy(F.xxhash64("run"), "run").limit(SAMPLE).collect()
@@ -239,10 +246,7 @@ def scan(docs: DataFrame, model: FormatModel, doc_id: str = "doc_id", text: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             data, at = text_bytes(block.column(1))
-            base = base_spans(data, at)
-            raw = data.tobytes()
-            spans = base + [(3, b, e) for b, e in candidate_runs(data, at, base) if model.is_secret(raw[b:e])]
-            spans.sort(key=lambda s: (s[1], s[0]))
+            spans = all_spans(data, at, model)
             before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             start = np.array([s[1] for s in spans], np.int64)
             owner = np.searchsorted(at, start, "right") - 1
@@ -263,3 +267,36 @@ def scan(docs: DataFrame, model: FormatModel, doc_id: str = "doc_id", text: str
 
     schema = f"{doc_id} {key}, spans array<struct<kind:string,start:long,end:long>>"
     return docs.select(doc_id, F.col(text).alias("text")).mapInArrow(work, schema)
+
+
+def redact(docs: DataFrame, model: FormatModel, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The rows with all their columns; spans of the text, joined where they touch or overlap, become ``mark``."""
+    place = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            for block in blocks(iter([batch.select([place]).rename_columns(["text"])])):
+                rows = batch.slice(start, block.num_rows)
+                start += block.num_rows
+                data, at = text_bytes(block.column(0))
+                changed: dict[int, list[Span]] = {}
+                for span in all_spans(data, at, model):
+                    changed.setdefault(int(np.searchsorted(at, span[1], "right")) - 1, []).append(span)
+                if changed:
+                    texts, raw = rows.column(place).to_pylist(), data.tobytes()
+                    for i, spans in changed.items():
+                        texts[i] = _marked(raw, int(at[i]), int(at[i + 1]), spans, mark)
+                    rows = rows.set_column(place, rows.schema.field(place), pa.array(texts, rows.schema.field(place).type))
+                yield rows
+
+    return docs.mapInArrow(work, docs.schema)
+
+
+def _marked(raw: bytes, start: int, stop: int, spans: list[Span], mark: str) -> str:
+    parts, last = [], start
+    for _, low, high in spans:
+        if low > last or not parts:
+            parts += [raw[last:low].decode(), mark]
+        last = max(last, high)
+    return "".join(parts) + raw[last:stop].decode()
