@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import bpe, decontaminate, fingerprint, lm, minhash, personal_data, repeats, secret_scan, toxicity
+from casewright.llm import bpe, decontaminate, fingerprint, lm, minhash, personal_data, quality, repeats, secret_scan, toxicity
 from casewright.llm.common import remainder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,6 +60,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), quality.HELD_OUT) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -98,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
     "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_minhash": op5_minhash,
     "op6_fingerprint": op6_fingerprint,
     "op7_decontaminate": op7_decontaminate,
