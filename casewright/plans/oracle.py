@@ -7,10 +7,47 @@ one, duplicates are numbered by a window, NOT EXISTS stays NOT EXISTS.
 
 from __future__ import annotations
 
-from casewright.functions import rules
-from casewright.operators import lifecycle, review, roster, submissions
 from casewright.schema import TABLES
-from casewright.sources.derived import DOCUMENT_TYPES, EXTERNAL_SOURCES, SEGMENTS
+
+# Fixed values, stated here once more so that a wrong one in the engine shows: segments, labels, steps, texts.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+LABELS = {
+    "Open": "Offen – wartet auf Dokumente",
+    "InReview": "In Prüfung",
+    "Approved": "Genehmigt",
+    "Rejected": "Abgelehnt",
+    "Closed": "Geschlossen",
+}
+UNKNOWN_LABEL = "Unbekannter Status"
+STEPS = {
+    "Open": ("InReview", "Rejected"),
+    "InReview": ("Approved", "Rejected"),
+    "Approved": ("Closed",),
+    "Rejected": ("Closed",),
+}
+CASE_NOT_FOUND = ("Fehler: CaseID ", " existiert nicht.")
+CASE_STATUS = ('Fehler: Case hat Status "', '" – Dokumente können nicht mehr eingereicht werden.')
+TYPE_NOT_FOUND = ("Fehler: DocumentTypeID ", " existiert nicht.")
+DUPLICATE = 'Hinweis: Dieses Dokument wurde bereits eingereicht und ist noch aktiv (Status nicht "Abgelehnt").'
+UBO_NOT_REPORTABLE = (
+    "Fehler: UBO ",
+    " ist für dieses Unternehmen nicht meldepflichtig (Beteiligungsanteil unter 25%).",
+)
+COMPLETE = 'OK – Dokument eingereicht. Alle Pflichtdokumente vollständig – Case wurde auf "In Prüfung" gesetzt.'
+STILL_MISSING = ("OK – Dokument erfolgreich eingereicht. Es fehlen noch ", " Pflichtdokument(e).")
+NOT_FOUND = "Fehler: CaseID nicht gefunden."
+INVALID = ('Fehler: Ungültiger Statusübergang von "', '" nach "', '".')
+UPDATED = ("OK – Status von Case ", ' auf "', '" gesetzt.')
+CHECK_SUMMARY = ("Automatisch erstellt durch Trigger – Statusänderung auf: ", " (vorher: ", ")")
+ADVANCED = "Status automatisch auf InReview gesetzt"
+READY = "Alle Pflichtdokumente vorhanden – bereit für Genehmigung"
+ONE_MISSING = "Noch 1 Pflichtdokument ausstehend"
+MANY_MISSING = ("Noch ", " Pflichtdokumente ausstehend")
+LISTED_TYPES = ("S", "U", "R")
+SYSTEM_NAMES = (
+    "dbo", "guest", "INFORMATION_SCHEMA", "sys", "db_owner", "db_accessadmin", "db_securityadmin", "db_ddladmin",
+    "db_backupoperator", "db_datareader", "db_datawriter", "db_denydatareader", "db_denydatawriter", "public",
+)
 
 AS_OF = "TIMESTAMP '1998-06-01 12:00:00'"
 AS_OF_DAY = "DATE '1998-06-01'"
@@ -32,20 +69,20 @@ def _values(rows: tuple[tuple, ...]) -> str:
 
 
 def _label(x: str) -> str:
-    whens = " ".join(f"WHEN {_quote(k.lower())} THEN {_quote(v)}" for k, v in rules.STATUS_LABELS.items())
-    return f"(CASE {_fold(x)} {whens} ELSE {_quote(rules.UNKNOWN_STATUS_LABEL)} END)"
+    whens = " ".join(f"WHEN {_quote(k.lower())} THEN {_quote(v)}" for k, v in LABELS.items())
+    return f"(CASE {_fold(x)} {whens} ELSE {_quote(UNKNOWN_LABEL)} END)"
 
 
 def _allowed(old: str, new: str) -> str:
     steps = " OR ".join(
         f"({_fold(old)} = '{a.lower()}' AND {_fold(new)} IN ({', '.join(_quote(b.lower()) for b in targets)}))"
-        for a, targets in rules.TRANSITIONS.items()
+        for a, targets in STEPS.items()
     )
     return f"coalesce({steps}, FALSE)"
 
 
 def _spelling(x: str) -> str:
-    whens = " ".join(f"WHEN {_quote(k.lower())} THEN {_quote(k)}" for k in rules.STATUS_LABELS)
+    whens = " ".join(f"WHEN {_quote(k.lower())} THEN {_quote(k)}" for k in LABELS)
     return f"(CASE {_fold(x)} {whens} END)"
 
 
@@ -94,11 +131,11 @@ DOMAIN = {
                l_linestatus = 'O' AS is_ownership_direct,
                CAST(o_orderdate AS DATE) AS valid_from,
                CASE WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS DATE) END AS valid_to
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        WHERE o_orderstatus = 'F'""",
-    "document_type": "SELECT * FROM (VALUES "
-    + _values(DOCUMENT_TYPES)
-    + ") d(document_type_id, document_type_name, document_scope)",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "document_type": """
+        SELECT p_partkey % 7 + 1 AS document_type_id, min(p_name) AS document_type_name,
+               CASE WHEN p_partkey % 7 + 1 >= 5 THEN 'UBO' ELSE 'Company' END AS document_scope
+        FROM part GROUP BY p_partkey % 7 + 1""",
     "required_documents": """
         SELECT legal_form_id * 10 + document_type_id AS required_document_id, legal_form_id,
                document_type_id,
@@ -121,9 +158,12 @@ DOMAIN = {
                     ELSE 'Rejected' END AS document_status,
                CASE WHEN l_returnflag <> 'N' THEN CAST(l_shipdate AS DATE) END AS verification_date
         FROM lineitem""",
-    "external_source": "SELECT * FROM (VALUES "
-    + _values(EXTERNAL_SOURCES)
-    + ") e(external_source_id, source_name, source_country, source_type)",
+    "external_source": """
+        SELECT CAST(r_regionkey AS BIGINT) + 1 AS external_source_id, r_name AS source_name,
+               (SELECT lpad(CAST(min(n_nationkey) AS VARCHAR), 2, '0') FROM nation
+                WHERE n_regionkey = r_regionkey) AS source_country,
+               CASE r_regionkey WHEN 0 THEN 'Internal' ELSE 'Registry' END AS source_type
+        FROM region""",
     "external_verification_check": f"""
         SELECT event_id AS external_check_id, event_id * 2 AS case_id,
                {PROP} // 16 + 1 AS external_source_id, CAST(ts AS DATE) AS check_date,
@@ -146,33 +186,38 @@ DOMAIN = {
                          WHEN 'click' THEN 'Open' END END AS new_status
         FROM events""",
     # Steps shared by several queries.
-    "missing_rows": f"""
-        SELECT oc.case_id, rd.required_document_id, rd.document_type_id, rd.requirement_level
-        FROM required_documents rd
-        JOIN company c ON c.legal_form_id = rd.legal_form_id
-        JOIN onboarding_case oc ON oc.company_id = c.company_id
-        WHERE rd.is_mandatory AND NOT rd.applies_to_ubo
-          AND NOT EXISTS (SELECT 1 FROM submitted_documents sd
-                          WHERE sd.case_id = oc.case_id AND sd.document_type_id = rd.document_type_id
-                            AND {_fold('sd.document_status')} <> 'rejected')""",
+    # Needed minus on file: a need is lacking where no live document of its case and type is left over.
+    "live_types": f"""
+        SELECT case_id, document_type_id FROM submitted_documents
+        WHERE {_fold('document_status')} IS DISTINCT FROM 'rejected'""",
+    "needs": """
+        SELECT case_id, document_type_id, required_document_id, requirement_level
+        FROM (SELECT * FROM required_documents WHERE is_mandatory AND NOT applies_to_ubo) rule
+        NATURAL JOIN (SELECT company_id, legal_form_id FROM company) firm
+        NATURAL JOIN (SELECT case_id, company_id FROM onboarding_case) file""",
+    "lacking": """
+        SELECT case_id, document_type_id FROM needs EXCEPT SELECT case_id, document_type_id FROM live_types""",
+    "missing_rows": """
+        SELECT case_id, required_document_id, document_type_id, requirement_level
+        FROM needs NATURAL JOIN lacking""",
     "missing": """
         SELECT oc.case_id, count(m.case_id) AS missing
         FROM onboarding_case oc LEFT JOIN missing_rows m ON m.case_id = oc.case_id
         GROUP BY oc.case_id""",
-    "stats": f"""
-        SELECT oc.case_id, c.company_name, oc.case_status,
-               count(sd.submitted_document_id) AS total_documents,
-               CAST(sum(CASE WHEN {_fold('sd.document_status')} = 'verified' THEN 1 ELSE 0 END) AS BIGINT)
-                   AS verified_documents,
-               CAST(sum(CASE WHEN {_fold('sd.document_status')} = 'pending' THEN 1 ELSE 0 END) AS BIGINT)
-                   AS pending_documents,
-               CAST(sum(CASE WHEN {_fold('sd.document_status')} = 'rejected' THEN 1 ELSE 0 END) AS BIGINT)
-                   AS rejected_documents
-        FROM onboarding_case oc
-        JOIN company c ON oc.company_id = c.company_id
-        JOIN submitted_documents sd ON oc.case_id = sd.case_id
-        GROUP BY oc.case_id, c.company_name, oc.case_status
-        HAVING count(sd.submitted_document_id) >= 1""",
+    # One count per case and status first, then a column for each status.
+    "by_status": f"""
+        SELECT case_id, {_fold('document_status')} AS kind, count(*) AS n
+        FROM submitted_documents GROUP BY ALL""",
+    "stats": """
+        WITH wide AS (
+            SELECT case_id, CAST(sum(n) AS BIGINT) AS total_documents,
+                   CAST(coalesce(sum(n) FILTER (kind = 'verified'), 0) AS BIGINT) AS verified_documents,
+                   CAST(coalesce(sum(n) FILTER (kind = 'pending'), 0) AS BIGINT) AS pending_documents,
+                   CAST(coalesce(sum(n) FILTER (kind = 'rejected'), 0) AS BIGINT) AS rejected_documents
+            FROM by_status GROUP BY case_id)
+        SELECT wide.*, file.case_status, firm.company_name
+        FROM wide NATURAL JOIN onboarding_case file
+        JOIN (SELECT company_id, company_name FROM company) firm USING (company_id)""",
     "reviewed": f"""
         SELECT oc.case_id, c.company_name, oc.case_status, m.missing,
                m.missing = 0 AND {_fold('oc.case_status')} = 'open' AS advances
@@ -198,11 +243,11 @@ DOMAIN = {
         WHERE {_fold('new_status')} IN ('approved', 'rejected')
           AND {_fold('old_status')} <> {_fold('new_status')}""",
     "audit_rows": f"""
-        SELECT d.case_id, CAST({lifecycle.INTERNAL_REVIEW_SOURCE} AS BIGINT) AS external_source_id,
+        SELECT d.case_id, CAST(1 AS BIGINT) AS external_source_id,
                {AS_OF_DAY} AS check_date,
                CASE {_fold('d.new_status')} WHEN 'approved' THEN 'Passed' ELSE 'Failed' END AS check_status,
-               {_quote(lifecycle.CHECK_SUMMARY[0])} || d.new_status || {_quote(lifecycle.CHECK_SUMMARY[1])}
-                   || d.old_status || {_quote(lifecycle.CHECK_SUMMARY[2])} AS result_summary
+               {_quote(CHECK_SUMMARY[0])} || d.new_status || {_quote(CHECK_SUMMARY[1])}
+                   || d.old_status || {_quote(CHECK_SUMMARY[2])} AS result_summary
         FROM decided d
         WHERE NOT EXISTS (SELECT 1 FROM external_verification_check e WHERE e.case_id = d.case_id)""",
     "documents_after": f"""
@@ -215,22 +260,27 @@ DOMAIN = {
                CASE WHEN d.case_id IS NOT NULL AND {_fold('sd.document_status')} = 'pending'
                          THEN {AS_OF_DAY} ELSE sd.verification_date END AS verification_date
         FROM submitted_documents sd LEFT JOIN decided d ON d.case_id = sd.case_id""",
+    # Each test is a set of request ids; the first test that a request fails names its code.
+    "reportable": """
+        SELECT DISTINCT company_id, ubo_id FROM ownership WHERE ownership_percentage >= 25""",
+    "on_file": f"""
+        SELECT DISTINCT case_id, document_type_id, coalesce(ubo_id, -1) AS owner FROM submitted_documents
+        WHERE {_fold('document_status')} IS DISTINCT FROM 'rejected'""",
     "judged": f"""
-        SELECT r.*, c.company_id, c.case_status,
-               CASE WHEN c.case_id IS NULL THEN 'CASE_NOT_FOUND'
-                    WHEN {_fold('c.case_status')} NOT IN ('open', 'inreview') THEN 'CASE_STATUS'
-                    WHEN NOT EXISTS (SELECT 1 FROM document_type t
-                                     WHERE t.document_type_id = r.document_type_id) THEN 'TYPE_NOT_FOUND'
-                    WHEN EXISTS (SELECT 1 FROM submitted_documents sd
-                                 WHERE sd.case_id = r.case_id AND sd.document_type_id = r.document_type_id
-                                   AND {_fold('sd.document_status')} <> 'rejected'
-                                   AND coalesce(sd.ubo_id, -1) = coalesce(r.ubo_id, -1)) THEN 'DUPLICATE'
-                    WHEN r.ubo_id IS NOT NULL
-                         AND NOT EXISTS (SELECT 1 FROM ownership o
-                                         WHERE o.company_id = c.company_id AND o.ubo_id = r.ubo_id
-                                           AND o.ownership_percentage >= 25) THEN 'UBO_NOT_REPORTABLE'
-                    ELSE 'ACCEPTED' END AS code
-        FROM submit_requests r LEFT JOIN onboarding_case c ON c.case_id = r.case_id""",
+        SELECT ask.*, file.company_id, file.case_status,
+               coalesce(
+                   CASE WHEN file.case_id IS NULL THEN 'CASE_NOT_FOUND' END,
+                   CASE WHEN {_fold('file.case_status')} IN ('approved', 'rejected', 'closed') THEN 'CASE_STATUS' END,
+                   CASE WHEN kind.document_type_id IS NULL THEN 'TYPE_NOT_FOUND' END,
+                   CASE WHEN old.case_id IS NOT NULL THEN 'DUPLICATE' END,
+                   CASE WHEN ask.ubo_id IS NOT NULL AND own.ubo_id IS NULL THEN 'UBO_NOT_REPORTABLE' END,
+                   'ACCEPTED') AS code
+        FROM submit_requests ask
+        LEFT JOIN onboarding_case file USING (case_id)
+        LEFT JOIN document_type kind USING (document_type_id)
+        LEFT JOIN on_file old ON (old.case_id, old.document_type_id, old.owner)
+                               = (ask.case_id, ask.document_type_id, coalesce(ask.ubo_id, -1))
+        LEFT JOIN reportable own ON own.company_id = file.company_id AND own.ubo_id = ask.ubo_id""",
     "ranked": """
         SELECT *, row_number() OVER (PARTITION BY case_id, document_type_id, ubo_id, code
                                      ORDER BY request_id) AS copy_no
@@ -333,9 +383,15 @@ NEEDS = {
     "legal_form": ("segment",),
     "company": ("segment",),
     "required_documents": ("legal_form", "document_type"),
-    "missing_rows": ("required_documents", "company", "onboarding_case", "submitted_documents"),
+    "live_types": ("submitted_documents",),
+    "needs": ("required_documents", "company", "onboarding_case"),
+    "lacking": ("needs", "live_types"),
+    "missing_rows": ("needs", "lacking"),
     "missing": ("onboarding_case", "missing_rows"),
-    "stats": ("onboarding_case", "company", "submitted_documents"),
+    "by_status": ("submitted_documents",),
+    "stats": ("by_status", "onboarding_case", "company"),
+    "reportable": ("ownership",),
+    "on_file": ("submitted_documents",),
     "reviewed": ("onboarding_case", "company", "missing"),
     "queue": ("status_requests", "onboarding_case"),
     "walk": ("queue",),
@@ -343,7 +399,7 @@ NEEDS = {
     "decided": ("changes",),
     "audit_rows": ("decided", "external_verification_check"),
     "documents_after": ("submitted_documents", "decided"),
-    "judged": ("submit_requests", "onboarding_case", "document_type", "submitted_documents", "ownership"),
+    "judged": ("submit_requests", "onboarding_case", "document_type", "on_file", "reportable"),
     "ranked": ("judged",),
     "taken": ("ranked", "submitted_documents"),
     "progressed": ("taken", "missing", "missing_rows"),
@@ -370,6 +426,8 @@ def _sql(body: str, *needs: str) -> str:
     for name in needs:
         add(name)
     parts = ",\n".join(f"{name} AS ({DOMAIN[name]})" for name in wanted)
+    if body.startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     return f"WITH RECURSIVE {parts}\n{body}"
 
 
@@ -406,7 +464,7 @@ def _check_conditions() -> dict[tuple[str, str], str]:
 
 
 ALL = tuple(TABLES)
-COMPLETE_MESSAGE = _quote(submissions.COMPLETE)
+COMPLETE_MESSAGE = _quote(COMPLETE)
 
 
 def _wrap(parts: tuple[str, ...], *values: str) -> str:
@@ -423,16 +481,16 @@ def _text(x: str) -> str:
 VERDICT_SQL = f"""
     SELECT r.request_id,
            CASE WHEN r.code = 'ACCEPTED' AND r.copy_no > 1 THEN 'DUPLICATE' ELSE r.code END AS code,
-           CASE WHEN r.code = 'CASE_NOT_FOUND' THEN {_wrap(submissions.CASE_NOT_FOUND, _text('r.case_id'))}
-                WHEN r.code = 'CASE_STATUS' THEN {_wrap(submissions.CASE_STATUS, _label('r.case_status'))}
+           CASE WHEN r.code = 'CASE_NOT_FOUND' THEN {_wrap(CASE_NOT_FOUND, _text('r.case_id'))}
+                WHEN r.code = 'CASE_STATUS' THEN {_wrap(CASE_STATUS, _label('r.case_status'))}
                 WHEN r.code = 'TYPE_NOT_FOUND'
-                    THEN {_wrap(submissions.TYPE_NOT_FOUND, _text('r.document_type_id'))}
+                    THEN {_wrap(TYPE_NOT_FOUND, _text('r.document_type_id'))}
                 WHEN r.code = 'DUPLICATE' OR (r.code = 'ACCEPTED' AND r.copy_no > 1)
-                    THEN {_quote(submissions.DUPLICATE)}
+                    THEN {_quote(DUPLICATE)}
                 WHEN r.code = 'UBO_NOT_REPORTABLE'
-                    THEN {_wrap(submissions.UBO_NOT_REPORTABLE, _text('r.ubo_id'))}
+                    THEN {_wrap(UBO_NOT_REPORTABLE, _text('r.ubo_id'))}
                 WHEN p.missing_after = 0 THEN {COMPLETE_MESSAGE}
-                ELSE {_wrap(submissions.STILL_MISSING, _text('p.missing_after'))} END AS message,
+                ELSE {_wrap(STILL_MISSING, _text('p.missing_after'))} END AS message,
            coalesce(p.new_document_id, 0) AS new_document_id,
            p.missing_after,
            CASE WHEN p.missing_after = 0 AND {_fold('p.case_status')} = 'open' THEN 'InReview'
@@ -441,12 +499,15 @@ VERDICT_SQL = f"""
 
 ORACLE: dict[str, str] = {
     "onboarding_overview": _sql(
-        """SELECT oc.case_id, oc.case_open_date, oc.case_status, c.company_id, c.company_name,
-                  c.registration_number, c.employee_count, c.annual_revenue, lf.legal_form_name,
-                  lf.legal_form_code, co.country_name, co.country_code, co.region_name
-           FROM onboarding_case oc JOIN company c ON oc.company_id = c.company_id
-           JOIN legal_form lf ON c.legal_form_id = lf.legal_form_id
-           JOIN country co ON lf.country_id = co.country_id""",
+        """WITH seat AS (
+               SELECT legal_form_id, legal_form_name, legal_form_code, country.*
+               FROM legal_form JOIN country USING (country_id)),
+           firm AS (
+               SELECT company_id, company_name, registration_number, employee_count, annual_revenue,
+                      seat.* EXCLUDE (country_id, legal_form_id)
+               FROM company JOIN seat USING (legal_form_id))
+           SELECT firm.*, case_id, case_open_date, case_status
+           FROM firm JOIN onboarding_case USING (company_id)""",
         "onboarding_case",
         "company",
         "legal_form",
@@ -459,20 +520,24 @@ ORACLE: dict[str, str] = {
            FROM stats""",
         "stats",
     ),
+    # Holdings outwards: those with their owner, and the companies that no holding names.
     "company_with_ubo": _sql(
-        """SELECT c.company_id, c.company_name, lf.legal_form_name, co.country_name, u.ubo_id,
-                  u.first_name || ' ' || u.last_name AS ubo_full_name, u.nationality AS ubo_nationality,
-                  o.ownership_percentage,
-                  CASE WHEN o.is_ownership_direct THEN 'Direct'
-                       WHEN NOT o.is_ownership_direct THEN 'Indirect' END AS ownership_type,
-                  o.valid_from, o.valid_to,
-                  CASE WHEN o.ownership_percentage >= 25 THEN 'Ja'
-                       WHEN o.ownership_percentage IS NULL THEN 'Kein UBO' ELSE 'Nein'
-                  END AS is_beneficial_owner
-           FROM company c JOIN legal_form lf ON c.legal_form_id = lf.legal_form_id
-           JOIN country co ON lf.country_id = co.country_id
-           LEFT JOIN ownership o ON c.company_id = o.company_id
-           LEFT JOIN ubo u ON o.ubo_id = u.ubo_id""",
+        """WITH place AS (
+               SELECT company_id, company_name, legal_form_name, country_name
+               FROM country JOIN legal_form USING (country_id) JOIN company USING (legal_form_id)),
+           held AS (
+               SELECT company_id, ownership.ubo_id AS named, ubo.ubo_id,
+                      concat_ws(' ', first_name, last_name) AS whole_name, nationality, ownership_percentage,
+                      CASE is_ownership_direct WHEN TRUE THEN 'Direct' WHEN FALSE THEN 'Indirect' END AS way,
+                      valid_from, valid_to, if(ownership_percentage < 25, 'Nein', 'Ja') AS verdict
+               FROM ownership LEFT JOIN ubo ON ubo.ubo_id = ownership.ubo_id)
+           SELECT place.*, ubo_id, if(ubo_id IS NULL, NULL, whole_name) AS ubo_full_name,
+                  nationality AS ubo_nationality, ownership_percentage, way AS ownership_type,
+                  valid_from, valid_to, verdict AS is_beneficial_owner
+           FROM held JOIN place USING (company_id)
+           UNION ALL BY NAME
+           SELECT place.*, 'Kein UBO' AS is_beneficial_owner
+           FROM place ANTI JOIN ownership USING (company_id)""",
         "company",
         "legal_form",
         "country",
@@ -514,15 +579,14 @@ ORACLE: dict[str, str] = {
         "ownership",
         "live_docs",
     ),
+    # All holdings without those that ended before the moment asked about (a day ends as it begins).
     "active_ubos": _sql(
-        f"""SELECT o.company_id, u.ubo_id, u.first_name, u.last_name,
-                   u.first_name || ' ' || u.last_name AS full_name, u.date_of_birth, u.nationality,
-                   o.ownership_percentage,
-                   CASE WHEN o.is_ownership_direct THEN 'Direct' ELSE 'Indirect' END AS ownership_type,
-                   o.valid_from, o.valid_to,
-                   coalesce(o.ownership_percentage >= 25, FALSE) AS is_reportable
-            FROM ubo u JOIN ownership o ON u.ubo_id = o.ubo_id
-            WHERE o.valid_to IS NULL OR CAST(o.valid_to AS TIMESTAMP) >= {AS_OF}""",
+        f"""SELECT company_id, ubo_id, first_name, last_name, concat(first_name, ' ', last_name) AS full_name,
+                   date_of_birth, nationality, ownership_percentage,
+                   if(is_ownership_direct, 'Direct', 'Indirect') AS ownership_type, valid_from, valid_to,
+                   ifnull(ownership_percentage, 0) >= 25 AS is_reportable
+            FROM ownership JOIN ubo USING (ubo_id)
+            WHERE NOT coalesce(valid_to < {AS_OF}, FALSE)""",
         "ubo",
         "ownership",
     ),
@@ -558,10 +622,10 @@ ORACLE: dict[str, str] = {
         f"""SELECT case_id, company_name,
                    CASE WHEN advances THEN 'InReview' ELSE case_status END AS case_status,
                    missing AS missing_mandatory,
-                   CASE WHEN advances THEN {_quote(review.ADVANCED)}
-                        WHEN missing = 0 THEN {_quote(review.READY)}
-                        WHEN missing = 1 THEN {_quote(review.ONE_MISSING)}
-                        ELSE {_wrap(review.MANY_MISSING, _text('missing'))} END AS recommendation
+                   CASE WHEN advances THEN {_quote(ADVANCED)}
+                        WHEN missing = 0 THEN {_quote(READY)}
+                        WHEN missing = 1 THEN {_quote(ONE_MISSING)}
+                        ELSE {_wrap(MANY_MISSING, _text('missing'))} END AS recommendation
             FROM reviewed ORDER BY missing_mandatory DESC, case_id""",
         "reviewed",
     ),
@@ -593,9 +657,9 @@ ORACLE: dict[str, str] = {
         f"""SELECT r.request_id, r.case_id, r.new_status,
                    CASE WHEN w.request_id IS NULL THEN 'NOT_FOUND' WHEN w.ok THEN 'ACCEPTED'
                         ELSE 'INVALID' END AS code,
-                   CASE WHEN w.request_id IS NULL THEN {_quote(lifecycle.NOT_FOUND)}
-                        WHEN w.ok THEN {_wrap(lifecycle.UPDATED, _text('r.case_id'), _label('r.new_status'))}
-                        ELSE {_wrap(lifecycle.INVALID, _label('w.old_status'), _label('r.new_status'))}
+                   CASE WHEN w.request_id IS NULL THEN {_quote(NOT_FOUND)}
+                        WHEN w.ok THEN {_wrap(UPDATED, _text('r.case_id'), _label('r.new_status'))}
+                        ELSE {_wrap(INVALID, _label('w.old_status'), _label('r.new_status'))}
                    END AS message
             FROM status_requests r LEFT JOIN walk w ON w.request_id = r.request_id""",
         "status_requests",
@@ -615,21 +679,21 @@ ORACLE: dict[str, str] = {
     "status_change_audit_checks": _sql("SELECT * FROM audit_rows", "audit_rows"),
     "workflow_verdicts": _sql(
         f"""SELECT request_id, kind, case_id, code,
-                   CASE WHEN kind = 'status' AND code = 'NOT_FOUND' THEN {_quote(lifecycle.NOT_FOUND)}
+                   CASE WHEN kind = 'status' AND code = 'NOT_FOUND' THEN {_quote(NOT_FOUND)}
                         WHEN kind = 'status' AND code = 'ACCEPTED'
-                             THEN {_wrap(lifecycle.UPDATED, _text('case_id'), _label('asked_status'))}
+                             THEN {_wrap(UPDATED, _text('case_id'), _label('asked_status'))}
                         WHEN kind = 'status'
-                             THEN {_wrap(lifecycle.INVALID, _label('met'), _label('asked_status'))}
+                             THEN {_wrap(INVALID, _label('met'), _label('asked_status'))}
                         WHEN code = 'CASE_NOT_FOUND'
-                             THEN {_wrap(submissions.CASE_NOT_FOUND, _text('case_id'))}
-                        WHEN code = 'CASE_STATUS' THEN {_wrap(submissions.CASE_STATUS, _label('met'))}
+                             THEN {_wrap(CASE_NOT_FOUND, _text('case_id'))}
+                        WHEN code = 'CASE_STATUS' THEN {_wrap(CASE_STATUS, _label('met'))}
                         WHEN code = 'TYPE_NOT_FOUND'
-                             THEN {_wrap(submissions.TYPE_NOT_FOUND, _text('document_type_id'))}
-                        WHEN code = 'DUPLICATE' THEN {_quote(submissions.DUPLICATE)}
+                             THEN {_wrap(TYPE_NOT_FOUND, _text('document_type_id'))}
+                        WHEN code = 'DUPLICATE' THEN {_quote(DUPLICATE)}
                         WHEN code = 'UBO_NOT_REPORTABLE'
-                             THEN {_wrap(submissions.UBO_NOT_REPORTABLE, _text('ubo_id'))}
+                             THEN {_wrap(UBO_NOT_REPORTABLE, _text('ubo_id'))}
                         WHEN missing_after = 0 THEN {COMPLETE_MESSAGE}
-                        ELSE {_wrap(submissions.STILL_MISSING, _text('missing_after'))} END AS message,
+                        ELSE {_wrap(STILL_MISSING, _text('missing_after'))} END AS message,
                    CAST(coalesce(new_document_id, 0) AS BIGINT) AS new_document_id, missing_after,
                    CASE WHEN code = 'ACCEPTED' THEN now END AS new_status
             FROM handled""",
@@ -792,23 +856,19 @@ ORACLE: dict[str, str] = {
                       END AS stored_in FROM onboarding_case""",
         "onboarding_case",
     ),
+    # Users with the role of their nation and the login of their number; roles have neither.
     "access_roster": f"""
-        WITH principals AS (
-            SELECT s_name AS name, 'S' AS type, 'SQL_USER' AS type_desc, s_suppkey AS sid,
-                   s_suppkey AS principal_id FROM supplier
-            UNION ALL
-            SELECT n_name, 'R', 'DATABASE_ROLE', NULL, n_nationkey + 1000000000000 FROM nation),
-        rm AS (
-            SELECT m.name AS member_name, r.name AS role_name
-            FROM supplier s JOIN principals m ON m.principal_id = s.s_suppkey
-            JOIN principals r ON r.principal_id = s.s_nationkey + 1000000000000)
-        SELECT dp.name AS principal, dp.type_desc, coalesce(sl.c_name, '-') AS login,
-               coalesce(rm.role_name, '-') AS member_of_role
-        FROM principals dp
-        LEFT JOIN customer sl ON sl.c_custkey = dp.sid AND sl.c_acctbal > 0
-        LEFT JOIN rm ON {_fold('rm.member_name')} = {_fold('dp.name')}
-        WHERE {_in_list('dp.type', roster.LISTED_TYPES)} AND NOT {_in_list('dp.name', roster.SYSTEM_NAMES)}
-        ORDER BY dp.type_desc, dp.name""",
+        WITH people AS (
+            SELECT s_name AS principal, 'SQL_USER' AS type_desc, 'S' AS letter,
+                   (SELECT any_value(c_name) FROM customer WHERE c_custkey = s_suppkey AND c_acctbal > 0) AS login,
+                   (SELECT any_value(n_name) FROM nation WHERE n_nationkey = s_nationkey) AS member_of_role
+            FROM supplier
+            UNION ALL BY NAME
+            SELECT n_name AS principal, 'DATABASE_ROLE' AS type_desc, 'R' AS letter FROM nation)
+        SELECT principal, type_desc, ifnull(login, '-') AS login, ifnull(member_of_role, '-') AS member_of_role
+        FROM people
+        WHERE {_in_list('letter', LISTED_TYPES)} AND NOT {_in_list('principal', SYSTEM_NAMES)}
+        ORDER BY type_desc, principal""",
     "sql_scalar_functions": _sql(
         f"""SELECT oc.case_id, {_label('oc.case_status')} AS status_label, m.missing
             FROM onboarding_case oc JOIN missing m ON m.case_id = oc.case_id""",

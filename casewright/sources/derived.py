@@ -13,30 +13,15 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of the test data.
+# Fixed values of the test data: market segments, the number of document types, and the first personal one.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-DOCUMENT_TYPES = (
-    ("Register extract", "Company"),
-    ("Articles of association", "Company"),
-    ("Transparency extract", "Company"),
-    ("Annual accounts", "Company"),
-    ("Identity card", "UBO"),
-    ("Proof of residence", "UBO"),
-    ("Tax number", "UBO"),
-)
-EXTERNAL_SOURCES = (
-    ("Internal", None, "Internal"),
-    ("Credit bureau", "DE", "Commercial"),
-    ("Register DE", "DE", "Registry"),
-    ("Register AT", "AT", "Registry"),
-    ("Register NL", "NL", "Registry"),
-    ("Register BE", "BE", "Registry"),
-)
+TYPES = 7
 FIRST_UBO_TYPE = 5
 READ_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string",
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
     "o_orderdate timestamp_ntz, o_orderpriority string",
@@ -100,17 +85,6 @@ class Derived(Mapping[str, DataFrame]):
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(READ_SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
 
-    def _catalog(self, rows: tuple[tuple, ...], key: str, *names: str) -> DataFrame:
-        """A fixed list as rows numbered from 1, small enough to be seen as such by the planner."""
-        structs = [
-            F.struct(
-                F.lit(i).cast("bigint").alias(key),
-                *[F.lit(v).cast("string").alias(n) for n, v in zip(names, row)],
-            )
-            for i, row in enumerate(rows, 1)
-        ]
-        return self.spark.range(1).select(F.inline(F.array(*structs)))
-
     def country(self) -> DataFrame:
         nation, region = self.raw("nation"), self.raw("region")
         return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
@@ -172,14 +146,11 @@ class Derived(Mapping[str, DataFrame]):
         )
 
     def ownership(self) -> DataFrame:
+        """Every order line is a holding; customers without orders have no owners."""
         line = self.raw("lineitem").select(
             "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag", "l_shipdate"
         )
-        order = (
-            self.raw("orders")
-            .filter(F.col("o_orderstatus") == "F")
-            .select("o_orderkey", "o_custkey", "o_orderdate")
-        )
+        order = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         return line.join(order, line.l_orderkey == order.o_orderkey).select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ownership_id"),
             F.col("o_custkey").alias("company_id"),
@@ -191,13 +162,18 @@ class Derived(Mapping[str, DataFrame]):
         )
 
     def document_type(self) -> DataFrame:
-        return self._catalog(
-            DOCUMENT_TYPES, "document_type_id", "document_type_name", "document_scope"
+        """Parts fall into types by their key; a type is called after the first name among them."""
+        kind = F.col("p_partkey") % TYPES + 1
+        names = self.raw("part").groupBy(kind.alias("document_type_id")).agg(F.min("p_name").alias("name"))
+        return names.select(
+            "document_type_id",
+            F.col("name").alias("document_type_name"),
+            F.when(F.col("document_type_id") >= FIRST_UBO_TYPE, "UBO").otherwise("Company").alias("document_scope"),
         )
 
     def required_documents(self) -> DataFrame:
         """Every legal form has rules, except those whose segment is MACHINERY."""
-        types = F.explode(F.sequence(F.lit(1), F.lit(len(DOCUMENT_TYPES)))).alias("type")
+        types = F.explode(F.sequence(F.lit(1), F.lit(TYPES))).alias("type")
         rules = (
             self.legal_form()
             .filter(F.col("legal_form_code") != "MACHINERY")
@@ -233,7 +209,7 @@ class Derived(Mapping[str, DataFrame]):
 
     def submitted_documents(self) -> DataFrame:
         """Order lines repeat (order, line), so some document ids repeat as well."""
-        kind = F.col("l_partkey") % 7 + 1
+        kind = F.col("l_partkey") % TYPES + 1
         status = _map(F.col("l_returnflag"), {"N": "Pending", "A": "Verified"}, "Rejected")
         return self.raw("lineitem").select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("submitted_document_id"),
@@ -246,8 +222,14 @@ class Derived(Mapping[str, DataFrame]):
         )
 
     def external_source(self) -> DataFrame:
-        return self._catalog(
-            EXTERNAL_SOURCES, "external_source_id", "source_name", "source_country", "source_type"
+        """Each region is a source, in the country of its first nation; checks also name sources past the last."""
+        nation, region = self.raw("nation"), self.raw("region")
+        first = nation.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("first"))
+        return region.join(first, region["r_regionkey"] == first["n_regionkey"], "left").select(
+            (F.col("r_regionkey").cast("bigint") + 1).alias("external_source_id"),
+            F.col("r_name").alias("source_name"),
+            F.lpad(_text(F.col("first")), 2, "0").alias("source_country"),
+            F.when(F.col("r_regionkey") == 0, "Internal").otherwise("Registry").alias("source_type"),
         )
 
     def external_verification_check(self) -> DataFrame:
