@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright.functions.text import text_eq
 from casewright.operators.overview import onboarding_overview
+from casewright.schema import TABLES
 
 Tables = Mapping[str, DataFrame]
 
@@ -33,12 +35,27 @@ def split_closed(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cases.filter(~closed), cases.filter(closed)
 
 
-def archive_closed_cases(cases: DataFrame, running_path: str, archive_path: str) -> None:
-    """Append closed cases to the archive, then write the rest as a new version.
+#: The tables that belong to a case and go into the archive with it.
+CASE_TABLES = ("onboarding_case", "submitted_documents", "external_verification_check")
 
-    ``running_path`` must not be where ``cases`` is read from: if the job is
-    lost half way, the old version still holds every case.
+
+def archive_closed_cases(tables: Tables, running_path: str, archive_path: str, run: str) -> None:
+    """Move closed cases with their documents and checks into the archive.
+
+    Each run writes a folder of its own, ``<archive_path>/<table>/run=<run>``, and the rest as a new
+    version under ``<running_path>/<table>``. Both are overwritten, so a run that was lost or repeated
+    stores nothing twice. ``running_path`` must not be where the tables are read from.
     """
-    running, closed = split_closed(cases)
-    closed.write.mode("append").parquet(archive_path)
-    running.write.mode("overwrite").parquet(running_path)
+    _, closed = split_closed(tables["onboarding_case"])
+    ids = closed.select("case_id").distinct()
+    for name in CASE_TABLES:
+        rows = tables[name]
+        archived = rows.join(ids, "case_id", "left_semi")
+        archived.write.mode("overwrite").parquet(f"{archive_path}/{name}/run={run}")
+        rows.join(ids, "case_id", "left_anti").write.mode("overwrite").parquet(f"{running_path}/{name}")
+
+
+def read_archive(spark: SparkSession, archive_path: str, name: str) -> DataFrame:
+    """All archived rows of a table, with the ``run`` that stored them."""
+    schema = T.StructType([*TABLES[name].struct.fields, T.StructField("run", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{archive_path}/{name}")

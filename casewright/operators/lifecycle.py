@@ -14,7 +14,8 @@ from casewright.functions.rules import DECISIONS, TRANSITIONS, status_label, tra
 from casewright.functions.shuffles import grouped_apart
 from casewright.functions.text import text_case, text_eq, text_in
 from casewright.schema import CASE_STATUSES
-from casewright.sources.snapshots import stored
+from casewright.sources.shared import stored
+from casewright.sources.tables import with_ids
 
 Tables = Mapping[str, DataFrame]
 
@@ -116,8 +117,11 @@ def _accepted_steps(requests: DataFrame, states: DataFrame) -> list[DataFrame]:
 
 
 def status_timeline(requests: DataFrame, cases: DataFrame) -> DataFrame:
-    """Per case its stored state and its steps: case_id, state, request_1, state_1, request_2, …"""
-    states = cases.select("case_id", _number(F.col("case_status")).alias("state"))
+    """Per case its stored state and its steps: case_id, state, request_1, state_1, request_2, …
+
+    A case whose stored status is NULL counts as not found, so it has no row.
+    """
+    states = cases.filter(F.col("case_status").isNotNull()).select("case_id", _number(F.col("case_status")).alias("state"))
     stacked = states
     for i, step in enumerate(_accepted_steps(requests, states), 1):
         numbered = step.select(
@@ -303,6 +307,16 @@ def audit_checks(decided: DataFrame, checks: DataFrame, as_of: dt.datetime) -> D
     )
 
 
+def with_new_checks(checks: DataFrame, new: DataFrame) -> DataFrame:
+    """``checks`` and the ``new`` ones, which get the next free ids by case.
+
+    A case gets at most one new check, so its id orders them; they are stored first, because the ids
+    are counted in several passes.
+    """
+    numbered = with_ids(stored(new, "new-checks"), "external_check_id", checks, "case_id")
+    return checks.unionByName(numbered.select(checks.columns))
+
+
 @dataclass(frozen=True)
 class StatusOutcome:
     """What a batch of status requests leads to."""

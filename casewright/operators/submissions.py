@@ -15,7 +15,7 @@ from casewright.functions.rules import ACCEPTS_DOCUMENTS, is_live, status_label
 from casewright.functions.shuffles import distinct_apart, grouped_apart
 from casewright.functions.text import text_eq, text_in
 from casewright.operators.gaps import missing_types, reportable_owners
-from casewright.sources.snapshots import stored
+from casewright.sources.shared import stored
 
 Tables = Mapping[str, DataFrame]
 
@@ -69,12 +69,11 @@ def _judged(requests: DataFrame, tables: Tables) -> DataFrame:
     touched = distinct_apart(keys, "case_id")
     cases = tables["onboarding_case"].select("case_id", "company_id", "case_status")
     types = tables["document_type"].select("document_type_id").withColumn("known_type", F.lit(True))
+    # reduced to its keys before it meets the touched cases: a case with very many documents has few keys
     live = (
-        tables["submitted_documents"]
-        .filter(is_live(F.col("document_status")))
+        distinct_apart(tables["submitted_documents"].filter(is_live(F.col("document_status"))), *_KEY)
         .join(touched, "case_id", "left_semi")
         .select(*[F.col(c).alias(f"_{c}") for c in _KEY])
-        .distinct()
         .withColumn("on_file", F.lit(True))
     )
     owners = reportable_owners(tables).withColumn("eligible", F.lit(True))
@@ -99,7 +98,10 @@ def _case_progress(accepted: DataFrame, tables: Tables) -> DataFrame:
     """
     touched = distinct_apart(accepted, "case_id")
     running = tables["onboarding_case"].join(touched, "case_id", "left_semi")
-    documents = tables["submitted_documents"].join(touched, "case_id", "left_semi")
+    live = tables["submitted_documents"].filter(is_live(F.col("document_status")))
+    documents = distinct_apart(live, "case_id", "document_type_id", "document_status").join(
+        touched, "case_id", "left_semi"
+    )
     missing = missing_types(tables, running, documents).select(
         "case_id", F.explode("missing_types").alias("document_type_id")
     )

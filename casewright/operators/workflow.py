@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions.rules import ACCEPTS_DOCUMENTS
 from casewright.operators import lifecycle, submissions
-from casewright.sources.snapshots import stored
+from casewright.sources.shared import stored
 
 Tables = Mapping[str, DataFrame]
 
@@ -115,7 +115,7 @@ def tables_after(tables: Tables, outcome: Outcome, as_of: dt.datetime) -> dict[s
     """The three tables that a feed changes, as new frames.
 
     Documents include the new ones, with decisions already carried through;
-    the check table ends with the automatic checks, which have no id yet.
+    the check table ends with the automatic checks under the next free ids.
     """
     decided = lifecycle.decisions(outcome.changes)
     documents = tables["submitted_documents"].unionByName(outcome.new_documents)
@@ -125,7 +125,7 @@ def tables_after(tables: Tables, outcome: Outcome, as_of: dt.datetime) -> dict[s
             tables["onboarding_case"], lifecycle.last_status(outcome.changes)
         ),
         "submitted_documents": lifecycle.propagate_to_documents(documents, decided, as_of),
-        "external_verification_check": checks.unionByName(
-            lifecycle.audit_checks(decided, checks, as_of), allowMissingColumns=True
+        "external_verification_check": lifecycle.with_new_checks(
+            checks, lifecycle.audit_checks(decided, checks, as_of)
         ),
     }

@@ -677,6 +677,14 @@ ORACLE: dict[str, str] = {
     ),
     "status_change_documents": _sql("SELECT * EXCLUDE (changed) FROM documents_after", "documents_after"),
     "status_change_audit_checks": _sql("SELECT * FROM audit_rows", "audit_rows"),
+    "checks_after_status_updates": _sql(
+        """SELECT * FROM external_verification_check
+           UNION ALL BY NAME
+           SELECT (SELECT max(external_check_id) FROM external_verification_check)
+                  + row_number() OVER (ORDER BY case_id) AS external_check_id, * FROM audit_rows""",
+        "external_verification_check",
+        "audit_rows",
+    ),
     "workflow_verdicts": _sql(
         f"""SELECT request_id, kind, case_id, code,
                    CASE WHEN kind = 'status' AND code = 'NOT_FOUND' THEN {_quote(NOT_FOUND)}
@@ -830,8 +838,9 @@ ORACLE: dict[str, str] = {
     "append_with_defaults": _sql(
         f"""SELECT * FROM submitted_documents
             UNION ALL
-            SELECT CAST(NULL AS BIGINT), case_id, ubo_id, document_type_id, {AS_OF_DAY}, 'Pending',
-                   CAST(NULL AS DATE) FROM submit_requests""",
+            SELECT (SELECT max(submitted_document_id) FROM submitted_documents)
+                   + row_number() OVER (ORDER BY request_id), case_id, ubo_id, document_type_id,
+                   {AS_OF_DAY}, 'Pending', CAST(NULL AS DATE) FROM submit_requests""",
         "submitted_documents",
         "submit_requests",
     ),
@@ -839,7 +848,7 @@ ORACLE: dict[str, str] = {
         f"SELECT * FROM onboarding_case WHERE {_fold('case_status')} = 'inreview'", "onboarding_case"
     ),
     "lookup_documents_by_case_status": _sql(
-        f"SELECT * FROM submitted_documents WHERE case_id = 7 AND {_fold('document_status')} = 'pending'",
+        f"SELECT * FROM submitted_documents WHERE case_id = 8 AND {_fold('document_status')} = 'pending'",
         "submitted_documents",
     ),
     "lookup_company_by_name": _sql(
@@ -857,6 +866,13 @@ ORACLE: dict[str, str] = {
         "onboarding_case",
     ),
     # Users with the role of their nation and the login of their number; roles have neither.
+    "archive_closed_documents": _sql(
+        f"""SELECT *, CASE WHEN case_id IN (SELECT case_id FROM onboarding_case
+                                            WHERE {_fold('case_status')} = 'closed')
+                           THEN 'archive' ELSE 'running' END AS stored_in FROM submitted_documents""",
+        "onboarding_case",
+        "submitted_documents",
+    ),
     "access_roster": f"""
         WITH people AS (
             SELECT s_name AS principal, 'SQL_USER' AS type_desc, 'S' AS letter,

@@ -26,7 +26,7 @@ from casewright.operators import (
 from casewright.schema import TABLES
 from casewright.sources.derived import Derived
 from casewright.sources.snapshots import restore, shared_dir, snapshot, snapshot_path
-from casewright.sources.tables import lookup, row_counts, with_defaults
+from casewright.sources.tables import lookup, row_counts, with_defaults, with_ids
 from casewright.streaming import request_feed, status_changes as change_stream
 
 AS_OF = dt.datetime(1998, 6, 1, 12, 0, 0)
@@ -186,6 +186,11 @@ def status_change_audit_checks(t: Derived) -> DataFrame:
     return _applied(t).new_checks
 
 
+@_query
+def checks_after_status_updates(t: Derived) -> DataFrame:
+    return lifecycle.with_new_checks(t["external_verification_check"], _applied(t).new_checks)
+
+
 def _outcome(t: Derived) -> workflow.Outcome:
     return workflow.run_requests(t["workflow_requests"], t, AS_OF)
 
@@ -283,8 +288,9 @@ def table_row_counts(t: Derived) -> DataFrame:
 def append_with_defaults(t: Derived) -> DataFrame:
     """The requested documents appended with only their keys given."""
     table = TABLES["submitted_documents"]
-    rows = t["submit_requests"].select("case_id", "ubo_id", "document_type_id")
-    return t["submitted_documents"].unionByName(with_defaults(rows, table, AS_OF))
+    rows = t["submit_requests"].select("request_id", "case_id", "ubo_id", "document_type_id")
+    numbered = with_ids(rows, table.key, t["submitted_documents"], "request_id").drop("request_id")
+    return t["submitted_documents"].unionByName(with_defaults(numbered, table, AS_OF))
 
 
 @_query
@@ -294,7 +300,7 @@ def lookup_cases_by_status(t: Derived) -> DataFrame:
 
 @_query
 def lookup_documents_by_case_status(t: Derived) -> DataFrame:
-    return lookup(t["submitted_documents"], case_id=7, document_status="PENDING")
+    return lookup(t["submitted_documents"], case_id=8, document_status="PENDING")
 
 
 @_query
@@ -332,17 +338,26 @@ def cases_by_jurisdiction(t: Derived) -> DataFrame:
     return t.spark.read.schema(written).parquet(path)
 
 
+def _archived(t: Derived, name: str) -> DataFrame:
+    """A case table after two equal runs of the archive, with the place of each row."""
+    base = shared_dir(t.spark, "archive")
+    for _ in range(2):
+        archive.archive_closed_cases(t, f"{base}/running", f"{base}/archive", "1")
+    running = t.spark.read.schema(TABLES[name].struct).parquet(f"{base}/running/{name}")
+    closed = archive.read_archive(t.spark, f"{base}/archive", name).drop("run")
+    return running.withColumn("stored_in", F.lit("running")).unionByName(
+        closed.withColumn("stored_in", F.lit("archive"))
+    )
+
+
 @_query
 def archive_closed_cases(t: Derived) -> DataFrame:
-    base = shared_dir(t.spark, "archive")
-    running, closed = f"{base}/running", f"{base}/archive"
-    archive.archive_closed_cases(t["onboarding_case"], running, closed)
-    schema = TABLES["onboarding_case"].struct
-    stored = [
-        t.spark.read.schema(schema).parquet(path).withColumn("stored_in", F.lit(name))
-        for name, path in (("running", running), ("archive", closed))
-    ]
-    return stored[0].unionByName(stored[1])
+    return _archived(t, "onboarding_case")
+
+
+@_query
+def archive_closed_documents(t: Derived) -> DataFrame:
+    return _archived(t, "submitted_documents")
 
 
 @_query

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.functions.dates import today
+from casewright.functions.ids import id_slices, with_dense_ids
 from casewright.functions.text import text_eq
 from casewright.schema import NO_DEFAULT, TABLES, TODAY, Table
+from casewright.sources.shared import stored
 
 
 def load(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[str, DataFrame]:
@@ -45,8 +47,31 @@ def with_defaults(rows: DataFrame, table: Table, as_of: dt.datetime) -> DataFram
     return rows.select([value(c) for c in table.columns])
 
 
-def append(rows: DataFrame, table: Table, path: str, as_of: dt.datetime) -> None:
-    """Add ``rows`` to the files of ``table`` under ``path``."""
+def with_ids(rows: DataFrame, key: str, existing: DataFrame, order: str) -> DataFrame:
+    """``rows`` with the next free values of ``key``, in the order of the unique number ``order``."""
+    highest = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint").alias("highest"))
+    kind = existing.schema[key].dataType
+    numbered = with_dense_ids(rows, order, key, highest.scalar(), id_slices(rows, order))
+    return numbered.withColumn(key, F.col(key).cast(kind))
+
+
+def append(
+    rows: DataFrame, table: Table, path: str, as_of: dt.datetime, order: str | None = None
+) -> None:
+    """Add ``rows`` to the files of ``table`` under ``path``.
+
+    Rows without the key column get the next free keys, in the order of ``order``,
+    a column of unique numbers; without it, in no particular order.
+    """
+    if table.key not in rows.columns:
+        existing = rows.sparkSession.read.schema(table.struct).parquet(f"{path}/{table.name}")
+        by = order or "_order"
+        if order is None:
+            # numbered once in a stored copy, so that every later use sees the same order
+            rows = stored(rows.withColumn(by, F.monotonically_increasing_id()), "rows-to-append")
+        rows = with_ids(rows, table.key, existing, by)
+    if order is not None and order not in {c.name for c in table.columns} or order is None:
+        rows = rows.drop(order or "_order")
     with_defaults(rows, table, as_of).write.mode("append").parquet(f"{path}/{table.name}")
 
 

@@ -241,6 +241,26 @@ def test_all_transitions(spark):
     }
 
 
+def test_unknown_stored_status_is_not_found(spark):
+    cases = spark.createDataFrame(
+        [(1, 1, None, None), (2, 2, None, "Open")],
+        "case_id bigint, company_id bigint, case_open_date date, case_status string",
+    )
+    asked = spark.createDataFrame([(1, 1, "InReview"), (2, 2, "InReview")], "request_id bigint, case_id bigint, new_status string")
+    verdicts = lifecycle.status_update_verdicts(asked, cases)
+    assert as_set(verdicts, "request_id", "code") == {(1, "NOT_FOUND"), (2, "ACCEPTED")}
+
+
+def test_new_checks_get_the_next_ids(spark):
+    checks = world(spark)["external_verification_check"]
+    decided = spark.createDataFrame(
+        [(8, "InReview", "Approved"), (3, "InReview", "Rejected")], "case_id bigint, old_status string, new_status string"
+    )
+    after = lifecycle.with_new_checks(checks, lifecycle.audit_checks(decided, checks, AS_OF))
+    assert as_set(after.filter("external_check_id > 5"), "external_check_id", "case_id") == {(6, 3), (7, 8)}
+    assert integrity.primary_key_violations({**world(spark), "external_verification_check": after}).count() == 0
+
+
 def test_decision_inside_a_batch_is_not_lost(spark):
     cases = frame(spark, "onboarding_case", [dict(case_id=1, company_id=1, case_status="Open")])
     steps = [(1, 1, "InReview"), (2, 1, "Approved"), (3, 1, "Closed")]

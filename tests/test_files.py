@@ -38,6 +38,12 @@ def test_snapshot_restore_append_purge(spark):
     assert [r.n for r in row_counts(live).collect()] == EXPECTED_COUNTS
     more = spark.createDataFrame([(13, "Late")], "company_id bigint, company_name string")
     append(more, TABLES["company"], f"{base}/live", AS_OF)
+    unnumbered = spark.createDataFrame([(1, 9), (2, 5)], "company_id bigint, asked bigint")
+    append(unnumbered, TABLES["onboarding_case"], f"{base}/live", AS_OF, order="asked")
+    cases = load(spark, f"{base}/live")["onboarding_case"]
+    assert as_set(cases.filter("case_id > 12"), "case_id", "company_id") == {(13, 2), (14, 1)}
+    append(unnumbered.drop("asked"), TABLES["onboarding_case"], f"{base}/live", AS_OF)
+    assert as_set(load(spark, f"{base}/live")["onboarding_case"].filter("case_id > 14"), "case_id") == {(15,), (16,)}
     company = load(spark, f"{base}/live")["company"]
     assert company.count() == 13
     assert company.filter("company_id = 13").first().registration_date == AS_OF.date()
@@ -73,9 +79,12 @@ def test_jurisdictions_and_archive(spark):
     after = tables["onboarding_case"].withColumn(
         "case_status", F.when(F.col("case_id") < 4, "closed").otherwise(F.col("case_status"))
     )
-    archive.archive_closed_cases(after, f"{base}/running", f"{base}/archive")
-    assert spark.read.parquet(f"{base}/archive").count() == 3
-    assert spark.read.parquet(f"{base}/running").count() == 9
+    for _ in range(2):
+        archive.archive_closed_cases({**tables, "onboarding_case": after}, f"{base}/running", f"{base}/archive", "1")
+    assert archive.read_archive(spark, f"{base}/archive", "onboarding_case").count() == 3
+    assert archive.read_archive(spark, f"{base}/archive", "submitted_documents").count() == 5
+    assert spark.read.parquet(f"{base}/running/onboarding_case").count() == 9
+    assert spark.read.parquet(f"{base}/running/submitted_documents").count() == 5
 
 
 def test_sql_surface(spark):

@@ -102,6 +102,26 @@ def test_submissions_answer_every_copy(spark, cases):
     assert "skewed" in plan, plan
 
 
+def test_submissions_for_a_case_with_many_documents(spark, cases):
+    """The hot case's documents are reduced to their keys before they meet the requests."""
+    feed = spark.range(4000).select(
+        F.col("id").alias("request_id"),
+        F.when(F.col("id") < 8, F.lit(HOT)).otherwise(F.col("id") + 6).cast("bigint").alias("case_id"),
+        (F.col("id") % 8 + 1).alias("document_type_id"),
+        F.lit(None).cast("bigint").alias("ubo_id"),
+    )
+    tables = dict(world(spark))
+    tables["onboarding_case"], tables["submitted_documents"] = cases, _documents(spark)
+    with large_scale_plans(spark):
+        judged = submissions._judged(feed, tables)
+        rows = judged.collect()
+        plan = _final_plan(judged)
+    hot = {r.document_type_id: r.code for r in rows if r.case_id == HOT}
+    assert hot == {**dict.fromkeys(range(1, 8), "DUPLICATE"), 8: "TYPE_NOT_FOUND"}
+    joined = plan[plan.index("LeftSemi") :]
+    assert "HashAggregate" in joined and "partial" not in joined[: joined.index("HashAggregate")]
+
+
 def _documents(spark):
     n = F.col("id")
     status = F.element_at(F.array(F.lit("Pending"), F.lit("Verified"), F.lit("Rejected")), (n % 3 + 1).cast("int"))
