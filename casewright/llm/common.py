@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casewright.sources.snapshots import stored as stored
+from casewright.sources.shared import stored as stored
 
 #: Text worked on at once, in bytes; a longer single text makes a block of its own.
 BLOCK_BYTES = 4 << 20
