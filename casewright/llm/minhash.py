@@ -7,10 +7,11 @@ the latest register, so most send one or two. Two texts agree in a register with
 similarity of their weighted shingles. 20 bands of 5 registers give candidates.
 
 Verification is exact. Within a bucket all texts are compared with its smallest one only. Those of
-similarity 0.8 or more are linked to it and leave the bucket; the others stay for the next round, with their own
-smallest text. 1 minus the similarity is a metric, so a text below 0.6 to the smallest one has no link to
-those that left; texts between 0.6 and 0.8 are compared with each of those. So no link inside a bucket is
-lost, and no group is compared pair by pair. Classes are the connected components of the links.
+similarity 0.8 or more are linked to it and leave the bucket; the others stay for the next round, which
+compares them with more leaders, as few rounds later hardly any are left. 1 minus the similarity is a metric,
+so a text below 0.6 to a leader has no link to the texts near that leader; one between 0.6 and 0.8 is compared
+with each of those, unless it is in their class already. So no link that joins classes is lost, and no group of
+near-duplicates is compared pair by pair. Classes are the connected components of the links.
 
 Equal texts are one node, by their MD5, so a group of copies never meets in one task.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.llm.common import GOLDEN, blocks, fresh, mix, stored, word_hashes
@@ -179,31 +180,52 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(work, "key binary, leader binary, similarity double")
 
 
-def _links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """All links (``a``, ``b``) between texts that share a bucket; ``members``: (``bucket``, ``key``)."""
-    links = None
-    while True:
+def _star_round(members: DataFrame, sets: DataFrame, leaders: int) -> DataFrame | None:
+    """(``bucket``, ``key``, ``leader``, ``similarity``): each member against the smallest keys of its bucket."""
+    if leaders == 1:
         heads = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n"))
         heads = heads.where("n > 1").select("bucket", "leader")
-        # the buckets with their smallest text go through one more shuffle, so that a hot bucket can be split
-        held = stored(members.join(heads, "bucket").where(F.col("key") != F.col("leader")), "held")
-        if held.isEmpty():
-            return links
-        tested = stored(_similarities(held.select("key", "leader").distinct(), sets), "tested")
-        held = stored(held.join(tested, ["key", "leader"]), "judged")
-        near = held.where(F.col("similarity") >= SIMILAR)
-        doubtful = held.where((F.col("similarity") >= NOT_FAR) & (F.col("similarity") < SIMILAR))
-        cross = (
-            near.select("bucket", "key")
-            .join(doubtful.select("bucket", F.col("key").alias("leader")), "bucket")
-            .select("key", "leader")
-            .distinct()
-        )
-        crossed = _similarities(cross, sets)
-        found = tested.union(crossed).where(F.col("similarity") >= SIMILAR)
-        found = stored(found.select(F.col("key").alias("a"), F.col("leader").alias("b")), "found")
-        links = found if links is None else links.union(found)
-        members = held.where(F.col("similarity") < SIMILAR).select("bucket", "key")
+    else:
+        # Spark keeps the first rows of a bucket before it shuffles them
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
+        heads = members.withColumn("n", place).where(F.col("n") <= leaders)
+        heads = heads.select("bucket", F.col("key").alias("leader"))
+    held = stored(members.join(heads, "bucket").where(F.col("key") > F.col("leader")), "held")
+    if held.isEmpty():
+        return None
+    tested = stored(_similarities(held.select("key", "leader").distinct(), sets), "tested")
+    return stored(held.join(tested, ["key", "leader"]), "judged")
+
+
+def _links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """All links (``a``, ``b``) between texts that share a bucket, as far as they join classes."""
+    judged, leaders = None, 1
+    while (found := _star_round(members, sets, leaders)) is not None:
+        best = found.groupBy("bucket", "key").agg(F.max("similarity").alias("best"))
+        heads = found.select("bucket", F.col("leader").alias("key")).distinct()
+        alone = best.where(F.col("best") < SIMILAR).select("bucket", "key").join(heads, ["bucket", "key"], "left_anti")
+        members = stored(alone, "alone")
+        judged = found if judged is None else judged.union(found)
+        leaders *= 4 if leaders > 1 else 16
+    if judged is None:
+        return None
+    near = judged.where(F.col("similarity") >= SIMILAR)
+    links = stored(near.select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "links")
+    # a doubtful text matters only where its class is not yet that of the leader
+    doubtful = judged.where((F.col("similarity") >= NOT_FAR) & (F.col("similarity") < SIMILAR))
+    roots = components(links)
+    mine = roots.select(F.col("node").alias("key"), F.col("root").alias("r1"))
+    other = roots.select(F.col("node").alias("leader"), F.col("root").alias("r2"))
+    apart = (
+        doubtful.join(mine, "key", "left")
+        .join(other, "leader")
+        .where(F.coalesce("r1", "key") != F.col("r2"))
+        .select("bucket", "leader", F.col("key").alias("far"))
+    )
+    pairs = near.select("bucket", "leader", "key").join(apart, ["bucket", "leader"])
+    pairs = stored(pairs.select("key", F.col("far").alias("leader")).distinct(), "cross")
+    crossed = _similarities(pairs, sets).where(F.col("similarity") >= SIMILAR)
+    return links.union(stored(crossed.select(F.col("key").alias("a"), F.col("leader").alias("b")), "crossed"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
