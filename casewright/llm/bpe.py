@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright.llm.common import blocks, text_bytes
 
@@ -270,7 +271,8 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             ]
             yield batch.append_column("decoded", pa.array(texts, pa.binary()))
 
-    return kept.mapInArrow(work, kept.schema.add("decoded", "binary"))
+    schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
+    return kept.mapInArrow(work, schema)
 
 
 def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:

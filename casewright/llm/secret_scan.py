@@ -4,7 +4,7 @@ The fixed formats (assignments, access keys, hex strings) are found in every who
 of what they find, by kind, are the labelled credentials: each kind's strings, written as character
 classes, form a prefix tree, and states whose outgoing frequencies do not differ by a Hoeffding test are
 merged, from the root on, into a probabilistic automaton. Other long runs of credential characters
-train one more automaton, for what is no credential. Every run of 16 or more such characters with a digit
+that none of them finds usual train one more automaton, for what is no credential. Every run of 16 or more such characters with a digit
 that no fixed format covers is then scored by all automata; it is added where one of the credentials'
 automata makes it far likelier than the other does, and about as likely as that kind's own strings.
 
@@ -182,6 +182,9 @@ class Automaton:
                 else:
                     p.next[symbol] = q.next[symbol]
 
+    def is_usual(self, string: bytes) -> bool:
+        return self.log_likelihood(string) / (len(string) + 1) >= self.usual
+
     def log_likelihood(self, string: bytes) -> float:
         total, at = 0.0, 0
         for symbol in string:
@@ -198,14 +201,16 @@ class FormatModel:
     credentials: list[Automaton]
     other: Automaton
 
+    @classmethod
+    def of(cls, credentials: Sequence[Sequence[bytes]], runs: Sequence[bytes]) -> FormatModel:
+        """``runs`` that look like a credential do not teach what is none."""
+        own = [Automaton(strings) for strings in credentials if strings]
+        return cls(own, Automaton([r for r in runs if not any(a.is_usual(r) for a in own)]))
+
     def is_secret(self, run: bytes) -> bool:
         string = run.translate(CLASS)
         other = self.other.log_likelihood(string)
-        for automaton in self.credentials:
-            score = automaton.log_likelihood(string)
-            if score - other >= MARGIN and score / (len(string) + 1) >= automaton.usual:
-                return True
-        return False
+        return any(a.is_usual(string) and a.log_likelihood(string) - other >= MARGIN for a in self.credentials)
 
 
 def all_spans(data: np.ndarray, at: np.ndarray, model: FormatModel) -> list[Span]:
@@ -235,7 +240,7 @@ def learn_formats(docs: DataFrame, text: str = "text") -> FormatModel:
     for kind in range(len(KINDS)):
         picked = strings.where(F.col("kind") == kind).orderBy(F.xxhash64("run"), "run").limit(SAMPLE).collect()
         samples.append([ASSIGN.sub(rb"\1", r.run.encode()).translate(CLASS) for r in picked])
-    return FormatModel([Automaton(s) for s in samples[:3] if s], Automaton(samples[3]))
+    return FormatModel.of(samples[:3], samples[3])
 
 
 def scan(docs: DataFrame, model: FormatModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
