@@ -147,7 +147,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = rows["place"].to_numpy()
         hashes, owner, number = _window_hashes(rows["stretch"].to_pylist(), place & 255)
         _, group, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        hit = (times[group] > 1) & rows["lone"].to_numpy(zero_copy_only=False)[owner]
+        hit = (times[group] > 1) & rows["lone"].to_numpy()[owner]
+        if not hit.any():
+            return
         key = rows["key"].to_numpy()[owner[hit]]
         start = (place >> 8)[owner[hit]] + number[hit]
         order = np.lexsort((start, key))
