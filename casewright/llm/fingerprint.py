@@ -32,6 +32,8 @@ from casewright.llm.common import GOLDEN, blocks, mix, text_bytes
 #: Levels kept, smallest names kept of each, and the phrases a level must have to be compared.
 LEVELS, KEPT, ENOUGH = 4, 48, 8
 FIRST_LEVEL = 2
+#: Text parsed at once, in bytes; the arrays of a parse take some hundred times as much.
+PARSED = 1 << 20
 
 
 def _differing_bit(label: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -146,7 +148,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Per row: the key and ``fingerprint``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, PARSED):
             found = fingerprints(*text_bytes(block.column(1)))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(found)], [doc_id, "fingerprint"])
 
@@ -195,7 +197,7 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
-        for block in blocks(batches, text="text"):
+        for block in blocks(batches, PARSED):
             whole = pa.Table.from_batches([block])
             if carried is not None:
                 whole = pa.concat_tables([carried, whole]).combine_chunks()
@@ -213,9 +215,10 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for i in pairs:
             cut = len(texts[i]) // 4
             edited.append(texts[i][: len(texts[i]) - cut] + texts[i + 1][:cut])
-        both = pa.array([t.encode() for t in texts] + [t.encode() for t in edited], pa.large_binary())
-        found = fingerprints(*text_bytes(both))
-        changed = found[len(texts) :]
+        found, changed = (
+            fingerprints(*text_bytes(pa.array([t.encode() for t in some], pa.large_binary())))
+            for some in (texts, edited)
+        )
         yield pa.RecordBatch.from_pydict(
             {
                 "id": pa.array([ids[i] for i in pairs], pa.int64()),
