@@ -162,18 +162,19 @@ def missing_ubo_docs(tables: Tables, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def missing_ubo_docs_of_case(tables: Tables, as_of: dt.datetime, case_id: int) -> DataFrame:
-    """The personal documents still lacking in one case, by owner and rule."""
-    case = tables["onboarding_case"].filter(F.col("case_id") == case_id)
+def missing_ubo_docs_of(tables: Tables, as_of: dt.datetime, asked: DataFrame) -> DataFrame:
+    """The personal documents still lacking in the ``asked`` cases (case_id), by owner and rule."""
+    ids = distinct_apart(asked, "case_id")
+    cases = tables["onboarding_case"].join(ids, "case_id", "left_semi")
     rules = _owner_rules(tables).select("legal_form_id", "required_document_id", "document_type_id")
+    owners = reportable_owners(tables, as_of).join(
+        distinct_apart(cases, "company_id"), "company_id", "left_semi"
+    )
+    on_file = _live_types(tables, "ubo_id").join(ids, "case_id", "left_semi")
     return (
-        _case_forms(case, tables, "inner")
+        _case_forms(cases, tables, "inner")
         .join(rules, "legal_form_id")
-        .join(reportable_owners(tables, as_of), "company_id")
-        .join(
-            _live_types(tables, "ubo_id"),
-            ["case_id", "ubo_id", "document_type_id"],
-            "left_anti",
-        )
+        .join(owners, "company_id")
+        .join(on_file, ["case_id", "ubo_id", "document_type_id"], "left_anti")
         .select("case_id", "ubo_id", "required_document_id", "document_type_id")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions.dates import not_ended, valid_on
 from casewright.functions.rules import full_name, is_reportable, owner_flag, ownership_type
-from casewright.functions.shuffles import grouped_apart
+from casewright.functions.shuffles import distinct_apart, grouped_apart
 from casewright.operators.overview import company_profile
 
 Tables = Mapping[str, DataFrame]
@@ -142,12 +142,19 @@ def reportable_at_onboarding(tables: Tables) -> DataFrame:
     )
 
 
-def reportable_owners_of_case(tables: Tables, case_id: int) -> DataFrame:
-    """The holdings of at least 25 % that were valid when one case was opened."""
-    case = tables["onboarding_case"].filter(F.col("case_id") == case_id)
-    holding = tables["ownership"].filter(is_reportable(F.col("ownership_percentage")))
+def reportable_owners_of(tables: Tables, asked: DataFrame) -> DataFrame:
+    """The holdings of at least 25 % that were valid when the ``asked`` cases (case_id) were opened.
+
+    Cases and holdings are cut down to the asked ones before they meet, so the work follows the request.
+    """
+    cases = tables["onboarding_case"].join(distinct_apart(asked, "case_id"), "case_id", "left_semi")
+    holding = (
+        tables["ownership"]
+        .filter(is_reportable(F.col("ownership_percentage")))
+        .join(distinct_apart(cases, "company_id"), "company_id", "left_semi")
+    )
     return (
-        case.join(holding, "company_id")
+        cases.join(holding, "company_id")
         .filter(valid_on(F.col("valid_from"), F.col("valid_to"), F.col("case_open_date")))
         .select("case_id", "company_id", "case_open_date", "ubo_id", "ownership_percentage")
     )

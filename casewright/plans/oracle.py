@@ -579,6 +579,32 @@ ORACLE: dict[str, str] = {
         "ownership",
         "live_docs",
     ),
+    "missing_ubo_docs_listed": _sql(
+        f"""SELECT case_id, ubo_id, required_document_id, document_type_id
+            FROM (SELECT DISTINCT case_id FROM status_requests WHERE new_status = 'InReview') asked
+            JOIN onboarding_case USING (case_id) JOIN company USING (company_id)
+            JOIN (SELECT * FROM required_documents WHERE is_mandatory AND applies_to_ubo) USING (legal_form_id)
+            JOIN (SELECT DISTINCT company_id, ubo_id FROM ownership
+                  WHERE ownership_percentage >= 25 AND NOT coalesce(valid_to < {AS_OF}, FALSE)) USING (company_id)
+            WHERE (case_id, ubo_id, document_type_id) NOT IN (
+                SELECT (case_id, ubo_id, document_type_id) FROM live_docs WHERE ubo_id IS NOT NULL)""",
+        "status_requests",
+        "onboarding_case",
+        "company",
+        "required_documents",
+        "ownership",
+        "live_docs",
+    ),
+    "reportable_owners_listed": _sql(
+        """SELECT case_id, company_id, case_open_date, ubo_id, ownership_percentage
+           FROM onboarding_case JOIN ownership USING (company_id)
+           WHERE case_id IN (SELECT case_id FROM status_requests WHERE new_status = 'InReview')
+             AND ownership_percentage >= 25
+             AND case_open_date BETWEEN coalesce(valid_from, case_open_date) AND coalesce(valid_to, case_open_date)""",
+        "status_requests",
+        "onboarding_case",
+        "ownership",
+    ),
     # All holdings without those that ended before the moment asked about (a day ends as it begins).
     "active_ubos": _sql(
         f"""SELECT company_id, ubo_id, first_name, last_name, concat(first_name, ' ', last_name) AS full_name,
@@ -844,6 +870,25 @@ ORACLE: dict[str, str] = {
         "submitted_documents",
         "submit_requests",
     ),
+    "staged_rejects": _sql(
+        """SELECT 'ownership' AS table_name, CAST(ownership_id AS VARCHAR) AS row_key,
+                  'ownership_percentage' AS column_name, CAST(ownership_percentage * 25 AS VARCHAR) AS value
+           FROM ownership WHERE ownership_id % 10 = 3 AND ownership_percentage * 25 >= 1000
+           UNION ALL
+           SELECT 'ownership', CAST(ownership_id AS VARCHAR), 'valid_from', '1997-13-01'
+           FROM ownership WHERE ownership_id % 10 = 7""",
+        "ownership",
+    ),
+    "staged_holdings": _sql(
+        """SELECT * REPLACE (
+               CAST(CASE ownership_id % 10 WHEN 3 THEN ownership_percentage * 25 ELSE ownership_percentage END
+                    AS DECIMAL(5,2)) AS ownership_percentage,
+               CASE ownership_id % 10 WHEN 5 THEN CAST(date_trunc('month', valid_from) AS DATE)
+                    ELSE valid_from END AS valid_from)
+           FROM ownership
+           WHERE ownership_id % 10 <> 7 AND NOT (ownership_id % 10 = 3 AND ownership_percentage * 25 >= 1000)""",
+        "ownership",
+    ),
     "lookup_cases_by_status": _sql(
         f"SELECT * FROM onboarding_case WHERE {_fold('case_status')} = 'inreview'", "onboarding_case"
     ),

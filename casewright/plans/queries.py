@@ -26,7 +26,7 @@ from casewright.operators import (
 from casewright.schema import TABLES
 from casewright.sources.derived import Derived
 from casewright.sources.snapshots import restore, shared_dir, snapshot, snapshot_path
-from casewright.sources.tables import lookup, row_counts, with_defaults, with_ids
+from casewright.sources.tables import load_checked, lookup, row_counts, with_defaults, with_ids
 from casewright.streaming import request_feed, status_changes as change_stream
 
 AS_OF = dt.datetime(1998, 6, 1, 12, 0, 0)
@@ -96,6 +96,21 @@ def missing_ubo_docs(t: Derived) -> DataFrame:
     return gaps.missing_ubo_docs(t, AS_OF)
 
 
+def _asked(t: Derived) -> DataFrame:
+    """The cases that some request wants reviewed."""
+    return t["status_requests"].filter(F.col("new_status") == "InReview").select("case_id")
+
+
+@_query
+def missing_ubo_docs_listed(t: Derived) -> DataFrame:
+    return gaps.missing_ubo_docs_of(t, AS_OF, _asked(t))
+
+
+@_query
+def reportable_owners_listed(t: Derived) -> DataFrame:
+    return ownership.reportable_owners_of(t, _asked(t))
+
+
 @_query
 def active_ubos(t: Derived) -> DataFrame:
     return ownership.active_ubos(t, AS_OF)
@@ -293,6 +308,35 @@ def append_with_defaults(t: Derived) -> DataFrame:
     return t["submitted_documents"].unionByName(with_defaults(numbered, table, AS_OF))
 
 
+def _staged(t: Derived) -> str:
+    """Holdings as text, some percentages too wide for their type and some dates without a day."""
+    base = shared_dir(t.spark, "staged")
+    for name, table in TABLES.items():
+        rows = t[name] if name == "ownership" else t.spark.createDataFrame([], table.struct)
+        if name == "ownership":
+            wide = F.when(F.col("ownership_id") % 10 == 3, F.col("ownership_percentage") * 25)
+            day = F.when(F.col("ownership_id") % 10 == 5, F.date_format("valid_from", "yyyy-MM"))
+            day = F.when(F.col("ownership_id") % 10 == 7, F.lit("1997-13-01")).otherwise(day)
+            rows = rows.withColumns(
+                {
+                    "ownership_percentage": F.coalesce(wide, "ownership_percentage").cast("string"),
+                    "valid_from": F.coalesce(day, F.col("valid_from").cast("string")),
+                }
+            )
+        rows.select([c.name for c in table.columns]).write.option("header", True).csv(f"{base}/{name}")
+    return base
+
+
+@_query
+def staged_rejects(t: Derived) -> DataFrame:
+    return load_checked(t.spark, _staged(t))[1]
+
+
+@_query
+def staged_holdings(t: Derived) -> DataFrame:
+    return load_checked(t.spark, _staged(t))[0]["ownership"]
+
+
 @_query
 def lookup_cases_by_status(t: Derived) -> DataFrame:
     return lookup(t["onboarding_case"], case_status="inreview ")

@@ -25,6 +25,34 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[str, Data
     return {name: reader.schema(t.struct).load(f"{path}/{name}") for name, t in TABLES.items()}
 
 
+def load_checked(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables from CSV under ``path/<table>``, and the values that do not fit their type.
+
+    The second result has a row per such value: table_name, row_key, column_name, value. A row with one is
+    left out of its table, as a database would refuse it. Texts are kept as they are; ``dq_domain``
+    judges their length.
+    """
+    tables, rejects = {}, []
+    for name, table in TABLES.items():
+        texts = ", ".join(f"{c.name} string" for c in table.columns)
+        raw = spark.read.option("header", True).option("enforceSchema", False).schema(texts).csv(f"{path}/{name}")
+        wrong = [
+            F.when(
+                F.col(c.name).isNotNull() & F.col(c.name).try_cast(c.type).isNull(),
+                F.struct(F.lit(c.name).alias("column_name"), F.col(c.name).alias("value")),
+            )
+            for c in table.columns
+            if not isinstance(c.type, T.StringType)
+        ]
+        judged = raw.withColumn("_wrong", F.filter(F.array(*wrong), lambda w: w.isNotNull()))
+        rejects.append(
+            judged.select(F.lit(name).alias("table_name"), F.col(table.key).alias("row_key"), F.inline("_wrong"))
+        )
+        fitting = judged.filter(F.size("_wrong") == 0)
+        tables[name] = fitting.select([F.col(c.name).try_cast(c.type).alias(c.name) for c in table.columns])
+    return tables, reduce(DataFrame.unionByName, rejects)
+
+
 def with_defaults(rows: DataFrame, table: Table, as_of: dt.datetime) -> DataFrame:
     """``rows`` brought to the columns of ``table``.
 

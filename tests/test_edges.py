@@ -104,7 +104,7 @@ def test_point_in_time(spark):
     tables = world(spark, ownership=rows, onboarding_case=cases)
     assert as_set(ownership.ownership_as_of(tables, d(2025, 3, 15)), "ownership_id") == {(1,), (3,)}
     assert as_set(ownership.ownership_as_of(tables, d(2025, 3, 16)), "ownership_id") == {(2,), (3,)}
-    assert as_set(ownership.reportable_owners_of_case(tables, 1), "case_id", "ubo_id") == {(1, 1)}
+    assert as_set(ownership.reportable_owners_of(tables, spark.createDataFrame([(1,)], "case_id bigint")), "case_id", "ubo_id") == {(1, 1)}
     assert as_set(ownership.reportable_at_onboarding(tables), "ubo_id", "cases_opened") == {(1, 1)}
 
 

@@ -7,7 +7,7 @@ from casewright.functions.sql_surface import register_functions, register_views
 from casewright.operators import archive, lifecycle, overview
 from casewright.schema import NO_DEFAULT, TABLES
 from casewright.sources.snapshots import restore, shared_dir, snapshot, snapshot_path
-from casewright.sources.tables import append, load, lookup, purge, row_counts, with_defaults
+from casewright.sources.tables import append, load, load_checked, lookup, purge, row_counts, with_defaults
 from casewright.streaming.status_changes import CHANGE_SCHEMA, follow_status_changes, read_output
 from tests.sample import AS_OF, as_set, world
 
@@ -62,6 +62,25 @@ def test_load_csv(spark):
     assert tables["ownership"].exceptAll(world(spark)["ownership"]).count() == 0
 
 
+def test_load_checked_csv(spark):
+    base = shared_dir(spark, "csv")
+    for name, df in world(spark).items():
+        df.write.option("header", True).csv(f"{base}/{name}")
+    bad = [("91", "1", "1", "abc", "true", None, None), ("92", "1", "1", "1000.5", "maybe", None, None),
+           ("93", "1", "1", "30", "true", "2025-13-01", None)]
+    columns = [c.name for c in TABLES["ownership"].columns]
+    spark.createDataFrame(bad, ", ".join(f"{c} string" for c in columns)).write.mode("append").option("header", True).csv(
+        f"{base}/ownership"
+    )
+    tables, rejects = load_checked(spark, base)
+    assert [r.n for r in row_counts(tables).collect()] == EXPECTED_COUNTS
+    assert tables["ownership"].exceptAll(world(spark)["ownership"]).count() == 0
+    assert as_set(rejects, "row_key", "column_name", "value") == {
+        ("91", "ownership_percentage", "abc"), ("92", "ownership_percentage", "1000.5"),
+        ("92", "is_ownership_direct", "maybe"), ("93", "valid_from", "2025-13-01"),
+    }
+
+
 def test_lookup(spark):
     tables = world(spark)
     assert as_set(lookup(tables["onboarding_case"], case_status="open "), "case_id") == {(2,), (5,), (8,), (10,), (12,)}

@@ -50,13 +50,13 @@ def test_active_ubos(tables):
     assert ownership.active_ubos(tables, AS_OF, company_id=3).count() == 2
 
 
-def test_missing_ubo_docs(tables):
+def test_missing_ubo_docs(spark, tables):
     # forms 1 to 4 ask for type 5; company 1 has it, company 2 has no reportable owner
     got = as_set(gaps.missing_ubo_docs(tables, AS_OF), "case_id", "required_documents", "missing_documents")
     assert got == {(1, 1, 0), (3, 2, 2)}
-    listed = gaps.missing_ubo_docs_of_case(tables, AS_OF, 3)
+    listed = gaps.missing_ubo_docs_of(tables, AS_OF, spark.createDataFrame([(3,)], "case_id bigint"))
     assert as_set(listed, "ubo_id", "document_type_id") == {(2, 5), (3, 5)}
-    assert gaps.missing_ubo_docs_of_case(tables, AS_OF, 1).count() == 0
+    assert gaps.missing_ubo_docs_of(tables, AS_OF, spark.createDataFrame([(1,)], "case_id bigint")).count() == 0
 
 
 def test_review(tables):

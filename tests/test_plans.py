@@ -63,12 +63,12 @@ def test_small_sides_are_broadcast_by_their_size(spark, tables):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
-def test_no_python_and_no_cross_joins(tables):
+def test_no_python_and_no_cross_joins(spark, tables):
     for df in (
         gaps.missing_detail(tables),
         gaps.missing_ubo_docs(tables, AS_OF),
-        gaps.missing_ubo_docs_of_case(tables, AS_OF, 3),
-        ownership.reportable_owners_of_case(tables, 3),
+        gaps.missing_ubo_docs_of(tables, AS_OF, spark.createDataFrame([(3,)], "case_id bigint")),
+        ownership.reportable_owners_of(tables, spark.createDataFrame([(3,)], "case_id bigint")),
         review.compliance_review_report(tables),
         ownership.company_with_ubo(tables),
         ownership.reportable_at_onboarding(tables),
