@@ -38,6 +38,8 @@ SPAN = LENGTH - GRAM + 1
 PIECE = 8 << 20
 #: Different stretches of one gram that one task compares; the windows of further grams are dealt out.
 TOGETHER = 20_000
+#: Text looked at at once for stretches, in bytes; the arrays take some hundred times as much.
+AT_ONCE = 1 << 20
 LOW = np.uint64((1 << 24) - 1)
 TOP = np.uint64((1 << 64) - 1)
 
@@ -104,7 +106,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _stretch_rows(docs: DataFrame, text: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, AT_ONCE):
             owner, gram, union, first, many = stretches(*text_bytes(block.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [
