@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from casewright.sources.shared import stored as stored
 
 #: Text worked on at once, in bytes; a longer single text makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
