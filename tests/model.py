@@ -17,7 +17,7 @@ def run_status_requests(requests, status):
     allowed = {(a.lower(), b.lower()) for a, targets in TRANSITIONS.items() for b in targets}
     out, changes = {}, []
     for rid, case, target in sorted(requests):
-        if case not in status:
+        if status.get(case) is None:
             out[rid] = ("NOT_FOUND", lifecycle.NOT_FOUND)
         elif (fold(status[case]), fold(target)) in allowed:
             changes.append((rid, case, status[case], target))
