@@ -10,7 +10,7 @@ Verification is exact. Within a bucket all texts are compared with its smallest
 similarity 0.8 or more are linked to it and leave the bucket; the others stay for the next round, which
 compares them with more leaders, as few rounds later hardly any are left. 1 minus the similarity is a metric,
 so a text below 0.6 to a leader has no link to the texts near that leader; one between 0.6 and 0.8 is compared
-with each of those, unless it is in their class already. So no link that joins classes is lost, and no group of
+with those of them that the distances to the leader allow, unless it is in their class already. So no link that joins classes is lost, and no group of
 near-duplicates is compared pair by pair. Classes are the connected components of the links.
 
 Equal texts are one node, by their MD5, so a group of copies never meets in one task.
@@ -220,9 +220,12 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         doubtful.join(mine, "key", "left")
         .join(other, "leader")
         .where(F.coalesce("r1", "key") != F.col("r2"))
-        .select("bucket", "leader", F.col("key").alias("far"))
+        .select("leader", F.col("key").alias("far"), F.col("similarity").alias("s2"))
+        .distinct()
     )
-    pairs = near.select("bucket", "leader", "key").join(apart, ["bucket", "leader"])
+    # the distance of two texts is at least the difference of their distances to the leader
+    close = near.select(F.col("leader").alias("head"), "key", F.col("similarity").alias("s1")).distinct()
+    pairs = close.join(apart, (F.col("head") == F.col("leader")) & (F.col("s1") - F.col("s2") <= 1 - SIMILAR + 1e-9))
     pairs = stored(pairs.select("key", F.col("far").alias("leader")).distinct(), "cross")
     crossed = _similarities(pairs, sets).where(F.col("similarity") >= SIMILAR)
     return links.union(stored(crossed.select(F.col("key").alias("a"), F.col("leader").alias("b")), "crossed"))
