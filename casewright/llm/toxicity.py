@@ -31,7 +31,7 @@ from casewright.llm.common import (
 
 BUCKETS, DIMENSION, SIZES = 1 << 17, 4, (3, 4, 5)
 #: Labelled rows used for training, by class: (clean, toxic).
-SAMPLE = (4500, 1500)
+SAMPLE = (2500, 1200)
 #: The rate falls to 0 over all steps.
 EPOCHS, BATCH, RATE = 10, 50, 0.06
 #: Small samples get more epochs, up to this many steps.
@@ -174,7 +174,9 @@ def fit(
         for b, w in zip(table["buckets"].to_pylist(), table["weights"].to_pylist(), strict=True)
     ]
     order = sorted(range(len(taught)), key=lambda i: (taught[i][0].tobytes()[:64], len(taught[i][0])))
-    return train([taught[i] for i in order], table["toxic"].to_numpy()[order])
+    labels_of = table["toxic"].to_numpy()[order]
+    del table
+    return train([taught[i] for i in order], labels_of)
 
 
 def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
