@@ -209,7 +209,8 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.shiftright("place", 8).alias("low"),
         (F.shiftright("place", 8) + F.col("place").bitwiseAND(255) + (LENGTH - 1)).alias("high"),
     )
-    whole = stored(whole, "whole")
+    # copies of a text have equal ranges: one row for all of them
+    whole = stored(whole.distinct(), "whole")
 
     mixed = same.groupBy(F.struct("gram").alias("g")).agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = same.join(mixed.select("g.gram", "kinds"), "gram").select(
@@ -252,15 +253,31 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return ranges
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges that touch or overlap become one."""
+    for batch in batches:
+        lows, highs = [], []
+        for low, high in zip(batch["low"], batch["high"], strict=True):
+            low, high = low.values.to_numpy(), high.values.to_numpy()
+            order = np.argsort(low)
+            low, so_far = low[order], np.maximum.accumulate(high[order])
+            first = np.append(True, low[1:] > so_far[:-1])
+            lows.append(low[first])
+            highs.append(so_far[np.append(first[1:], True)])
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["key"], pa.array(lows, kind), pa.array(highs, kind)], ["key", "low", "high"])
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (bytes)."""
     ranges = stored(repeated_ranges(docs, doc_id, text), "ranges")
     _release(docs.sparkSession)
-    # a text has fewer ranges than bytes
+    # ranges are distinct, so a text has fewer than bytes, however many copies it has
     by_text = ranges.groupBy(F.struct("key").alias("g")).agg(
         F.collect_list("low").alias("low"), F.collect_list("high").alias("high")
     )
-    joined = _keyed(docs, doc_id, text).join(by_text.select("g.key", "low", "high"), "key", "left")
+    merged = by_text.select("g.key", "low", "high").mapInArrow(_merge, "key long, low array<long>, high array<long>")
+    joined = _keyed(docs, doc_id, text).join(merged, "key", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

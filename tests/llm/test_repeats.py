@@ -64,6 +64,17 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     assert got == dict(enumerate(brute(texts)))
 
 
+def test_copies_share_their_ranges(spark):
+    rng = random.Random(8)
+    copy, part = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (3000, 400))
+    texts = [copy] * 3000 + [copy[:500] + part, part + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    ranges = [tuple(r) for r in repeats.repeated_ranges(docs).collect()]
+    assert len(ranges) == len(set(ranges)) < 200
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs).collect()}
+    assert got == dict(enumerate([(3000, 3000, 1, b"")] * 3000 + [(900, 900, 1, b""), (401, 400, 1, b"x")]))
+
+
 def test_odd_rows(spark):
     rows = repeats.remove_repeats(odd_documents(spark)).collect()
     assert len(rows) == len(ODD_TEXTS) + 3
