@@ -106,3 +106,16 @@ def test_quality_odd_rows(spark):
     assert len(rows) == len(ODD_TEXTS) + 3 and all(0 <= r.score <= 1 for r in rows)
     none = empty_documents(spark)
     assert quality.score(none, quality.fit(none, labels)).count() == 0
+
+
+def test_rows_beyond_the_pool_teach(spark, monkeypatch):
+    monkeypatch.setattr(quality, "POOL", 4)
+    rng = random.Random(4)
+    # sources that stand in few rows, none of them labelled
+    rows = [(i, *r[1:3], "p" if r[5] and i % 40 == 39 else "q" if not r[5] and i % 40 == 3 else r[3], *r[4:]) for i, r in enumerate(_quality_rows(rng, 2400))]
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3, "doc_id")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows if r[0] % 4 == 1], "doc_id long, quality int")
+    assert not {"p", "q"} & {r[3] for r in rows if r[0] % 4 == 1}
+    model = quality.fit(docs, labels)
+    good, bad = model.metadata.odds(quality.metadata_bags(["en", "en"], ["p", "q"], [60, 60]))
+    assert good - bad > 0.5
