@@ -8,10 +8,27 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import bpe, decontaminate, fingerprint, lm, minhash, personal_data, quality, repeats, secret_scan, toxicity
+from casewright.llm import (
+    bpe,
+    decontaminate,
+    fingerprint,
+    infill,
+    lm,
+    minhash,
+    personal_data,
+    quality,
+    repeats,
+    secret_scan,
+    spelling,
+    token_counts,
+    toxicity,
+)
 from casewright.llm.common import remainder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+COUNTED_BY = public_tokenizers.path("byte_bpe_50k.json")
+#: Of so many runs of letters, one loses a letter.
+MISSPELT = 97
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +120,114 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest
+  FROM documents
+), drawn AS (
+  SELECT doc_id, text, units, len(units) AS n,
+         list_transform([1, 9, 17, 25], lambda i : ('0x' || substr(digest, i, 8))::BIGINT) AS h
+  FROM texts
+), cuts AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS first, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS second,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50
+              THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, array_to_string(units[1:first], '') AS prefix, array_to_string(units[first + 1:second], '') AS middle,
+         array_to_string(units[second + 1:], '') AS suffix
+  FROM cuts
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), COUNTED_BY)
+
+
+def misspelt(runs: DataFrame) -> DataFrame:
+    """(``word``): each run of letters (``doc_id``, ``run``); where a checksum says so, without one letter."""
+    length = F.length("run")
+    # a word shorter than the shortest one counted has no longer form
+    long = runs.where(length >= spelling.SHORTEST)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    place = (F.col("h") % F.greatest(length, F.lit(1))).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), place), F.substring("run", place + 2, length))
+    return long.withColumn("h", h).select(F.when(F.col("h") % MISSPELT == 0, less).otherwise(F.col("run")).alias("word"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.occurrences(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return spelling.variants(spelling.count_words(misspelt(runs)))
+
+
+#: The checksum is folded over the bytes with a table made by its rule; near words share what a deleted letter leaves.
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT b, b::BIGINT AS crc, 0 AS step FROM range(256) t(b)
+  UNION ALL
+  SELECT b, CASE WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, step + 1 FROM bits WHERE step < 8
+), crc_table AS (
+  SELECT list(crc ORDER BY b) AS t FROM bits WHERE step = 8
+), runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+), long AS (
+  SELECT doc_id, run, count(*) AS times, coalesce(doc_id::VARCHAR, '') || ':' || run AS said
+  FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run
+), bytes AS (
+  SELECT *, list_transform(range(0, strlen(said)), lambda i : ('0x' || substr(hex(encode(said)), 2 * i + 1, 2))::BIGINT) AS data
+  FROM long
+), summed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295, data), lambda c, x : xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) AS h
+  FROM bytes, crc_table
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n
+  FROM (SELECT times, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), less AS (
+  SELECT DISTINCT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM words, unnest(range(0, length(word))) u(i)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, near)) AS near FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * w.n THEN near END AS form,
+         CASE WHEN top >= 2 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NOT NULL
+), roots AS (
+  SELECT chain.word, chain.root FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
@@ -114,5 +239,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_personal_data": op9_personal_data,
     "op10_repeats": op10_repeats,
+    "op11_infill": op11_infill,
+    "op12_token_counts": op12_token_counts,
+    "op13_spelling": op13_spelling,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_infill": OP11_SQL, "op13_spelling": OP13_SQL}
