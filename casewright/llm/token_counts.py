@@ -1,6 +1,8 @@
 """Token counts of whole texts, those of huge documents by overlapping chunks that are spliced.
 
-A text that fits into one chunk is encoded whole. A longer one is cut into chunks that overlap, each a row
+A text that fits into one chunk is encoded by its pieces: a space after a visible ASCII character always begins
+a match of the splitting pattern, so texts may be cut there, and each distinct piece of a block of texts is
+encoded once and its number of tokens kept for the next blocks. A longer text is cut into chunks that overlap, each a row
 of its own, dealt over all tasks and encoded with offsets. Two neighbours are spliced at a place in their
 overlap at which both begin a match of the splitting pattern. Such a place is proven stable:
 
@@ -28,15 +30,18 @@ import os
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import blocks, stored
+from casewright.llm.common import blocks, stored, text_bytes
 
 #: Code points of a chunk and of what the next one repeats; both grow by this factor where splicing fails.
 CHUNK, OVERLAP, WIDEN = 1 << 15, 1 << 8, 4
 LIMIT = 1024
+#: Pieces whose tokens a task remembers; beyond that it starts anew.
+REMEMBERED = 1 << 18
 #: A pattern's match looks at three characters from its start and one after its end.
 LOOKS = 4
 
@@ -76,15 +81,36 @@ def _library(content: str) -> Callable:
     return make
 
 
+def count_pieces(texts: pa.Array, tokenizer, known: dict[str, int]) -> np.ndarray:
+    """The number of tokens of each text, from those of the distinct pieces of all; ``known`` remembers them."""
+    data, at = text_bytes(texts)
+    begin = np.zeros(len(data), bool)
+    begin[1:] = (data[1:] == 0x20) & (data[:-1] > 0x20) & (data[:-1] < 0x7F)
+    begin[at[:-1][np.diff(at) > 0]] = True
+    begins = np.flatnonzero(begin)
+    marks = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
+    pieces = pa.Array.from_buffers(
+        pa.large_binary(), len(begins), [None, marks, pa.py_buffer(np.ascontiguousarray(data))]
+    ).dictionary_encode()
+    distinct = pieces.dictionary.cast(pa.large_string()).to_pylist()
+    if len(known) > REMEMBERED:
+        known.clear()
+    new = [piece for piece in distinct if piece not in known]
+    known.update(zip(new, map(len, tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+    sizes = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+    before = np.zeros(len(begins) + 1, np.int64)
+    np.cumsum(sizes[pieces.indices.to_numpy()], out=before[1:])
+    return np.diff(before[np.searchsorted(begins, at)])
+
+
 def _count_whole(texts: DataFrame, content: str) -> DataFrame:
     """(``id``, ``n_bytes``, ``n_tokens``) of texts of one chunk."""
     make = _library(content)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = make()
+        tokenizer, known = make(), {}
         for block in blocks(batches):
-            found = tokenizer.encode_batch_fast(block["text"].to_pylist(), add_special_tokens=False)
-            counts = pa.array([len(e) for e in found], pa.int64())
+            counts = pa.array(count_pieces(block["text"], tokenizer, known))
             yield pa.RecordBatch.from_arrays([block["id"], block["n_bytes"], counts], ["id", "n_bytes", "n_tokens"])
 
     kind = texts.schema["id"].dataType.simpleString()

@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,6 +37,16 @@ def test_chunks_are_spliced(spark, library):
     assert all(r.n_bytes == len(texts[r.doc_id].encode()) and r.over_limit == (r.n_tokens > 50) for r in rows)
 
 
+def test_pieces(library):
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["", *_texts(random.Random(5)), "", "a <|endoftext|> b", "é \u3000 x  y", " lead", "\x7f \x00 a"]
+    known = {}
+    for _ in range(2):
+        counted = token_counts.count_pieces(pa.array(texts, pa.large_string()), tokenizer, known)
+        assert counted.tolist() == [library(t) for t in texts]
+    assert token_counts.count_pieces(pa.array(["", ""], pa.large_string()), tokenizer, known).tolist() == [0, 0]
+
+
 def test_places_are_stable(spark, library):
     """A run of letters needs wider chunks, prose does not."""
     content, margin = token_counts.read_tokenizer(PATH)
