@@ -87,43 +87,64 @@ def _first_per_target() -> list[Column]:
     ]
 
 
-def _accepted_steps(requests: DataFrame, states: DataFrame) -> list[DataFrame]:
+def _asked(requests: DataFrame) -> DataFrame:
+    """The requests for a target that some step leads to: (case_id, request_id, target)."""
+    return requests.select("case_id", "request_id", _number(F.col("new_status")).alias("target")).filter(
+        F.col("case_id").isNotNull() & F.col("target").isin([_NUMBER[t] for t in _TARGETS])
+    )
+
+
+def _later(asked: DataFrame, step: DataFrame) -> DataFrame:
+    """The requests that come after the ``step`` of their case."""
+    before = step.select(F.col("case_id").alias("of_case"), F.col("request_id").alias("after_request"), "state")
+    return asked.join(before, (F.col("case_id") == F.col("of_case")) & (F.col("request_id") > F.col("after_request")))
+
+
+def _first_requests(requests: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per case with a request its stored state and its first request per target.
+
+    A case whose stored status is NULL counts as not found, so it has no row.
+    """
+    states = cases.filter(F.col("case_status").isNotNull()).select("case_id", _number(F.col("case_status")).alias("state"))
+    touched = requests.select("case_id").withColumn("asked", F.lit(True))
+    stacked = (
+        _asked(requests)
+        .unionByName(touched, allowMissingColumns=True)
+        .unionByName(states, allowMissingColumns=True)
+    )
+    firsts = grouped_apart(
+        stacked, ("case_id",), *_first_per_target(), F.max("state").alias("state"), F.max("asked").alias("asked")
+    )
+    return firsts.filter(F.col("asked") & F.col("state").isNotNull()).drop("asked")
+
+
+def _accepted_steps(requests: DataFrame, firsts: DataFrame) -> list[DataFrame]:
     """The first, second, … accepted step of every case that takes one: (case_id, request_id, state).
 
     The lifecycle has no way back, so a case takes at most ``MAX_STEPS``
     steps, and each step is the earliest later request with an allowed
     target. Each round is a minimum per case, which combines map-side; no
-    task ever holds or sorts all requests of one case.
+    task ever holds or sorts all requests of one case. The steps of a round
+    are stored, so the next one starts from the few cases that took one.
     """
-    asked = requests.select("case_id", "request_id", _number(F.col("new_status")).alias("target")).filter(
-        F.col("case_id").isNotNull() & F.col("target").isin([_NUMBER[t] for t in _TARGETS])
-    )
-    stacked = asked.unionByName(states.select("case_id", "state"), allowMissingColumns=True)
-    step = _next_step(
-        grouped_apart(stacked, ("case_id",), *_first_per_target(), F.max("state").alias("state"))
-    )
+    asked = _asked(requests)
+    step = stored(_next_step(firsts), "steps")
     steps = [step]
     for _ in range(MAX_STEPS - 1):
-        before = step.select(
-            F.col("case_id").alias("of_case"), F.col("request_id").alias("after_request"), "state"
-        )
-        later = asked.join(
-            before, (F.col("case_id") == F.col("of_case")) & (F.col("request_id") > F.col("after_request"))
-        )
-        firsts = grouped_apart(later, ("of_case", "state"), *_first_per_target())
-        step = _next_step(firsts.withColumnRenamed("of_case", "case_id"))
+        firsts = grouped_apart(_later(asked, step), ("of_case", "state"), *_first_per_target())
+        step = stored(_next_step(firsts.withColumnRenamed("of_case", "case_id")), "steps")
         steps.append(step)
     return steps
 
 
 def status_timeline(requests: DataFrame, cases: DataFrame) -> DataFrame:
-    """Per case its stored state and its steps: case_id, state, request_1, state_1, request_2, …
+    """Per case with a request its stored state and its steps: case_id, state, request_1, state_1, request_2, …
 
-    A case whose stored status is NULL counts as not found, so it has no row.
+    ``requests`` are read in every round, so they should be stored.
     """
-    states = cases.filter(F.col("case_status").isNotNull()).select("case_id", _number(F.col("case_status")).alias("state"))
-    stacked = states
-    for i, step in enumerate(_accepted_steps(requests, states), 1):
+    firsts = stored(_first_requests(requests, cases), "first-requests")
+    stacked = firsts.select("case_id", "state")
+    for i, step in enumerate(_accepted_steps(requests, firsts), 1):
         numbered = step.select(
             "case_id", F.col("request_id").alias(f"request_{i}"), F.col("state").alias(f"state_{i}")
         )
@@ -175,11 +196,21 @@ def state_in(state: Column, statuses: tuple[str, ...]) -> Column:
 def status_update_verdicts(requests: DataFrame, cases: DataFrame) -> DataFrame:
     """Every status request with its outcome, as if handled one after the other by request_id.
 
-    ``code`` is ACCEPTED, NOT_FOUND or INVALID.
+    ``code`` is ACCEPTED, NOT_FOUND or INVALID. The requests are stored once, as every round reads them.
     """
+    requests = stored(requests.select("request_id", "case_id", "new_status"), "status-requests")
     return judge_status_requests(requests, status_timeline(requests, cases))
 
 
+def status_message(current: Column) -> Column:
+    """The text for a verdict; ``current`` is the label of the status that a request met."""
+    label = status_label(F.col("new_status"))
+    updated = F.concat(F.lit(UPDATED[0]), F.col("case_id").cast("string"), F.lit(UPDATED[1]), label, F.lit(UPDATED[2]))
+    invalid = F.concat(F.lit(INVALID[0]), current, F.lit(INVALID[1]), label, F.lit(INVALID[2]))
+    code = F.col("code")
+    return F.when(code == "NOT_FOUND", NOT_FOUND).when(code == "ACCEPTED", updated).otherwise(invalid)
+
+
 def judge_status_requests(requests: DataFrame, timeline: DataFrame) -> DataFrame:
     """The verdicts of status requests, given the steps that their cases take."""
     row = requests.select("request_id", "case_id", "new_status").join(timeline, "case_id", "left")
@@ -192,29 +223,7 @@ def judge_status_requests(requests: DataFrame, timeline: DataFrame) -> DataFrame
     judged = row.select(
         "request_id", "case_id", "new_status", code.alias("code"), state_before(request_id).alias("current")
     )
-    new_label = status_label(F.col("new_status"))
-    message = (
-        F.when(F.col("code") == "NOT_FOUND", NOT_FOUND)
-        .when(
-            F.col("code") == "ACCEPTED",
-            F.concat(
-                F.lit(UPDATED[0]),
-                F.col("case_id").cast("string"),
-                F.lit(UPDATED[1]),
-                new_label,
-                F.lit(UPDATED[2]),
-            ),
-        )
-        .otherwise(
-            F.concat(
-                F.lit(INVALID[0]),
-                state_label(F.col("current")),
-                F.lit(INVALID[1]),
-                new_label,
-                F.lit(INVALID[2]),
-            )
-        )
-    )
+    message = status_message(state_label(F.col("current")))
     return judged.select("request_id", "case_id", "new_status", "code", message.alias("message"))
 
 
@@ -288,7 +297,7 @@ def propagate_to_documents(documents: DataFrame, decided: DataFrame, as_of: dt.d
 
 def audit_checks(decided: DataFrame, checks: DataFrame, as_of: dt.datetime) -> DataFrame:
     """A check row for every decided case that has no check of any kind yet."""
-    checked = checks.select("case_id").distinct()
+    checked = checks.select("case_id").join(decided.select("case_id"), "case_id", "left_semi").distinct()
     result = F.when(text_eq(F.col("new_status"), "Approved"), CHECK_RESULT["Approved"]).otherwise(
         CHECK_RESULT["Rejected"]
     )

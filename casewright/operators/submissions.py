@@ -58,6 +58,16 @@ def _same_key(left: DataFrame, right: DataFrame):
     return condition
 
 
+def _live_documents(tables: Tables, touched: DataFrame) -> DataFrame:
+    """The documents on file of the ``touched`` cases.
+
+    The cases of a batch are few next to the documents, which stay where they are while the cases are
+    small; else both are shuffled, and the documents of a hot case are split.
+    """
+    live = tables["submitted_documents"].filter(is_live(F.col("document_status")))
+    return live.join(touched, "case_id", "left_semi")
+
+
 def _judged(requests: DataFrame, tables: Tables) -> DataFrame:
     """One row per distinct (case, type, owner) with the verdict of its first request.
 
@@ -69,14 +79,16 @@ def _judged(requests: DataFrame, tables: Tables) -> DataFrame:
     touched = distinct_apart(keys, "case_id")
     cases = tables["onboarding_case"].select("case_id", "company_id", "case_status")
     types = tables["document_type"].select("document_type_id").withColumn("known_type", F.lit(True))
-    # reduced to its keys before it meets the touched cases: a case with very many documents has few keys
     live = (
-        distinct_apart(tables["submitted_documents"].filter(is_live(F.col("document_status"))), *_KEY)
-        .join(touched, "case_id", "left_semi")
+        _live_documents(tables, touched)
         .select(*[F.col(c).alias(f"_{c}") for c in _KEY])
+        .distinct()
         .withColumn("on_file", F.lit(True))
     )
-    owners = reportable_owners(tables).withColumn("eligible", F.lit(True))
+    # the companies of the batch only
+    companies = distinct_apart(cases.join(touched, "case_id", "left_semi"), "company_id")
+    held = tables["ownership"].join(companies, "company_id", "left_semi")
+    owners = reportable_owners({"ownership": held}).withColumn("eligible", F.lit(True))
     judged = keys.join(cases, "case_id", "left").join(types, "document_type_id", "left")
     judged = judged.join(live, _same_key(judged, live), "left").drop(*[f"_{c}" for c in _KEY])
     judged = judged.join(owners, ["company_id", "ubo_id"], "left")
@@ -98,11 +110,7 @@ def _case_progress(accepted: DataFrame, tables: Tables) -> DataFrame:
     """
     touched = distinct_apart(accepted, "case_id")
     running = tables["onboarding_case"].join(touched, "case_id", "left_semi")
-    live = tables["submitted_documents"].filter(is_live(F.col("document_status")))
-    documents = distinct_apart(live, "case_id", "document_type_id", "document_status").join(
-        touched, "case_id", "left_semi"
-    )
-    missing = missing_types(tables, running, documents).select(
+    missing = missing_types(tables, running, _live_documents(tables, touched)).select(
         "case_id", F.explode("missing_types").alias("document_type_id")
     )
     first = accepted.groupBy("case_id", "document_type_id").agg(F.min("first_id").alias("first_of_type"))

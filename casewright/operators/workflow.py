@@ -55,7 +55,9 @@ def run_requests(requests: DataFrame, tables: Tables, as_of: dt.datetime) -> Out
         .agg(F.min("first_id").alias("request_id"))
         .select("request_id", "case_id", F.lit("InReview").alias("new_status"))
     )
-    steps = asked.unionByName(completing)
+    # cases that only got submissions take part without a request
+    others = settled.select("case_id").distinct()
+    steps = stored(asked.unionByName(completing).unionByName(others, allowMissingColumns=True), "status-requests")
     timeline = stored(lifecycle.status_timeline(steps, cases), "case-timeline")
 
     def accepts(request_id):
