@@ -41,7 +41,7 @@ _TARGETS = [s for s in CASE_STATUSES if any(s in targets for targets in TRANSITI
 MAX_STEPS = max(map(_longest_path, CASE_STATUSES))
 
 
-def _number(status: Column) -> Column:
+def state_number(status: Column) -> Column:
     """The number of a status, 0 for an unknown or missing one."""
     return text_case(status, _NUMBER, 0)
 
@@ -53,7 +53,7 @@ def state_name(number: Column) -> Column:
 
 
 def standard_spelling(status: Column) -> Column:
-    return state_name(_number(status))
+    return state_name(state_number(status))
 
 
 def state_label(number: Column) -> Column:
@@ -89,7 +89,7 @@ def _first_per_target() -> list[Column]:
 
 def _asked(requests: DataFrame) -> DataFrame:
     """The requests for a target that some step leads to: (case_id, request_id, target)."""
-    return requests.select("case_id", "request_id", _number(F.col("new_status")).alias("target")).filter(
+    return requests.select("case_id", "request_id", state_number(F.col("new_status")).alias("target")).filter(
         F.col("case_id").isNotNull() & F.col("target").isin([_NUMBER[t] for t in _TARGETS])
     )
 
@@ -105,7 +105,7 @@ def _first_requests(requests: DataFrame, cases: DataFrame) -> DataFrame:
 
     A case whose stored status is NULL counts as not found, so it has no row.
     """
-    states = cases.filter(F.col("case_status").isNotNull()).select("case_id", _number(F.col("case_status")).alias("state"))
+    states = cases.filter(F.col("case_status").isNotNull()).select("case_id", state_number(F.col("case_status")).alias("state"))
     touched = requests.select("case_id").withColumn("asked", F.lit(True))
     stacked = (
         _asked(requests)

@@ -955,3 +955,41 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["stream_workflow_verdicts"] = ORACLE["workflow_verdicts"]
 ORACLE["cases_by_jurisdiction"] = ORACLE["onboarding_overview"]
+ORACLE["stream_keyed_verdicts"] = ORACLE["workflow_verdicts"]
+
+
+def _late_verdicts() -> str:
+    """The walk over the requests that are not late, numbered by the time at which they were made."""
+    wait, cuts = 3 * 86_400_000, ("2024-01-11", "2024-01-21")
+    timed = f"""
+        SELECT r.*, epoch_ms(e.ts) + r.request_id % 2 AS received,
+               epoch_ms(e.ts) + r.request_id % 2 - CAST(floor(e.value * 100) AS BIGINT) * 36000 AS requested
+        FROM all_requests r JOIN events e ON e.event_id = r.request_id // 2"""
+    parts = " + ".join(f"(received >= epoch_ms(TIMESTAMP '{day}'))::INT" for day in cuts)
+    clocked = f"""
+        SELECT *, coalesce(requested + {wait} <= (SELECT max(b.received) FROM parted b WHERE b.part < a.part), FALSE) AS late
+        FROM parted a"""
+    numbered = "SELECT *, row_number() OVER (ORDER BY requested, request_id) AS turn FROM clocked WHERE NOT late"
+    by_turn = "SELECT turn AS request_id, kind, case_id, document_type_id, ubo_id, new_status FROM numbered"
+    before = f"workflow_requests AS ({DOMAIN['workflow_requests']})"
+    after = ",\n".join(
+        f"{name} AS ({body})"
+        for name, body in {
+            "all_requests": DOMAIN["workflow_requests"],
+            "timed": timed,
+            "parted": f"SELECT *, {parts} AS part FROM timed",
+            "clocked": clocked,
+            "numbered": numbered,
+            "workflow_requests": by_turn,
+        }.items()
+    )
+    walked = ORACLE["workflow_verdicts"].replace(before, after)
+    head, body = walked.rsplit("\nSELECT request_id, kind", 1)
+    return f"""{head}
+        SELECT n.request_id, w.kind, w.case_id, w.code, w.message, w.missing_after, w.new_status
+        FROM (SELECT request_id, kind{body}) w JOIN numbered n ON n.turn = w.request_id
+        UNION ALL
+        SELECT request_id, kind, case_id, 'LATE', NULL, NULL, NULL FROM clocked WHERE late"""
+
+
+ORACLE["stream_late_verdicts"] = _late_verdicts()

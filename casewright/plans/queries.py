@@ -25,9 +25,10 @@ from casewright.operators import (
 )
 from casewright.schema import TABLES
 from casewright.sources.derived import Derived
+from casewright.sources.shared import stored
 from casewright.sources.snapshots import restore, shared_dir, snapshot, snapshot_path
 from casewright.sources.tables import load_checked, lookup, row_counts, with_defaults, with_ids
-from casewright.streaming import request_feed, status_changes as change_stream
+from casewright.streaming import keyed_workflow, request_feed, status_changes as change_stream
 
 AS_OF = dt.datetime(1998, 6, 1, 12, 0, 0)
 OWNERSHIP_DAY = dt.date(1997, 1, 1)
@@ -496,3 +497,51 @@ def stream_workflow_verdicts(t: Derived) -> DataFrame:
         stream = t.spark.readStream.schema(request_feed.REQUEST_SCHEMA).parquet(feed)
         request_feed.follow_requests(stream, **run).awaitTermination()
     return request_feed.read_output(t.spark, out, "verdicts").drop("batch_id")
+
+
+@_query
+def stream_keyed_verdicts(t: Derived) -> DataFrame:
+    """The interleaved feed in three micro-batches, with the state of each case in a state store."""
+    base = shared_dir(t.spark, "keyed-stream")
+    feed, out = f"{base}/feed", f"{base}/out"
+    requests = t["workflow_requests"]
+    low, high = requests.approxQuantile("request_id", [0.33, 0.67], 0.01)
+    request_id = F.col("request_id")
+    for part in (request_id <= low, (request_id > low) & (request_id <= high), request_id > high):
+        requests.filter(part).write.mode("append").parquet(feed)
+        stream = t.spark.readStream.schema(request_feed.REQUEST_SCHEMA).parquet(feed)
+        keyed_workflow.follow_cases(stream, t, out, f"{base}/checkpoint", AS_OF).awaitTermination()
+    return keyed_workflow.read_output(t.spark, out, "verdicts").drop("batch_id")
+
+
+#: How long a request waits for earlier ones, and the days on which a micro-batch of the query below ends.
+WAIT = dt.timedelta(days=3)
+CUT_DAYS = ("2024-01-11", "2024-01-21")
+
+
+@_query
+def stream_late_verdicts(t: Derived) -> DataFrame:
+    """The feed by the time of each request, in three micro-batches by arrival; late requests have the code LATE."""
+    base = shared_dir(t.spark, "late-stream")
+    feed, out = f"{base}/feed", f"{base}/out"
+    requests = stored(t["timed_requests"], "timed-requests")
+    received = F.col("received_at")
+    first, second = (F.lit(day).cast("timestamp") for day in CUT_DAYS)
+    # at last the clock moves on, so that all requests are released
+    end = requests.agg(F.max("received_at").alias("received_at")).select(
+        F.lit(0).cast("bigint").alias("request_id"),
+        F.lit(keyed_workflow.CLOCK).alias("kind"),
+        (F.col("received_at") + F.lit(2 * WAIT)).alias("received_at"),
+    )
+    parts = [requests.filter(p) for p in (received < first, (received >= first) & (received < second), received >= second)]
+    for part in [*parts, requests.limit(0).unionByName(end, allowMissingColumns=True)]:
+        part.write.mode("append").parquet(feed)
+        stream = t.spark.readStream.schema(keyed_workflow.TIMED_SCHEMA).parquet(feed)
+        keyed_workflow.follow_cases(stream, t, out, f"{base}/checkpoint", AS_OF, wait=WAIT).awaitTermination()
+    verdicts = keyed_workflow.read_output(t.spark, out, "verdicts")
+    late = keyed_workflow.read_output(t.spark, out, "late").withColumn("code", F.lit(keyed_workflow.LATE))
+    columns = ["request_id", "kind", "case_id", "code", "message", "missing_after"]
+    both = verdicts.select(*columns, F.col("new_status")).unionByName(
+        late.select("request_id", "kind", "case_id", "code"), allowMissingColumns=True
+    )
+    return both.select(*columns, "new_status")

@@ -67,6 +67,7 @@ class Derived(Mapping[str, DataFrame]):
         "submit_requests",
         "status_requests",
         "workflow_requests",
+        "timed_requests",
     )
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -290,6 +291,25 @@ class Derived(Mapping[str, DataFrame]):
         )
         return submit.unionByName(status, allowMissingColumns=True)
 
+    def timed_requests(self) -> DataFrame:
+        """Requests arrive at the time of their event, a status request a millisecond later.
+
+        They were made as many hours before as the event's value says.
+        """
+        event = F.floor(F.col("request_id") / 2)
+        clock = self.raw("events").select(
+            F.col("event_id").alias("_event"),
+            F.unix_millis(F.col("ts").cast("timestamp")).alias("_arrived"),
+            (F.floor(F.col("value") * 100) * 36_000).alias("_ago"),
+        )
+        arrived = F.col("_arrived") + F.col("request_id") % 2
+        requests = self["workflow_requests"]
+        return requests.join(clock, event == F.col("_event")).select(
+            *requests.columns,
+            F.timestamp_millis(arrived - F.col("_ago")).alias("requested_at"),
+            F.timestamp_millis(arrived).alias("received_at"),
+        )
+
 
 def _prop() -> Column:
     """The number inside the small JSON text of an event, 0 to 99."""
