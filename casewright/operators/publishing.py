@@ -63,15 +63,20 @@ def update_status(spark: SparkSession, root: str, run_id: str, requests: DataFra
 
 def close_reviews(spark: SparkSession, root: str, run_id: str) -> Version:
     """Move reviewed cases on."""
-    return run(spark, root, run_id, lambda tables: ({"onboarding_case": review.cases_after_review(tables)}, {}))
+
+    def change(tables: Tables):
+        updates = stored(review.review_case_updates(tables), "case-updates")
+        return {"onboarding_case": lifecycle.with_status(tables["onboarding_case"], updates)}, {}
+
+    return run(spark, root, run_id, change)
 
 
 def without_archived(spark: SparkSession, root: str, run_id: str) -> Version:
     """Take closed cases, their documents and their checks out of the tables."""
 
     def change(tables: Tables):
-        closed = stored(archive.closed_cases(tables).select("case_id"), "closed-cases")
-        names = ("onboarding_case", "submitted_documents", "external_verification_check")
-        return {name: tables[name].join(closed, "case_id", "left_anti") for name in names}, {}
+        _, closed = archive.split_closed(tables["onboarding_case"])
+        ids = stored(closed.select("case_id").distinct(), "closed-cases")
+        return {name: tables[name].join(ids, "case_id", "left_anti") for name in archive.CASE_TABLES}, {}
 
     return run(spark, root, run_id, change)

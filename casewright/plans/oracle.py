@@ -993,3 +993,79 @@ def _late_verdicts() -> str:
 
 
 ORACLE["stream_late_verdicts"] = _late_verdicts()
+
+ORACLE["published_documents"] = f"""
+    SELECT submitted_document_id, case_id, ubo_id, document_type_id, submission_date, document_status, verification_date
+    FROM ({_sql("SELECT * FROM submitted_documents", "submitted_documents")})
+    UNION ALL BY NAME
+    SELECT * FROM ({ORACLE["submit_new_documents"]})"""
+ORACLE["published_checks"] = ORACLE["checks_after_status_updates"]
+ORACLE["published_review"] = ORACLE["cases_after_review"]
+
+
+def _captured_changes() -> str:
+    """Rows that one version has more often than the other, counted by key."""
+    versions, parts = [], []
+    tables = {
+        "onboarding_case": ("case_id", "cases_after_status_updates"),
+        "submitted_documents": ("submitted_document_id", "status_change_documents"),
+        "external_verification_check": ("external_check_id", "checks_after_status_updates"),
+    }
+    for name, (key, after) in tables.items():
+        versions.append(f"old_{name} AS ({_sql(f'SELECT * FROM {name}', name)})")
+        versions.append(f"all_{name} AS ({ORACLE[after]})")
+    for name, (key, _) in tables.items():
+        versions.append(
+            f"""new_{name} AS (SELECT * FROM all_{name} WHERE coalesce(case_id NOT IN (
+                    SELECT case_id FROM all_onboarding_case WHERE {_fold('case_status')} = 'closed'), TRUE))"""
+        )
+        columns = ", ".join(c.name for c in TABLES[name].columns)
+        lost, gained = (
+            f"(SELECT {columns} FROM {a}_{name} EXCEPT ALL SELECT {columns} FROM {b}_{name})" for a, b in (("old", "new"), ("new", "old"))
+        )
+        parts.append(
+            f"""SELECT '{name}' AS table_name, {key} AS row_key,
+                       CASE WHEN sum(o) = 0 THEN 'insert' WHEN sum(n) = 0 THEN 'delete' ELSE 'update' END AS change,
+                       sum(o)::BIGINT AS n_old, sum(n)::BIGINT AS n_new
+                FROM (SELECT {key}, 1 AS o, 0 AS n FROM {lost} UNION ALL SELECT {key}, 0, 1 FROM {gained}) GROUP BY {key}"""
+        )
+    return f"WITH {', '.join(versions)}\n{_union(parts)}"
+
+
+ORACLE["captured_changes"] = _captured_changes()
+
+
+def _captured(body: str, *needs: str) -> str:
+    """``body`` over `moved`: the cases whose status differs between the two versions, whatever lay between."""
+    moved = f"""
+        SELECT a.case_id, o.case_status AS old_status, a.case_status AS new_status
+        FROM ({ORACLE["cases_after_status_updates"]}) a
+        JOIN ({_sql("SELECT * FROM onboarding_case", "onboarding_case")}) o ON o.case_id = a.case_id
+        WHERE {_fold('o.case_status')} IS DISTINCT FROM {_fold('a.case_status')}"""
+    told = f"SELECT * FROM moved WHERE {_fold('new_status')} IN ('approved', 'rejected')"
+    return _sql(body, *needs).replace("WITH RECURSIVE ", f"WITH RECURSIVE moved AS ({moved}),\ntold AS ({told}),\n", 1)
+
+
+ORACLE["captured_document_updates"] = _captured(
+    f"""SELECT d.submitted_document_id, d.case_id, d.ubo_id, d.document_type_id, d.submission_date,
+               CASE WHEN t.case_id IS NULL OR {_fold('d.document_status')} <> 'pending' THEN d.document_status
+                    WHEN {_fold('t.new_status')} = 'approved' THEN 'Verified' ELSE 'Rejected' END AS document_status,
+               CASE WHEN t.case_id IS NULL OR {_fold('d.document_status')} <> 'pending' THEN d.verification_date
+                    ELSE {AS_OF_DAY} END AS verification_date
+        FROM submitted_documents d LEFT JOIN told t ON t.case_id = d.case_id""",
+    "submitted_documents",
+)
+ORACLE["captured_audit_checks"] = _captured(
+    f"""SELECT external_check_id, case_id, external_source_id, check_date, check_status, result_summary
+        FROM external_verification_check
+        UNION ALL
+        SELECT (SELECT max(external_check_id) FROM external_verification_check) + row_number() OVER (ORDER BY case_id),
+               case_id, 1, {AS_OF_DAY},
+               CASE WHEN {_fold('new_status')} = 'approved' THEN 'Passed' ELSE 'Failed' END,
+               {_quote(CHECK_SUMMARY[0])} || new_status || {_quote(CHECK_SUMMARY[1])} || old_status || {_quote(CHECK_SUMMARY[2])}
+        FROM told WHERE case_id NOT IN (SELECT case_id FROM external_verification_check)""",
+    "external_verification_check",
+)
+ORACLE["captured_illegal_transitions"] = _captured(
+    f"SELECT * FROM moved WHERE NOT coalesce({_allowed('old_status', 'new_status')}, FALSE)", "country"
+)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,13 @@ from casewright.functions.sql_surface import register_functions, register_views
 from casewright.operators import (
     archive,
     audits,
+    capture,
     gaps,
     integrity,
     lifecycle,
     overview,
     ownership,
+    publishing,
     review,
     roster,
     submissions,
@@ -27,6 +30,7 @@ from casewright.schema import TABLES
 from casewright.sources.derived import Derived
 from casewright.sources.shared import stored
 from casewright.sources.snapshots import restore, shared_dir, snapshot, snapshot_path
+from casewright.sources.versions import publish, read_version
 from casewright.sources.tables import load_checked, lookup, row_counts, with_defaults, with_ids
 from casewright.streaming import keyed_workflow, request_feed, status_changes as change_stream
 
@@ -545,3 +549,82 @@ def stream_late_verdicts(t: Derived) -> DataFrame:
         late.select("request_id", "kind", "case_id", "code"), allowMissingColumns=True
     )
     return both.select(*columns, "new_status")
+
+
+# Versions ------------------------------------------------------------------
+
+
+def _twice(step, *args):
+    """A batch that is run again under its name changes nothing."""
+    first = step(*args)
+    assert step(*args) == first
+    return first
+
+
+@_query
+def published_documents(t: Derived) -> DataFrame:
+    """The documents of the version after a batch of submissions."""
+    root = shared_dir(t.spark, "versions")
+    publishing.start(t.spark, root, "base", t)
+    _twice(publishing.submit, t.spark, root, "submissions", t["submit_requests"], AS_OF)
+    return read_version(t.spark, root)["submitted_documents"]
+
+
+@_query
+def published_checks(t: Derived) -> DataFrame:
+    """The checks of the version after a batch of status requests."""
+    root = shared_dir(t.spark, "versions")
+    publishing.start(t.spark, root, "base", t)
+    _twice(publishing.update_status, t.spark, root, "statuses", t["status_requests"], AS_OF)
+    return read_version(t.spark, root)["external_verification_check"]
+
+
+@_query
+def published_review(t: Derived) -> DataFrame:
+    """The cases of the version after the review."""
+    root = shared_dir(t.spark, "versions")
+    publishing.start(t.spark, root, "base", t)
+    _twice(publishing.close_reviews, t.spark, root, "review")
+    return read_version(t.spark, root)["onboarding_case"]
+
+
+@_query
+def captured_changes(t: Derived) -> DataFrame:
+    """Changed keys of the case tables between a version and the one after status requests and the archive."""
+    root = shared_dir(t.spark, "versions")
+    old = publishing.start(t.spark, root, "base", t)
+    publishing.update_status(t.spark, root, "statuses", t["status_requests"], AS_OF)
+    new = publishing.without_archived(t.spark, root, "archive")
+    parts = [
+        capture.version_changes(t.spark, root, old, new, name).select(
+            F.lit(name).alias("table_name"), F.col(TABLES[name].key).alias("row_key"), "change", "n_old", "n_new"
+        )
+        for name in archive.CASE_TABLES
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _captured(t: Derived) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What follows from the statuses of a new version, which a batch without any effects has published."""
+    root = shared_dir(t.spark, "versions")
+    old = publishing.start(t.spark, root, "base", t)
+    changes = stored(lifecycle.status_changes(t["status_requests"], t["onboarding_case"]), "status-changes")
+    cases = lifecycle.with_status(t["onboarding_case"], lifecycle.last_status(changes))
+    new = publish(t.spark, root, "statuses", old, replaced={"onboarding_case": cases})
+    return capture.follow_versions(t.spark, root, old, new, AS_OF)
+
+
+@_query
+def captured_document_updates(t: Derived) -> DataFrame:
+    return _captured(t)[0]["submitted_documents"]
+
+
+@_query
+def captured_audit_checks(t: Derived) -> DataFrame:
+    return _captured(t)[0]["external_verification_check"]
+
+
+@_query
+def captured_illegal_transitions(t: Derived) -> DataFrame:
+    """Steps between the two versions that no single allowed step explains."""
+    return _captured(t)[1]
