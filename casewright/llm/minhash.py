@@ -6,12 +6,13 @@ of 100 registers, which keeps its earliest. A shingle stops as soon as its next
 the latest register, so most send one or two. Two texts agree in a register with the probability Jaccard
 similarity of their weighted shingles. 20 bands of 5 registers give candidates.
 
-Verification is exact. Within a bucket all texts are compared with its smallest one only. Those of
-similarity 0.8 or more are linked to it and leave the bucket; the others stay for the next round, which
-compares them with more leaders, as few rounds later hardly any are left. 1 minus the similarity is a metric,
-so a text below 0.6 to a leader has no link to the texts near that leader; one between 0.6 and 0.8 is compared
-with those of them that the distances to the leader allow, unless it is in their class already. So no link that joins classes is lost, and no group of
-near-duplicates is compared pair by pair. Classes are the connected components of the links.
+Verification is exact. First every text of a bucket is compared with the bucket's smallest one, its leader,
+and links of similarity 0.8 or more are joined to classes. The texts compared with one leader are its ball. What
+is left are pairs of a ball whose classes differ, one of them outside the leader's class. 1 minus the similarity is a
+metric, so a text below 0.6 to the leader has no link to one near it. All other such pairs are compared in blocks: texts of
+a ball are gathered into blocks of a bounded size, a pair of blocks is one row, and one product of matrices gives the
+shared shingles of all its pairs. Only links leave a task. So no link that joins classes is lost; texts
+just below the threshold to a large class cost a product with each block of it. Classes are the connected components.
 
 Equal texts are one node, by their MD5, so a group of copies never meets in one task.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import GOLDEN, blocks, fresh, mix, stored, word_hashes
@@ -34,6 +35,9 @@ from casewright.llm.graph import components
 SHINGLE, SIMILAR, NOT_FAR = 5, 0.8, 0.6
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
+#: Kinds of texts by their similarity to a leader; bytes of a block of texts, and shingles counted at once.
+NEAR, DOUBTFUL, FAR = range(3)
+BLOCK, COLUMNS = 1 << 19, 4096
 
 
 def shingle_weights(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,55 +184,117 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(work, "key binary, leader binary, similarity double")
 
 
-def _star_round(members: DataFrame, sets: DataFrame, leaders: int) -> DataFrame | None:
-    """(``bucket``, ``key``, ``leader``, ``similarity``): each member against the smallest keys of its bucket."""
-    if leaders == 1:
-        heads = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n"))
-        heads = heads.where("n > 1").select("bucket", "leader")
-    else:
-        # Spark keeps the first rows of a bucket before it shuffles them
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-        heads = members.withColumn("n", place).where(F.col("n") <= leaders)
-        heads = heads.select("bucket", F.col("key").alias("leader"))
-    held = stored(members.join(heads, "bucket").where(F.col("key") > F.col("leader")), "held")
-    if held.isEmpty():
-        return None
-    tested = stored(_similarities(held.select("key", "leader").distinct(), sets), "tested")
-    return stored(held.join(tested, ["key", "leader"]), "judged")
+def _unpacked(rows: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and weights of each set."""
+    out = []
+    for row in rows:
+        h = np.frombuffer(row["hashes"], np.uint32)
+        out.append((h, np.frombuffer(row["weights"], np.float32) if row["weights"] else np.ones(len(h), np.float32)))
+    return out
+
+
+def shared_weights(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs of sets the weight that the first has on shared elements, and that the second has."""
+    every, place = np.unique(np.concatenate([h for h, _ in (*a, *b)]), return_inverse=True)
+    ends = np.cumsum([len(h) for h, _ in (*a, *b)])
+    places = np.split(place, ends[:-1])
+    first, second = np.zeros((len(a), len(b)), np.float32), np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, len(every), COLUMNS):
+        dense = []
+        for sets, own in ((a, places[: len(a)]), (b, places[len(a) :])):
+            side = np.zeros((len(sets), COLUMNS), np.float32)
+            for i, ((_, w), p) in enumerate(zip(sets, own, strict=True)):
+                start, stop = np.searchsorted(p, (low, low + COLUMNS))
+                side[i, p[start:stop] - low] = w[start:stop]
+            dense.append(side)
+        x, y = dense
+        first += x @ (y > 0).astype(np.float32).T
+        second += (x > 0).astype(np.float32) @ y.T
+    return first, second
+
+
+def block_links(a: list[dict], b: list[dict]) -> list[tuple[bytes, bytes]]:
+    """Similar pairs of two blocks (rows with ``key``, ``root``, ``hashes``, ``weights``), as far as they join roots."""
+    x, y = _unpacked(a), _unpacked(b)
+    if not sum(len(h) for h, _ in (*x, *y)):
+        return []
+    first, second = shared_weights(x, y)
+    wx, wy = (np.array([w.sum() for _, w in side], np.float32) for side in (x, y))
+    # the similarity is at most the share of either side that both have; between sets without weights it is known
+    likely = np.minimum(first / np.maximum(wx, 1)[:, None], second / np.maximum(wy, 1)) >= SIMILAR - 1e-4
+    plain = np.array([not r["weights"] for r in a])[:, None] & np.array([not r["weights"] for r in b])
+    likely &= ~plain | (first / np.maximum(wx[:, None] + wy - first, 1) >= SIMILAR - 1e-4)
+    top = {r["root"]: r["root"] for r in (*a, *b)}
+
+    def root(node: bytes) -> bytes:
+        while top[node] != node:
+            top[node] = node = top[top[node]]
+        return node
+
+    links = []
+    for i, j in np.argwhere(likely).tolist():
+        mine, other = root(a[i]["root"]), root(b[j]["root"])
+        # a pair of classes is joined once
+        if mine != other and probability_jaccard(*x[i], *y[j]) >= SIMILAR:
+            links.append((a[i]["key"], b[j]["key"]))
+            top[mine] = other
+    return links
+
+
+def _balls(tested: DataFrame, roots: DataFrame) -> DataFrame:
+    """(``leader``, ``key``, ``kind``, ``root``, ``asks``) of the balls that hold a text outside the leader's class.
+
+    ``kind`` tells near, doubtful and far texts apart; those that ask are not in the leader's class.
+    """
+    similarity = F.col("similarity")
+    kind = F.when(similarity >= SIMILAR, NEAR).when(similarity >= NOT_FAR, DOUBTFUL).otherwise(FAR)
+    leaders = tested.select("leader").distinct().select("leader", F.col("leader").alias("key"), F.lit(NEAR).alias("kind"))
+    members = tested.select("leader", "key", kind.alias("kind")).union(leaders)
+    mine = roots.select(F.col("node").alias("key"), F.col("root").alias("r1"))
+    other = roots.select(F.col("node").alias("leader"), F.col("root").alias("r2"))
+    members = members.join(mine, "key", "left").join(other, "leader", "left")
+    root, head = F.coalesce("r1", "key"), F.coalesce("r2", "leader")
+    members = stored(members.select("leader", "key", "kind", root.alias("root"), (root != head).alias("asks")), "balls")
+    return members.join(members.where("asks").select("leader").distinct(), "leader", "left_semi")
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """(``leader``, ``kind``, ``block``, ``blocks``, ``rows``): the texts of each ball and kind in blocks of a bounded size."""
+    group = ["leader", "kind"]
+    size = F.octet_length("hashes") + F.octet_length("weights") + 100
+    many = F.ceil(F.sum(size) / BLOCK).cast("int").alias("blocks")
+    sizes = members.groupBy(F.struct(*group).alias("g")).agg(many).select("g.*", "blocks")
+    dealt = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = F.collect_list(F.struct("key", "root", "hashes", "weights")).alias("rows")
+    return dealt.groupBy(*group, "block").agg(F.max("blocks").alias("blocks"), rows)
 
 
 def _links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     """All links (``a``, ``b``) between texts that share a bucket, as far as they join classes."""
-    judged, leaders = None, 1
-    while (found := _star_round(members, sets, leaders)) is not None:
-        best = found.groupBy("bucket", "key").agg(F.max("similarity").alias("best"))
-        heads = found.select("bucket", F.col("leader").alias("key")).distinct()
-        alone = best.where(F.col("best") < SIMILAR).select("bucket", "key").join(heads, ["bucket", "key"], "left_anti")
-        members = stored(alone, "alone")
-        judged = found if judged is None else judged.union(found)
-        leaders *= 4 if leaders > 1 else 16
-    if judged is None:
+    heads = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n"))
+    held = members.join(heads.where("n > 1").select("bucket", "leader"), "bucket").where(F.col("key") > F.col("leader"))
+    tested = stored(_similarities(held.select("key", "leader").distinct(), sets), "tested")
+    if tested.isEmpty():
         return None
-    near = judged.where(F.col("similarity") >= SIMILAR)
-    links = stored(near.select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "links")
-    # a doubtful text matters only where its class is not yet that of the leader
-    doubtful = judged.where((F.col("similarity") >= NOT_FAR) & (F.col("similarity") < SIMILAR))
-    roots = components(links)
-    mine = roots.select(F.col("node").alias("key"), F.col("root").alias("r1"))
-    other = roots.select(F.col("node").alias("leader"), F.col("root").alias("r2"))
-    apart = (
-        doubtful.join(mine, "key", "left")
-        .join(other, "leader")
-        .where(F.coalesce("r1", "key") != F.col("r2"))
-        .select("leader", F.col("key").alias("far"), F.col("similarity").alias("s2"))
-        .distinct()
-    )
-    # the distance of two texts is at least the difference of their distances to the leader
-    close = near.select(F.col("leader").alias("head"), "key", F.col("similarity").alias("s1")).distinct()
-    pairs = close.join(apart, (F.col("head") == F.col("leader")) & (F.col("s1") - F.col("s2") <= 1 - SIMILAR + 1e-9))
-    pairs = stored(pairs.select("key", F.col("far").alias("leader")).distinct(), "cross")
-    crossed = _similarities(pairs, sets).where(F.col("similarity") >= SIMILAR)
-    return links.union(stored(crossed.select(F.col("key").alias("a"), F.col("leader").alias("b")), "crossed"))
+    near = tested.where(F.col("similarity") >= SIMILAR)
+    links = stored(near.select(F.col("key").alias("a"), F.col("leader").alias("b")), "links")
+    balls = stored(_balls(tested, components(links)).join(sets, "key"), "ball-sets")
+    blocks_of = stored(_blocked(balls).withColumnRenamed("rows", "held"), "blocks")
+    counts = blocks_of.select("leader", F.col("kind").alias("other"), "blocks").distinct()
+    asked = stored(_blocked(balls.where("asks")).select("leader", F.col("kind").alias("mine"), "rows"), "asked")
+    # a block that asks goes to each block of the ball; far and near texts have no link
+    pairs = asked.join(counts, "leader").where(~((F.col("mine") == FAR) & (F.col("other") == NEAR)))
+    pairs = pairs.select("leader", F.col("other").alias("kind"), "rows", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = pairs.join(blocks_of.drop("blocks"), ["leader", "kind", "block"]).select("rows", "held")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, other in zip(batch["rows"], batch["held"], strict=True):
+                found = block_links(mine.as_py(), other.as_py())
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["a", "b"])
+
+    return links.union(stored(pairs.mapInArrow(work, "a binary, b binary").distinct(), "crossed"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
