@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 
 from casewright.llm.common import blocks, text_bytes
 
-#: Text whose distinct words are encoded together, in bytes.
-ENCODE_BLOCK = 6 << 20
+#: Text whose distinct words are encoded together, in bytes; the arrays of a block take some forty times as much.
+ENCODE_BLOCK = 2 << 20
 NO_RANK = np.int64(1 << 40)
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: The characters of Unicode's White_Space property.
@@ -110,11 +110,12 @@ class RankTable:
     """Pairs of tokens and the rank of their joined bytes, found without a search.
 
     A pair's hash selects a group, and the group's shift sends its pairs to slots of their own.
+    The table travels with tasks, so nothing of it refers to this module's cached functions.
     """
 
     GROUPS, SLOTS, FACTOR = 1 << 15, 1 << 18, np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray):
         joined = {}
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
@@ -141,7 +142,7 @@ class RankTable:
             self.shift[g], taken[slot[own] ^ shift] = shift, True
             self.key[slot[own] ^ shift] = keys[own]
             self.rank[slot[own] ^ shift] = [joined[int(k)] for k in keys[own]]
-        self.classes = char_classes()
+        self.classes = classes
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pieces = sorted(ranks, key=ranks.get)
         if [ranks[p] for p in pieces] != list(range(len(pieces))):
@@ -161,7 +162,7 @@ class RankTable:
 
 @lru_cache(maxsize=2)
 def rank_table(path: str) -> RankTable:
-    return RankTable(read_ranks(path))
+    return RankTable(read_ranks(path), char_classes())
 
 
 def fold_words(data: np.ndarray, at: np.ndarray, table: RankTable) -> tuple[np.ndarray, np.ndarray]:
@@ -242,14 +243,15 @@ def encode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, ENCODE_BLOCK):
-            ids, at = encode_texts(block.column(1), table)
-            packed = pa.Array.from_buffers(
-                pa.large_binary(), block.num_rows, [None, pa.py_buffer(4 * at), pa.py_buffer(ids.astype("<u4"))]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array(np.diff(at)), packed.cast(pa.binary()), decode_ids(ids, at, table).cast(pa.binary())],
-                [doc_id, "n_tokens", "ids", "decoded"],
-            )
+            yield packed(block)
+
+    def packed(block: pa.RecordBatch) -> pa.RecordBatch:
+        ids, at = encode_texts(block.column(1), table)
+        four = pa.Array.from_buffers(
+            pa.large_binary(), block.num_rows, [None, pa.py_buffer(4 * at), pa.py_buffer(ids.astype("<u4"))]
+        )
+        columns = [block.column(0), pa.array(np.diff(at)), four.cast(pa.binary()), decode_ids(ids, at, table).cast(pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, [doc_id, "n_tokens", "ids", "decoded"])
 
     return docs.select(doc_id, F.col(text).alias("text")).mapInArrow(work, schema)
 
