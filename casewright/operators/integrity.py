@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casewright.functions.shuffles import distinct_apart
 from casewright.functions.text import collated, text_in
 from casewright.schema import TABLES, Check, Col, Table
 
@@ -127,35 +128,41 @@ def check_violations(tables: Tables) -> DataFrame:
     )
 
 
-def foreign_key_violations(tables: Tables) -> DataFrame:
-    """Rows that refer to a missing parent; a NULL reference passes."""
+def foreign_key_violations(tables: Tables, new: Tables | None = None) -> DataFrame:
+    """Rows that refer to a missing parent; a NULL reference passes.
+
+    ``new`` are rows to be judged before they are appended, by default all rows. Each child table is read once:
+    its keys are looked up one parent after the other, a small parent without moving the child.
+    """
     frames = []
     for t in TABLES.values():
-        for column, parent in t.foreign.items():
-            child = tables[t.name].filter(F.col(column).isNotNull())
-            child = child.select(
-                _name(t), _row_key(t), F.lit(column).alias("column_name"), F.col(column).alias("value")
-            )
-            keys = tables[parent].select(F.col(TABLES[parent].key).alias("value"))
-            frames.append(
-                child.join(keys, "value", "left_anti").withColumn("value", F.col("value").cast("string"))
-            )
-    return _union(frames).select("table_name", "row_key", "column_name", "value")
+        if not t.foreign or new is not None and t.name not in new:
+            continue
+        rows = (new or tables)[t.name].select(_name(t), _row_key(t), *t.foreign)
+        missing = []
+        for place, (column, parent) in enumerate(t.foreign.items()):
+            keys = distinct_apart(tables[parent], TABLES[parent].key)
+            keys = keys.select(F.col(TABLES[parent].key).alias(f"_key{place}"), F.lit(True).alias(f"_found{place}"))
+            rows = rows.join(keys, F.col(column) == F.col(f"_key{place}"), "left")
+            absent = F.col(column).isNotNull() & F.col(f"_found{place}").isNull()
+            told = F.struct(F.lit(column).alias("column_name"), F.col(column).cast("string").alias("value"))
+            missing.append(F.when(absent, told))
+        wrong = F.filter(F.array(*missing), lambda m: m.isNotNull())
+        frames.append(rows.select("table_name", "row_key", F.inline(wrong)))
+    return _union(frames)
 
 
 def delete_guard(tables: Tables, parent: str, doomed: DataFrame) -> DataFrame:
-    """Rows of ``doomed`` (keys of ``parent``) that may not be deleted, and the table in the way."""
+    """Keys among ``doomed`` (of ``parent``) that may not be deleted, and the table in the way."""
     key = TABLES[parent].key
+    keys = doomed.select(key).distinct()
     blocked = []
     for t in TABLES.values():
         for column, target in t.foreign.items():
             if target == parent:
-                used = tables[t.name].select(F.col(column).alias(key)).distinct()
-                blocked.append(
-                    doomed.select(key)
-                    .join(used, key, "left_semi")
-                    .select(key, F.lit(t.name).alias("child_table"), F.lit(column).alias("child_column"))
-                )
+                # only references to doomed rows are reduced
+                used = tables[t.name].select(F.col(column).alias(key)).join(keys, key, "left_semi").distinct()
+                blocked.append(used.select(key, F.lit(t.name).alias("child_table"), F.lit(column).alias("child_column")))
     return _union(blocked)
 
 

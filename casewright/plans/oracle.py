@@ -876,7 +876,12 @@ ORACLE: dict[str, str] = {
            FROM ownership WHERE ownership_id % 10 = 3 AND ownership_percentage * 25 >= 1000
            UNION ALL
            SELECT 'ownership', CAST(ownership_id AS VARCHAR), 'valid_from', '1997-13-01'
-           FROM ownership WHERE ownership_id % 10 = 7""",
+           FROM ownership WHERE ownership_id % 10 = 7
+           UNION ALL
+           SELECT 'ownership', CAST(ownership_id AS VARCHAR), NULL,
+                  CAST(ownership_id AS VARCHAR) || CASE ownership_id % 30 WHEN 8 THEN ',1'
+                      WHEN 18 THEN ',1,2,30,true,1997-01-01,,more' ELSE ',1,2,"30,true,1997-01-01,' END
+           FROM ownership WHERE ownership_id % 10 = 8""",
         "ownership",
     ),
     "staged_holdings": _sql(
@@ -1069,3 +1074,20 @@ ORACLE["captured_audit_checks"] = _captured(
 ORACLE["captured_illegal_transitions"] = _captured(
     f"SELECT * FROM moved WHERE NOT coalesce({_allowed('old_status', 'new_status')}, FALSE)", "country"
 )
+
+
+def _digest_rows(name: str, source: str) -> str:
+    told = ", '|', ".join(
+        f"coalesce(length(CAST({c.name} AS VARCHAR)) || ':' || CAST({c.name} AS VARCHAR), '-')" for c in TABLES[name].columns
+    )
+    return f"""SELECT '{name}' AS table_name, coalesce({TABLES[name].key} % 64 + CASE WHEN {TABLES[name].key} % 64 < 0 THEN 64 ELSE 0 END, 0)::BIGINT
+                      AS bucket, md5(concat({told})) AS md5 FROM ({source})"""
+
+
+ORACLE["snapshot_digests"] = f"""
+    SELECT table_name, bucket, count(*) AS n, CAST(sum(('0x' || substr(md5, 1, 15))::HUGEINT) AS VARCHAR) AS low,
+           CAST(sum(('0x' || substr(md5, 16, 15))::HUGEINT) AS VARCHAR) AS high
+    FROM ({_union([
+        _digest_rows(name, ORACLE["cases_after_status_updates"] if name == "onboarding_case" else _sql(f"SELECT * FROM {name}", name))
+        for name in TABLES
+    ])}) GROUP BY table_name, bucket"""

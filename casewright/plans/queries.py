@@ -29,7 +29,15 @@ from casewright.operators import (
 from casewright.schema import TABLES
 from casewright.sources.derived import Derived
 from casewright.sources.shared import stored
-from casewright.sources.snapshots import restore, shared_dir, snapshot, snapshot_path
+from casewright.sources.snapshots import (
+    digests,
+    restore,
+    restore_changes,
+    shared_dir,
+    snapshot,
+    snapshot_changes,
+    snapshot_path,
+)
 from casewright.sources.versions import publish, read_version
 from casewright.sources.tables import load_checked, lookup, row_counts, with_defaults, with_ids
 from casewright.streaming import keyed_workflow, request_feed, status_changes as change_stream
@@ -314,7 +322,7 @@ def append_with_defaults(t: Derived) -> DataFrame:
 
 
 def _staged(t: Derived) -> str:
-    """Holdings as text, some percentages too wide for their type and some dates without a day."""
+    """Holdings as text: some percentages too wide for their type, some dates without a day, some broken lines."""
     base = shared_dir(t.spark, "staged")
     for name, table in TABLES.items():
         rows = t[name] if name == "ownership" else t.spark.createDataFrame([], table.struct)
@@ -329,6 +337,18 @@ def _staged(t: Derived) -> str:
                 }
             )
         rows.select([c.name for c in table.columns]).write.option("header", True).csv(f"{base}/{name}")
+    # every tenth row comes once more, cut short, with a field too many or with an open quote
+    key = F.col("ownership_id").cast("string")
+    line = (
+        F.when(F.col("ownership_id") % 30 == 8, F.concat(key, F.lit(",1")))
+        .when(F.col("ownership_id") % 30 == 18, F.concat(key, F.lit(",1,2,30,true,1997-01-01,,more")))
+        .otherwise(F.concat(key, F.lit(',1,2,"30,true,1997-01-01,')))
+    )
+    # written as one field without quotes, under the header of the table
+    header = ",".join(c.name for c in TABLES["ownership"].columns)
+    broken = t["ownership"].where(F.col("ownership_id") % 10 == 8).select(line.alias(header))
+    as_is = {"header": True, "sep": "\u0001", "quote": "\u0000"}
+    broken.write.mode("append").options(**as_is).csv(f"{base}/ownership")
     return base
 
 
@@ -379,6 +399,16 @@ def snapshot_roundtrip_counts(t: Derived) -> DataFrame:
     return row_counts(restore(t.spark, path))
 
 
+@_query
+def snapshot_digests(t: Derived) -> DataFrame:
+    """Digests of all tables as a snapshot of changes restores them, of which the second part holds what status requests changed."""
+    base = shared_dir(t.spark, "snapshot")
+    snapshot_changes(t, f"{base}/first")
+    cases = lifecycle.apply_status_requests(t["status_requests"], t, AS_OF).cases
+    snapshot_changes(dict(t) | {"onboarding_case": stored(cases, "cases")}, f"{base}/second", f"{base}/first")
+    return digests(restore_changes(t.spark, f"{base}/second"))
+
+
 @_query
 def cases_by_jurisdiction(t: Derived) -> DataFrame:
     path = shared_dir(t.spark, "jurisdictions")

@@ -26,16 +26,20 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[str, Data
 
 
 def load_checked(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All tables from CSV under ``path/<table>``, and the values that do not fit their type.
+    """All tables from CSV under ``path/<table>``, and what does not fit.
 
-    The second result has a row per such value: table_name, row_key, column_name, value. A row with one is
-    left out of its table, as a database would refuse it. Texts are kept as they are; ``dq_domain``
-    judges their length.
+    The second result has a row per value that does not fit its type: table_name, row_key, column_name, value; and
+    a row without a column per line with too few or too many fields or an open quote, which has the line as its
+    value. Such rows and lines are left out of their table, as a database would refuse them. Texts are kept
+    as they are; ``dq_domain`` judges their length.
     """
     tables, rejects = {}, []
     for name, table in TABLES.items():
         texts = ", ".join(f"{c.name} string" for c in table.columns)
-        raw = spark.read.option("header", True).option("enforceSchema", False).schema(texts).csv(f"{path}/{name}")
+        reader = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
+        # fields are counted only while all columns are read
+        reader = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", "_line")
+        raw = reader.schema(f"{texts}, _line string").csv(f"{path}/{name}")
         wrong = [
             F.when(
                 F.col(c.name).isNotNull() & F.col(c.name).try_cast(c.type).isNull(),
@@ -44,7 +48,9 @@ def load_checked(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame],
             for c in table.columns
             if not isinstance(c.type, T.StringType)
         ]
-        judged = raw.withColumn("_wrong", F.filter(F.array(*wrong), lambda w: w.isNotNull()))
+        line = F.struct(F.lit(None).cast("string").alias("column_name"), F.col("_line").alias("value"))
+        unfit = F.filter(F.array(*wrong), lambda w: w.isNotNull())
+        judged = raw.withColumn("_wrong", F.when(F.col("_line").isNotNull(), F.array(line)).otherwise(unfit))
         rejects.append(
             judged.select(F.lit(name).alias("table_name"), F.col(table.key).alias("row_key"), F.inline("_wrong"))
         )

@@ -5,8 +5,9 @@ manifest file, which lists the folders of all tables; readers only follow manife
 ends early leaves the version before it as it was, and one that is repeated writes the same folders again or,
 once it is published, nothing at all. Appended rows add a folder; other folders stay where they are.
 
-Two runs that start from the same version both claim the next number. The first in the order of the runs'
-names has it; the other one gets `Conflict` and has to be run again on the new version.
+Two runs that start from the same version both claim the next number. The manifest that was written first has
+it (of the same moment the first run in the order of names); the other run gets `Conflict` and has to be run again
+on the new version.
 
     root/data/<run>/<table>      root/manifest/version=<n>/
 """
@@ -38,10 +39,11 @@ class Version:
 
 
 def _manifests(spark: SparkSession, root: str) -> DataFrame:
-    """All rows of all manifests; of runs that claim one number the first in order counts."""
+    """All rows of all manifests; of runs that claim one number the first one counts."""
     spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{root}/manifest")
-    rows = spark.read.schema(f"{MANIFEST}, version bigint").parquet(f"{root}/manifest").where("version IS NOT NULL")
-    first = rows.groupBy("version").agg(F.min("run_id").alias("run_id"))
+    rows = spark.read.schema(f"{MANIFEST}, version bigint").parquet(f"{root}/manifest")
+    rows = rows.select("*", F.col("_metadata.file_modification_time").alias("written")).where("version IS NOT NULL")
+    first = rows.groupBy("version").agg(F.min(F.struct("written", "run_id"))["run_id"].alias("run_id"))
     return rows.join(F.broadcast(first), ["version", "run_id"], "left_semi")  # one row per version
 
 
@@ -85,6 +87,11 @@ def published(spark: SparkSession, root: str, run_id: str) -> Version | None:
     return None if number is None else _version(rows, number)
 
 
+def write_manifest(rows: DataFrame, root: str, number: int) -> None:
+    """One file, so that it appears at once."""
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/manifest/version={number}")
+
+
 def publish(
     spark: SparkSession,
     root: str,
@@ -109,8 +116,7 @@ def publish(
             rows.select([c.name for c in TABLES[name].columns]).write.mode("overwrite").parquet(f"{root}/{folder}")
             folders[name] = (*(folders.get(name, ()) if keeps else ()), folder)
     listed = [(run_id, base.number, name, f) for name, some in folders.items() for f in some]
-    manifest = spark.createDataFrame(listed, MANIFEST).coalesce(1)  # one file, so it appears at once
-    manifest.write.mode("append").parquet(f"{root}/manifest/version={base.number + 1}")
+    write_manifest(spark.createDataFrame(listed, MANIFEST), root, base.number + 1)
     done = published(spark, root, run_id)
     if done is None:
         raise Conflict(f"another run has published version {base.number + 1}")

@@ -343,3 +343,13 @@ def test_every_table_has_a_first_column_key():
     assert sum(len(t.foreign) for t in TABLES.values()) == 14
     assert sum(len(t.checks) for t in TABLES.values()) == 8
     assert sum(len(t.unique) for t in TABLES.values()) == 2
+
+
+def test_new_rows_are_judged_before_they_are_appended(spark):
+    tables = world(spark)
+    columns = "submitted_document_id bigint, case_id bigint, ubo_id bigint, document_type_id bigint"
+    new = spark.createDataFrame([(1, 1, None, 1), (2, 999, 888, 1), (None, 999, None, None)], columns)
+    found = integrity.foreign_key_violations(tables, {"submitted_documents": new})
+    assert as_set(found, "row_key", "column_name", "value") == {
+        ("2", "case_id", "999"), ("2", "ubo_id", "888"), (None, "case_id", "999"),
+    }

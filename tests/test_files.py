@@ -7,6 +7,7 @@ from casewright.functions.sql_surface import register_functions, register_views
 from casewright.operators import archive, lifecycle, overview
 from casewright.schema import NO_DEFAULT, TABLES
 from casewright.sources.snapshots import restore, shared_dir, snapshot, snapshot_path
+from casewright.sources import snapshots
 from casewright.sources.tables import append, load, load_checked, lookup, purge, row_counts, with_defaults
 from casewright.streaming.status_changes import CHANGE_SCHEMA, follow_status_changes, read_output
 from tests.sample import AS_OF, as_set, world
@@ -81,6 +82,55 @@ def test_load_checked_csv(spark):
     }
 
 
+def test_malformed_lines(spark, tmp_path):
+    base = shared_dir(spark, "csv")
+    for name, df in world(spark).items():
+        df.write.option("header", True).csv(f"{base}/{name}")
+    header = ",".join(c.name for c in TABLES["company"].columns)
+    width = len(TABLES["company"].columns)
+    lines = [header, "901,2", "902" + "," * width, '903,"open' + "," * (width - 2), ""]
+    folder = base.removeprefix("file:")
+    with open(f"{folder}/company/broken.csv", "w") as file:
+        file.write("\n".join(lines))
+    tables, rejects = load_checked(spark, base)
+    assert [r.n for r in row_counts(tables).collect()] == EXPECTED_COUNTS
+    assert as_set(rejects, "table_name", "row_key", "column_name", "value") == {
+        ("company", line.split(",")[0], None, line) for line in lines[1:4]
+    }
+
+
+def _digest_set(frame):
+    return as_set(frame, "table_name", "bucket", "n", "low", "high")
+
+
+def test_snapshot_of_changes(spark):
+    base, tables = shared_dir(spark, "changes"), world(spark)
+    first = snapshots.snapshot_changes(tables, f"{base}/1")
+    assert {r.held_in for r in first.collect()} == {f"{base}/1"}
+    # another order and other files: the same digests
+    shuffled = {n: df.repartition(5).sortWithinPartitions(F.rand(3)) for n, df in tables.items()}
+    assert _digest_set(snapshots.digests(shuffled)) == _digest_set(first)
+    one = F.col("case_id") == 3
+    changed = tables["onboarding_case"].withColumn("case_status", F.when(one, "Closed").otherwise(F.col("case_status")))
+    second = snapshots.snapshot_changes(tables | {"onboarding_case": changed}, f"{base}/2", f"{base}/1")
+    moved = second.where(F.col("held_in") == f"{base}/2").collect()
+    assert [(r.table_name, r.bucket) for r in moved] == [("onboarding_case", 3)]
+    restored = snapshots.restore_changes(spark, f"{base}/2")
+    assert restored["onboarding_case"].exceptAll(changed).count() == 0
+    assert [r.n for r in row_counts(restored).collect()] == EXPECTED_COUNTS
+    # a row less in a file of the first snapshot
+    restored["ubo"].limit(1).withColumn("bucket", F.lit(0).cast("long")).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/1/ubo")
+    with pytest.raises(snapshots.Damaged):
+        snapshots.restore_changes(spark, f"{base}/2")
+
+
+def test_digest_tells_null_from_text(spark):
+    rows = [(1, None, "a|b"), (1, "-", "a|b"), (1, "", "a|b"), (1, "a", "|b")]
+    frames = [spark.createDataFrame([(k, 1, x, None, y, "t")], "external_source_id bigint, c int, source_name string, d int, source_country string, source_type string") for k, x, y in rows]
+    found = {tuple(snapshots.table_digests(f, "external_source").first()) for f in frames}
+    assert len(found) == len(rows)
+
+
 def test_lookup(spark):
     tables = world(spark)
     assert as_set(lookup(tables["onboarding_case"], case_status="open "), "case_id") == {(2,), (5,), (8,), (10,), (12,)}

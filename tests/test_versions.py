@@ -29,11 +29,15 @@ def test_broken_run_leaves_the_version_before(spark, root, monkeypatch):
     open_case = next(c for c, s in before if s == "Open")
     requests = _requests(spark, (1, open_case, "InReview"))
 
+    def lost(*_):
+        raise OSError("lost")
+
     # the run ends after the data and before its manifest
     with monkeypatch.context() as m:
-        m.setattr(versions, "MANIFEST", "broken")
-        with pytest.raises(Exception):
+        m.setattr(versions, "write_manifest", lost)
+        with pytest.raises(OSError):
             publishing.update_status(spark, root, "statuses", requests, AS_OF)
+    assert spark.read.parquet(f"{root}/data/statuses/onboarding_case").count() == len(before)
     assert _cases(spark, root) == before and versions.latest(spark, root).number == 1
     # data that a lost run has left is overwritten
     spark.range(3).write.mode("overwrite").parquet(f"{root}/data/statuses/onboarding_case")
@@ -50,10 +54,10 @@ def test_competing_runs(spark, root):
     versions.publish(spark, root, "b", base, replaced={"onboarding_case": cases.limit(1)})
     with pytest.raises(versions.Conflict):
         versions.publish(spark, root, "c", base, replaced={"onboarding_case": cases.limit(2)})
-    # both looked before either had published: the first name has the number
+    # both looked before either had published: the manifest that was there first has the number
     late = [("a", 1, "onboarding_case", base.folders["onboarding_case"][0])]
-    spark.createDataFrame(late, versions.MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest/version=2")
-    assert versions.latest(spark, root).run_id == "a" and versions.published(spark, root, "b") is None
+    versions.write_manifest(spark.createDataFrame(late, versions.MANIFEST), root, 2)
+    assert versions.latest(spark, root).run_id == "b" and versions.published(spark, root, "a") is None
     with pytest.raises(KeyError):
         versions.version(spark, root, 9)
 
