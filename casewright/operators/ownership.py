@@ -160,6 +160,38 @@ def reportable_owners_of(tables: Tables, asked: DataFrame) -> DataFrame:
     )
 
 
+def holdings_on_days(questions: DataFrame, tables: Tables) -> DataFrame:
+    """The holdings of at least 25 % that were valid on the day of each question (question_id, company_id, day).
+
+    A join over intervals: a holding is listed under every year in which it was valid and some question lies, and
+    meets the questions of its company in that year only. Company and year are the key, so that a company
+    with very many questions and holdings is spread over its years, and adaptive execution cuts what is still hot.
+    A question lies in one year, so it meets a holding once.
+    """
+    span = questions.agg(F.min(F.year("day")).alias("first"), F.max(F.year("day")).alias("last")).first()
+    low, high = F.lit(span["first"]).cast("int"), F.lit(span["last"]).cast("int")
+    first = F.greatest(F.year("valid_from"), low)
+    last = F.least(F.year("valid_to"), high)
+    holding = (
+        tables["ownership"]
+        .filter(is_reportable(F.col("ownership_percentage")) & (first <= last))
+        .select(
+            "company_id",
+            "ubo_id",
+            "ownership_percentage",
+            "valid_from",
+            "valid_to",
+            F.explode(F.sequence(first, last)).alias("year"),
+        )
+    )
+    asked = questions.select("question_id", "company_id", "day", F.year("day").alias("year"))
+    return (
+        asked.join(holding, ["company_id", "year"])
+        .filter(valid_on(F.col("valid_from"), F.col("valid_to"), F.col("day")))
+        .select("question_id", "company_id", "day", "ubo_id", "ownership_percentage")
+    )
+
+
 def ownership_direct_indirect(tables: Tables) -> DataFrame:
     """Direct and indirect holdings of each company, summed and counted."""
     direct = F.col("is_ownership_direct")

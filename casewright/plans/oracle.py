@@ -605,6 +605,16 @@ ORACLE: dict[str, str] = {
         "onboarding_case",
         "ownership",
     ),
+    "holdings_at_openings": _sql(
+        """SELECT case_id, count(*) AS holdings, count(DISTINCT ubo_id) AS owners,
+                  CAST(sum(ownership_percentage) AS DECIMAL(18,2)) AS total_percentage
+           FROM onboarding_case JOIN ownership USING (company_id)
+           WHERE ownership_percentage >= 25
+             AND case_open_date BETWEEN coalesce(valid_from, case_open_date) AND coalesce(valid_to, case_open_date)
+           GROUP BY case_id""",
+        "onboarding_case",
+        "ownership",
+    ),
     # All holdings without those that ended before the moment asked about (a day ends as it begins).
     "active_ubos": _sql(
         f"""SELECT company_id, ubo_id, first_name, last_name, concat(first_name, ' ', last_name) AS full_name,

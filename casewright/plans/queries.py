@@ -124,6 +124,21 @@ def reportable_owners_listed(t: Derived) -> DataFrame:
     return ownership.reportable_owners_of(t, _asked(t))
 
 
+@_query
+def holdings_at_openings(t: Derived) -> DataFrame:
+    """Each case asks for the reportable holdings of its company on the day it was opened; here summed up by case."""
+    questions = t["onboarding_case"].select(F.col("case_id").alias("question_id"), "company_id", F.col("case_open_date").alias("day"))
+    return (
+        ownership.holdings_on_days(questions, t)
+        .groupBy(F.col("question_id").alias("case_id"))
+        .agg(
+            F.count(F.lit(1)).alias("holdings"),
+            F.countDistinct("ubo_id").alias("owners"),
+            F.sum("ownership_percentage").cast("decimal(18,2)").alias("total_percentage"),
+        )
+    )
+
+
 @_query
 def active_ubos(t: Derived) -> DataFrame:
     return ownership.active_ubos(t, AS_OF)

@@ -200,3 +200,30 @@ def test_owners_of_one_company(spark, cases):
     assert len(rows) == ROWS + 6000 - len({r.company_id for r in rows if r.ubo_id is not None})
     assert held >= len({r.company_id for r in rows if r.ubo_id is not None})
     assert "skewed" in plan, plan
+
+
+def test_questions_about_one_company(spark):
+    """A third of all questions and of all holdings are about one company."""
+    i = F.col("id")
+    company = F.when(i % 3 == 0, HOT).otherwise(i % 500 + 10).cast("bigint")
+    start = F.date_add(F.lit("2000-01-01").cast("date"), (i * 37 % 7000).cast("int"))
+    questions = spark.range(6000, numPartitions=4).select(i.alias("question_id"), company.alias("company_id"), start.alias("day"))
+    holdings = spark.range(1500, numPartitions=4).select(
+        company.alias("company_id"),
+        (i % 90).alias("ubo_id"),
+        F.when(i % 7 == 0, 24).otherwise(25 + i % 50).cast("decimal(5,2)").alias("ownership_percentage"),
+        F.when(i % 11 > 0, F.date_sub(start, 200)).alias("valid_from"),
+        F.when(i % 5 > 0, F.date_add(start, (i % 900).cast("int"))).alias("valid_to"),
+    )
+    expected = questions.join(holdings, "company_id").where(
+        "ownership_percentage >= 25 AND coalesce(valid_from <= day, true) AND coalesce(valid_to >= day, true)"
+    )
+    columns = ["question_id", "company_id", "day", "ubo_id", "ownership_percentage"]
+    with large_scale_plans(spark):
+        found = ownership.holdings_on_days(questions, {"ownership": holdings})
+        rows = found.collect()
+        plan = _final_plan(found)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, expected.select(columns).collect())) and len(rows) > 100_000
+    sizes = found.groupBy("company_id", F.year("day")).count().agg(F.max("count")).first()[0]
+    assert sizes < len(rows) / 10 and "SortMergeJoin" in plan
+    assert ownership.holdings_on_days(questions.limit(0), {"ownership": holdings}).count() == 0
