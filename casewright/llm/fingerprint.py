@@ -7,9 +7,11 @@ such labels leave too far from any. Runs of one name are phrases of their own. A
 is a hash of its names, so the next level starts from the phrases. Where a cut falls depends on a few names
 around it only: equal substrings have equal phrases inside, wherever they stand.
 
-The fingerprint lists, for each of three levels, the phrases' number and the smallest of their names' hashes. The
-likeness of two texts is read from the highest level at which both have enough phrases: the share
-of the joint smallest names that both lists hold.
+Levels go on while a text has enough phrases. The fingerprint lists, for each level from the second on, the number
+of distinct phrases and the smallest of their names: all names of a fixed share of the range, so that a list grows
+with its text, and at least a fixed number of them. The likeness of two texts is read from the highest level, up to
+the fourth, at which both have enough phrases: of the names up to the end of the shorter list's range, the share that
+both hold. Phrases of higher levels are so long that scattered edits touch them all; they tell long shared passages.
 
 Defined results: a NULL text counts as empty; the likeness of two empty texts is 1, of an empty and another
 0; equal texts have equal fingerprints; repeated rows follow each other in the order of their texts; rows
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 from casewright.functions.ids import slice_of
 from casewright.llm.common import GOLDEN, blocks, mix, text_bytes
 
-#: Levels kept, smallest names kept of each, and the phrases a level must have to be compared.
-LEVELS, KEPT, ENOUGH = 4, 48, 8
-FIRST_LEVEL = 2
+#: The least number of names kept, the share of the range of names that is kept whole, and the phrases of a level
+#: that are enough for comparing it and for a next one.
+KEPT, SHARE, ENOUGH = 48, 1 / 16, 8
+FIRST_LEVEL, COMPARED = 2, 4
+RANGE = int(SHARE * 2**32)
 #: Text parsed at once, in bytes; the arrays of a parse take some hundred times as much.
 PARSED = 1 << 20
 
@@ -112,21 +116,31 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> list[str]:
     if full.any():
         names, head = BYTE_NAME[data], np.zeros(len(data), bool)
         head[at[:-1][full]] = True
-        texts = np.flatnonzero(full)
-        for level in range(LEVELS + 1):
+        texts = active = np.flatnonzero(full)
+        level = 0
+        while len(active):
             if level >= FIRST_LEVEL:
                 owner = texts[np.cumsum(head) - 1]
                 both = np.unique(owner.astype(np.uint64) << np.uint64(32) | names)
                 edges = np.searchsorted((both >> np.uint64(32)).astype(np.int64), np.arange(count + 1))
                 low = both & np.uint64(0xFFFFFFFF)
-                for t in texts:
-                    some = low[edges[t] : min(edges[t + 1], edges[t] + KEPT)]
-                    out[t].append(f"{edges[t + 1] - edges[t]}:" + some.astype(">u4").tobytes().hex())
-            if level < LEVELS:
-                names, head = parse(names, head)
+                for t in active:
+                    own = low[edges[t] : edges[t + 1]]
+                    some = own[: max(KEPT, int(np.searchsorted(own, RANGE)))]
+                    out[t].append(f"{len(own)}:" + some.astype(">u4").tobytes().hex())
+                active = active[np.diff(edges)[active] >= ENOUGH]
+            names, head = parse(names, head)
+            level += 1
     return [";".join(x) for x in out]
 
 
+def _names(listed: str) -> tuple[int, set[int], float]:
+    """The number of names of a level, those that are listed, and up to where the list is whole."""
+    n, some = listed.split(":")
+    names = np.frombuffer(bytes.fromhex(some), ">u4").tolist()
+    return int(n), set(names), max(RANGE - 1, names[-1]) if len(names) < int(n) else np.inf
+
+
 def likeness(a: str, b: str) -> float:
     """Between 0 and 1, from two fingerprints."""
     if a == b:
@@ -134,13 +148,13 @@ def likeness(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     best = 0.0
-    for x, y in zip(a.split(";"), b.split(";"), strict=True):
-        (n, p), (m, q) = x.split(":"), y.split(":")
-        p, q = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (p, q))
-        if x != a.split(";")[0] and min(int(n), int(m)) < ENOUGH:
+    levels = list(zip(a.split(";"), b.split(";")))[: COMPARED - FIRST_LEVEL + 1]
+    for place, (x, y) in enumerate(levels):
+        (n, p, end), (m, q, other) = _names(x), _names(y)
+        if place and min(n, m) < ENOUGH:
             break
-        joint = sorted(p | q)[:KEPT]
-        best = sum(j in p and j in q for j in joint) / len(joint)
+        joint = [v for v in p | q if v <= min(end, other)]
+        best = sum(v in p and v in q for v in joint) / len(joint) if joint else 0.0
     return best
 
 

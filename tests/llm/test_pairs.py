@@ -134,6 +134,43 @@ def test_labels_are_small_and_differ_from_the_one_before():
     assert labels.max() < 6 and (labels[1:] != labels[:-1])[~head[1:]].all()
 
 
+def _level_sets(text):
+    """All phrase names of each compared level."""
+    names, head, out = fingerprint.BYTE_NAME[np.frombuffer(text.encode(), np.uint8)], None, []
+    head = np.zeros(len(names), bool)
+    head[0] = True
+    for level in range(fingerprint.COMPARED + 1):
+        if level >= fingerprint.FIRST_LEVEL:
+            out.append(set(names.tolist()))
+        names, head = fingerprint.parse(names, head)
+    return out
+
+
+def test_likeness_against_whole_sets():
+    rng = random.Random(12)
+    letters = "abcdefghij klmno"
+    for size, allowed in ((60, 0), (300, 0), (20_000, 0.15), (200_000, 0.08)):
+        for edits in (1, size // 200, size // 20):
+            a = "".join(rng.choice(letters) for _ in range(size))
+            b = list(a)
+            for _ in range(edits):
+                b[rng.randrange(size)] = rng.choice(letters)
+            x, y = _fingerprints([a, "".join(b)])
+            p, q = next(
+                (p, q)
+                for i, (p, q) in reversed(list(enumerate(zip(_level_sets(a), _level_sets("".join(b))))))
+                if i == 0 or min(len(p), len(q)) >= fingerprint.ENOUGH
+            )
+            assert abs(fingerprint.likeness(x, y) - len(p & q) / len(p | q)) <= allowed + 1e-9
+
+
+def test_long_texts_have_longer_lists_and_more_levels():
+    rng = random.Random(13)
+    short, long = _fingerprints(["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (3000, 300_000)])
+    first = [int(x.split(":")[0]) for x in (short, long)]
+    assert len(long) > 5 * len(short) and len(long.split(";")) > len(short.split(";")) and first[1] > 20 * first[0]
+
+
 def test_edited_texts(spark):
     rng = random.Random(11)
     rows = [(i * 2 + 1, "".join(rng.choice("abc é😀") for _ in range(rng.randint(0, 200)))) for i in range(300)]
