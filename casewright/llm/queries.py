@@ -101,7 +101,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), lm.HELD_OUT) == 0
     scored = lm.score(table(spark, sf_dir, "documents"), RANKS, ~held_out)
-    return scored.withColumn("held_out", held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
