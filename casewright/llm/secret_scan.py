@@ -4,9 +4,10 @@ The fixed formats (assignments, access keys, hex strings) are found in every who
 of what they find, by kind, are the labelled credentials: each kind's strings, written as character
 classes, form a prefix tree, and states whose outgoing frequencies do not differ by a Hoeffding test are
 merged, from the root on, into a probabilistic automaton. Other long runs of credential characters
-that none of them finds usual train one more automaton, for what is no credential. Every run of 16 or more such characters with a digit
-that no fixed format covers is then scored by all automata; it is added where one of the credentials'
-automata makes it far likelier than the other does, and about as likely as that kind's own strings.
+that none of them finds usual train one more automaton, for what is no credential. Every run of 12 or more such
+characters (the shortest value of an assignment) is then scored by all automata, as a whole, full stops at its end left
+out; only runs that a fixed format covers altogether are not, as they are spans already. A run is added where one of the
+credentials' automata makes it far likelier than the other does, and about as likely as that kind's own strings.
 
 Two passes over the texts, no shuffle of texts; the sample is the same in every run (smallest hashes).
 
@@ -35,7 +36,8 @@ SAMPLE, LONGEST = 400, 128
 ALPHA, UNSEEN = 0.05, 1e-3
 #: Natural logarithm of how much likelier a credential's automaton must be than the other runs'.
 MARGIN = math.log(1000)
-MIN_RUN = 16
+#: Characters that a run needs to be a candidate: as many as the value of an assignment.
+MIN_RUN = 12
 
 ASSIGN = re.compile(
     rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE
@@ -52,7 +54,6 @@ def _members(pattern: bytes) -> np.ndarray:
 _DIGITS, _UPPER = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX, ACCESS = _members(_DIGITS + b"abcdef"), _members(_DIGITS + _UPPER)
 CREDENTIAL = _members(_DIGITS + _UPPER + _UPPER.lower() + b"+/_.=-")
-DIGIT = _members(_DIGITS)
 #: Character classes that the automata read: digits, a to f, other small letters, capitals, and each sign by itself.
 CLASS = bytes(
     48 if c in _DIGITS else 97 if c in b"abcdef" else 122 if 97 <= c <= 122 else 65 if 65 <= c <= 90 else c
@@ -92,17 +93,20 @@ def base_spans(data: np.ndarray, at: np.ndarray) -> list[Span]:
 
 
 def candidate_runs(data: np.ndarray, at: np.ndarray, base: Sequence[Span]) -> list[tuple[int, int]]:
-    """Long runs of credential characters with a digit that no base span touches."""
+    """Runs of credential characters, without full stops at the end, that no base spans cover as a whole."""
     start, stop = runs(CREDENTIAL[data], at)
     long = stop - start >= MIN_RUN
     start, stop = start[long], stop[long]
-    digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
+    solid = np.concatenate([[0], np.maximum.accumulate(np.where(data != ord("."), np.arange(1, len(data) + 1), 0))])
+    stop = solid[stop]
     covered = np.zeros(len(data) + 1, np.int64)
     for _, b, e in base:
         covered[b] += 1
         covered[e] -= 1
     covered = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
-    free = (digits[stop] > digits[start]) & (covered[stop] == covered[start])
+    free = stop - start >= MIN_RUN
+    start, stop = start[free], stop[free]
+    free = covered[stop] - covered[start] < stop - start
     return list(zip(start[free].tolist(), stop[free].tolist(), strict=True))
 
 
@@ -216,7 +220,9 @@ class FormatModel:
 def all_spans(data: np.ndarray, at: np.ndarray, model: FormatModel) -> list[Span]:
     """The fixed formats' spans and those that the automata add, by start and then kind."""
     base, raw = base_spans(data, at), data.tobytes()
-    found = base + [(3, b, e) for b, e in candidate_runs(data, at, base) if model.is_secret(raw[b:e])]
+    candidates = candidate_runs(data, at, base)
+    secret = {run: model.is_secret(run) for run in {raw[b:e] for b, e in candidates}}
+    found = base + [(3, b, e) for b, e in candidates if secret[raw[b:e]]]
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 

@@ -3,7 +3,10 @@
 import random
 import re
 
+import pyarrow as pa
+
 from casewright.llm import secret_scan
+from casewright.llm.common import text_bytes
 from tests.llm.odd import ODD_TEXTS, empty_documents, odd_documents
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -46,6 +49,39 @@ def test_added_formats_look_like_the_labelled_ones(spark):
     assert start == ("format", 4, 24)
 
 
+def test_every_run_is_a_candidate(spark):
+    rng = random.Random(6)
+    key = lambda n, signs: "".join(rng.choice(signs) for _ in range(n))
+    capitals, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+    texts = [f"token={key(13, capitals)} password: {key(4, 'XYZ')}{key(16, hexes)}{key(4, 'XYZ')} end" for _ in range(300)]
+    texts += [f"the counterrevolution{key(2, 'stuy')} of incomprehensible{key(2, 'lnor')}things {i}" for i in range(300)]
+    # bare: short, of letters only and before a full stop; and a key with a fixed format inside
+    bare = [f"got {key(13, capitals)}. Then" for _ in range(40)]
+    inner = [f"got {key(4, 'XYZ')}{key(16, hexes)}{key(4, 'XYZ')} then" for _ in range(40)]
+    got = _scan(spark, texts + bare + inner)
+    added = [[s[1:] for s in got[i] if s[0] == "format"] for i in range(len(got))]
+    assert not any(added[:600])
+    assert sum(spans == [(4, 17)] for spans in added[600:640]) >= 38
+    assert sum(spans == [(4, 28)] for spans in added[640:]) >= 36
+    assert all(any(s[0] == "hex" for s in got[i]) for i in range(640, 680))
+
+
+def test_candidates_without_numpy():
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["ab", "F0", ".", "..", "=", " ", "é", "token=", "0123456789abcdef", "longwordhere"])
+                     for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    data, at = text_bytes(pa.array(texts, pa.large_string()))
+    base = secret_scan.base_spans(data, at)
+    want = []
+    for low, text in zip(at, texts):
+        for m in re.finditer(rb"[0-9A-Za-z+/_.=-]+", text.encode()):
+            run = m[0].rstrip(b".")
+            place = range(int(low) + m.start(), int(low) + m.start() + len(run))
+            if len(run) >= 12 and not all(any(b <= p < e for _, b, e in base) for p in place):
+                want.append((place.start, place.stop))
+    assert secret_scan.candidate_runs(data, at, base) == want
+
+
 def test_automaton_merges_states():
     automaton = secret_scan.Automaton([b"0a" * n for n in range(4, 40)] * 8)
     reached, todo = {0}, [0]
