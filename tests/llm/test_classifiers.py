@@ -1,6 +1,9 @@
 """Toxicity and quality: held-out accuracy, unseen spellings, odd rows."""
 
+import collections
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,73 @@ def test_bags_and_scores_agree():
     assert np.allclose(1 / (1 + np.exp(-np.array(by_bag))), model.scores(texts))
 
 
+def _plain_toxicity(rows, asked):
+    """The same training, a text, a word and a feature at a time, with features by name instead of by hash."""
+
+    def features(text):
+        words = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())]
+        share = {w: math.sqrt(n) for w, n in collections.Counter(words).items()}
+        whole, out = sum(share.values()) + toxicity.BLANKS, collections.defaultdict(float)
+        for word, part in share.items():
+            bag = [word] + [
+                (word[i : i + k], i == 0, i + k == len(word)) for k in toxicity.SIZES for i in range(len(word) - k + 1)
+            ]
+            for feature in bag:
+                out[feature] += part / len(bag) / whole
+        return out
+
+    rng, size = np.random.default_rng(0), toxicity.DIMENSION
+    bags, embed = [features(t) for t, _ in rows], collections.defaultdict(lambda: np.zeros(size))
+    soft, bias = rng.normal(0, 0.5, (size, 2)), np.zeros(2)
+    moments = collections.defaultdict(lambda: [0.0, 0.0])
+    batches = -(-len(rows) // toxicity.BATCH)
+    epochs = max(toxicity.EPOCHS, -(-toxicity.LEAST_STEPS // batches))
+    step = 0
+    for f in {f for bag in bags for f in bag}:
+        embed[f] = np.zeros(size)
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for low in range(0, len(order), toxicity.BATCH):
+            batch, step = order[low : low + toxicity.BATCH], step + 1
+            slopes = {f: np.zeros(size) for f in embed} | {"soft": np.zeros((size, 2)), "bias": np.zeros(2)}
+            for i in batch:
+                vector = sum((w * embed[f] for f, w in bags[i].items()), np.zeros(size))
+                odds = np.exp(vector @ soft + bias)
+                miss = (odds / odds.sum() - np.eye(2)[rows[i][1]]) / len(batch)
+                slopes["soft"] += np.outer(vector, miss)
+                slopes["bias"] += miss
+                for f, w in bags[i].items():
+                    slopes[f] += w * (soft @ miss)
+            for name, slope in slopes.items():
+                m = moments[name]
+                m[0], m[1] = 0.9 * m[0] + 0.1 * slope, 0.99 * m[1] + 0.01 * slope**2
+                rate = toxicity.RATE * (1 - step / (epochs * batches + 1))
+                move = rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+                if name == "soft":
+                    soft = soft - move
+                elif name == "bias":
+                    bias = bias - move
+                else:
+                    embed[name] = embed[name] - move
+    out = []
+    for text in asked:
+        vector = sum((w * embed[f] for f, w in features(text).items() if f in embed), np.zeros(size))
+        odds = np.exp(vector @ soft + bias)
+        out.append(odds[1] / odds.sum())
+    return np.array(out)
+
+
+def test_training_against_a_plain_version(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 4)
+    monkeypatch.setattr(toxicity, "BATCH", 8)
+    rows = [("Some Plain words here, plain", 0), ("été snarkfiddle", 1), ("", 0), ("blightmonger and words", 1), ("ab c 12 34567", 0)] * 5
+    asked = [t for t, _ in rows[:5]] + ["snarkfiddel", "PLAIN words words words", "?"]
+    model = _train(rows)
+    got = model.scores(pa.array(asked, pa.large_string()))
+    assert np.allclose(got, _plain_toxicity(rows, asked), atol=1e-3)
+
+
 def test_labels_beyond_the_sample_do_not_matter(spark):
     rng = random.Random(2)
     rows = [(i, t, y) for i, (t, y) in enumerate(_texts(rng, 300))]
