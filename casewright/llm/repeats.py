@@ -11,7 +11,8 @@ as induced sorting samples its substrings, and what holds at the samples is carr
 3. Of the others of one gram, one text of each is brought together, and all their windows are compared;
    a gram with very many different stretches has its windows dealt out by their own hash instead.
 
-Every window is thus compared with every other that can equal it; bytes are compared by 64-bit hashes.
+Every window is thus compared with every other that can equal it; windows are compared by 64-bit hashes,
+whole texts by MD5.
 Sorting and merging are Spark's external sorts. Stored steps lie in the shared folder.
 
 Defined results: a NULL text is empty; texts shorter than 200 bytes lose nothing; equal texts of 200 bytes
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm.common import (
@@ -84,8 +85,12 @@ def _stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[first], gram[anchor], union, start - at[text[first]], many
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The row's key, a hash of its text, and the text packed for the shuffles."""
+    """The row's key, the digest of its text, and the text packed for the shuffles."""
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +105,8 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(whole).alias("key"), whole.alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, key long, n_bytes long, packed binary")
+    rows = docs.select(F.col(doc_id).alias("id"), _digest(whole).alias("key"), whole.alias("text"))
+    return rows.mapInArrow(work, f"id {kind}, key binary, n_bytes long, packed binary")
 
 
 def _stretch_rows(docs: DataFrame, text: str) -> DataFrame:
@@ -117,8 +122,8 @@ def _stretch_rows(docs: DataFrame, text: str) -> DataFrame:
             )
 
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.xxhash64(whole).alias("key"), whole.alias("text"))
-    return rows.mapInArrow(work, "gram long, bytes long, key long, place long")
+    rows = docs.select(_digest(whole).alias("key"), whole.alias("text"))
+    return rows.mapInArrow(work, "gram long, bytes long, key binary, place long")
 
 
 def _release(spark: SparkSession) -> None:
@@ -152,7 +157,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = (times[group] > 1) & rows["lone"].to_numpy()[owner]
         if not hit.any():
             return
-        key = rows["key"].to_numpy()[owner[hit]]
+        texts = rows["key"].combine_chunks().dictionary_encode()
+        key = texts.indices.to_numpy()[owner[hit]]
         start = (place >> 8)[owner[hit]] + number[hit]
         order = np.lexsort((start, key))
         key, start = key[order], start[order]
@@ -161,7 +167,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(key)) - 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[first]), pa.array(start[first]), pa.array(start[last] + LENGTH)], ["key", "low", "high"]
+            [texts.dictionary.take(pa.array(key[first])), pa.array(start[first]), pa.array(start[last] + LENGTH)], ["key", "low", "high"]
         )
 
     for batch in batches:
@@ -192,7 +198,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, ``low``, ``high``): byte ranges under repeated windows, by text hash; they may overlap."""
+    """(``key``, ``low``, ``high``): byte ranges under repeated windows, by digest of the text; they may overlap."""
     spark = docs.sparkSession
     rows = _stretch_rows(docs, text)
     # aggregated by a struct, so that the join can still split a frequent gram
@@ -228,7 +234,7 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 spans = [raw[p >> 8 : (p >> 8) + (p & 255) + LENGTH - 1] for p in place.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        wants.field("gram"), pa.array(np.full(len(place), batch["key"][i].as_py(), np.int64)),
+                        wants.field("gram"), batch["key"].take(pa.array(np.full(len(place), i))),
                         wants.field("place"), wants.field("lone"), wants.field("many"), pa.array(spans, pa.binary()),
                     ],
                     ["gram", "key", "place", "lone", "many", "stretch"],
@@ -236,17 +242,17 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     pieces = stored(
         wanted.join(texts, "key").mapInArrow(
-            cut_out, "gram long, key long, place long, lone boolean, many boolean, stretch binary"
+            cut_out, "gram long, key binary, place long, lone boolean, many boolean, stretch binary"
         ),
         "pieces",
     )
     _release(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = pieces.where(~F.col("many")).drop("many").repartition(parts, "gram").sortWithinPartitions("gram")
-    ranges = whole.union(few.mapInArrow(_compare, "key long, low long, high long"))
+    ranges = whole.union(few.mapInArrow(_compare, "key binary, low long, high long"))
     windows = pieces.where("many").drop("many")
     if not windows.isEmpty():
-        dealt = windows.mapInArrow(_explode, "window long, key long, low long, lone boolean")
+        dealt = windows.mapInArrow(_explode, "window long, key binary, low long, lone boolean")
         again = dealt.groupBy(F.struct("window").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g.window")
         hit = dealt.where("lone").join(again, "window")
         ranges = ranges.union(hit.select("key", "low", (F.col("low") + LENGTH).alias("high")))
@@ -276,7 +282,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     by_text = ranges.groupBy(F.struct("key").alias("g")).agg(
         F.collect_list("low").alias("low"), F.collect_list("high").alias("high")
     )
-    merged = by_text.select("g.key", "low", "high").mapInArrow(_merge, "key long, low array<long>, high array<long>")
+    merged = by_text.select("g.key", "low", "high").mapInArrow(_merge, "key binary, low array<long>, high array<long>")
     joined = _keyed(docs, doc_id, text).join(merged, "key", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
