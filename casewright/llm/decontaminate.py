@@ -3,9 +3,13 @@
 Words are compared without ASCII case and punctuation. Five words in a row are a seed. Documents that
 share a seed with a benchmark item are joined to it; then tiles are placed, longest first: matching
 windows are found by rolling hashes of one search length, extended while both sides match and are free, and
-marked without overlap; the length is raised to a much longer match when one shows up, and otherwise
-halved down to five. An item is leaked where tiles cover at least half of its words, in whatever order its
-passages stand.
+marked without overlap, and what a longer tile leaves of a match is taken up again by its size; the length is
+halved down to five. Only the left ends of matches are looked at, so long runs of one word stay cheap. An item
+is leaked where tiles cover at least half of its words, in whatever order its passages stand.
+
+A tile of L words holds L - 4 seeds, a fifth of L at least, so a leaked item of m words shares m / 10 of its places with
+the text. An item is therefore joined by its rarest seeds only, all but m / 10 - 1 of its places: phrases that are
+common to many documents and items pair nothing, and no leaked item is lost.
 
 A bit filter of the benchmark's seeds, at most 8 MB whatever the benchmark's size, keeps most documents out of the
 join; the join itself is on the seeds and exact. Equal texts are tiled once.
@@ -16,15 +20,16 @@ keys are kept as they are; repeated rows keep a row each; empty tables leak noth
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.llm.common import (
-    BASE_INVERSE, GOLDEN, blocks, fresh, mix, powers, prefix_hash, span_hash, stored, word_hashes,
+    BASE_INVERSE, GOLDEN, blocks, fresh, mix, powers, prefix_hash, runs, span_hash, stored, word_hashes,
 )
 
 SEED, COVERAGE, FIRST_SEARCH = 5, 0.5, 20
@@ -44,7 +49,10 @@ def seeds_of(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def tile(text: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place in the text, place in the item, words) of the tiles between two sequences of word hashes."""
+    """(place in the text, place in the item, words) of the tiles between two sequences of word hashes.
+
+    The longest match of free words is marked first, of equal ones the leftmost in the text, then in the item.
+    """
     n, m = len(text), len(item)
     if min(n, m) < SEED:
         return []
@@ -54,38 +62,57 @@ def tile(text: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
     hashes = [(prefix_hash(x), powers(BASE_INVERSE, len(x) + 1)) for x in (text, item)]
     free_text, free_item = np.ones(n, bool), np.ones(m, bool)
     tiles: list[tuple[int, int, int]] = []
-    search = min(FIRST_SEARCH, m)
+    search = min(FIRST_SEARCH, n, m)
     while True:
-        windows: dict[int, list[int]] = {}
-        own = np.arange(m - search + 1)
-        for j, h in zip(own.tolist(), span_hash(hashes[1][0], own, own + search, hashes[1][1]).tolist(), strict=True):
-            if free_item[j : j + search].all():
-                windows.setdefault(h, []).append(j)
-        here = starts[starts + search <= n]
-        matches, longer = [], 0
-        for i, h in zip(here.tolist(), span_hash(hashes[0][0], here, here + search, hashes[0][1]).tolist(), strict=True):
-            for j in windows.get(h, ()):
-                size = _extent(text, item, free_text, free_item, i, j)
-                if size > 2 * search and size > longer:
-                    longer = size
-                if size >= search:
-                    matches.append((-size, i, j))
-        if longer:
-            search = longer
-            continue
-        for size, i, j in sorted(matches):
-            if free_text[i : i - size].all() and free_item[j : j - size].all():
+        own = _windows(item, np.arange(m - search + 1), free_item, search, *hashes[1])
+        here = _windows(text, starts[starts + search <= n], free_text, search, *hashes[0])
+        matches = []
+        for i, j in _left_ends(here, own):
+            size = _extent(text, item, free_text, free_item, i, j)
+            if size >= search:
+                matches.append((-size, i, j))
+        heapq.heapify(matches)
+        while matches:
+            size, i, j = heapq.heappop(matches)
+            free = free_text[i : i - size] & free_item[j : j - size]
+            if free.all():
                 free_text[i : i - size] = free_item[j : j - size] = False
                 tiles.append((i, j, -size))
-        if any(
-            _extent(text, item, free_text, free_item, i, j) >= search for _, i, j in matches
-        ):
-            continue  # parts of matches that a longer one cut into
+                continue
+            # what longer tiles left of it
+            for low, high in zip(*runs(free, np.array([0, -size])), strict=True):
+                if high - low >= search:
+                    heapq.heappush(matches, (int(low - high), i + int(low), j + int(low)))
         if search == SEED:
             return tiles
         search = max(SEED, search // 2)
 
 
+def _windows(
+    words: np.ndarray, start: np.ndarray, free: np.ndarray, search: int, prefix: np.ndarray, inverse: np.ndarray
+) -> Iterator[tuple[int, int, int | None]]:
+    """Start and hash of each window of free words, and the free word before it."""
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    start = start[taken[start + search] == taken[start]]
+    hashes = span_hash(prefix, start, start + search, inverse)
+    before = [words[i - 1].item() if i and free[i - 1] else None for i in start.tolist()]
+    return zip(start.tolist(), hashes.tolist(), before, strict=True)
+
+
+def _left_ends(
+    here: Iterator[tuple[int, int, int | None]], own: Iterator[tuple[int, int, int | None]]
+) -> Iterator[tuple[int, int]]:
+    """Pairs of windows of one hash that no equal free words precede: the others lie within a match that begins earlier."""
+    windows: dict[int, dict[int | None, list[int]]] = {}
+    for j, h, before in own:
+        windows.setdefault(h, {}).setdefault(before, []).append(j)
+    for i, h, before in here:
+        for other, places in windows.get(h, {}).items():
+            if before is None or before != other:
+                for j in places:
+                    yield i, j
+
+
 def _extent(text: np.ndarray, item: np.ndarray, free_text: np.ndarray, free_item: np.ndarray, i: int, j: int) -> int:
     most = min(len(text) - i, len(item) - j)
     same = (text[i : i + most] == item[j : j + most]) & free_text[i : i + most] & free_item[j : j + most]
@@ -104,18 +131,22 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
         for block in blocks(batches):
             words, at = word_hashes(block.column(1))
             seeds, inside = seeds_of(words, at)
-            rows = [(words[a:b], np.unique(seeds[a:b][inside[a:b]])) for a, b in zip(at[:-1], at[1:], strict=True)]
+            rows = [
+                (words[a:b], *np.unique(seeds[a:b][inside[a:b]], return_counts=True))
+                for a, b in zip(at[:-1], at[1:], strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column(0),
-                    pa.array([w.tobytes() for w, _ in rows], pa.binary()),
-                    pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64())),
+                    pa.array([w.tobytes() for w, *_ in rows], pa.binary()),
+                    pa.array([s.view(np.int64) for _, s, _ in rows], pa.list_(pa.int64())),
+                    pa.array([n for *_, n in rows], pa.list_(pa.int64())),
                 ],
-                ["item", "item_words", "seeds"],
+                ["item", "item_words", "seeds", "times"],
             )
 
     rows = benchmark.select(item_id, F.col(text).alias("text"))
-    return rows.mapInArrow(work, f"item {kind}, item_words binary, seeds array<long>")
+    return rows.mapInArrow(work, f"item {kind}, item_words binary, seeds array<long>, times array<long>")
 
 
 def _filter(seeds: DataFrame) -> np.ndarray:
@@ -172,6 +203,25 @@ def _touched(keyed: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return keyed.select("key", "text").mapInArrow(work, "key binary, words binary, seeds array<long>")
 
 
+def _rarest(items: DataFrame, text_seeds: DataFrame) -> DataFrame:
+    """(``item``, ``item_key``, ``seed``): the seeds one of which every text shares that holds enough of the item."""
+    each = items.select(
+        "item", F.md5("item_words").alias("item_key"), (F.octet_length("item_words") / 8).cast("long").alias("size"),
+        F.explode(F.arrays_zip("seeds", "times")).alias("s"),
+    ).select("item", "item_key", "size", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")).distinct()
+    found = text_seeds.groupBy("seed").agg(F.count("*").alias("texts"))
+    # over the seeds of one item; those that no text has come first
+    rarest = Window.partitionBy("item", "item_key").orderBy(F.asc_nulls_first("texts"), "seed")
+    before = F.coalesce(F.sum("times").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shared = F.ceil(F.col("size") * COVERAGE / SEED)
+    return (
+        each.join(found, "seed", "left")
+        .withColumn("before", before)
+        .where(F.col("texts").isNotNull() & (F.col("before") <= F.col("size") - SEED + 1 - shared))
+        .select("item", "item_key", "seed")
+    )
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -179,14 +229,11 @@ def leaks(
     whole = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.unhex(F.md5(whole)).alias("key"), whole.alias("text"))
     items = stored(_items(benchmark, item_id, item_text), "items")
-    item_seeds = items.select("item", "item_words", F.explode("seeds").alias("seed"))
-    bitmap = _filter(item_seeds.select("seed"))
+    bitmap = _filter(items.select(F.explode("seeds").alias("seed")))
     touched = stored(_touched(keyed, bitmap).dropDuplicates(["key"]), "touched")
+    text_seeds = touched.select("key", F.explode("seeds").alias("seed"))
     pairs = (
-        touched.select("key", F.explode("seeds").alias("seed"))
-        .join(item_seeds.select("item", F.md5("item_words").alias("item_key"), "seed"), "seed")
-        .select("key", "item", "item_key")
-        .distinct()
+        text_seeds.join(_rarest(items, text_seeds), "seed").select("key", "item", "item_key").distinct()
     )
     texts = items.select("item", F.md5("item_words").alias("item_key"), "item_words").distinct()
     found = pairs.join(

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -223,6 +224,49 @@ def test_tiles_equal_plain_greedy_tiling():
         assert sum(n for *_, n in tiles) == brute_cover(text, item)
 
 
+def test_tiles_of_few_words_equal_plain_greedy_tiling():
+    rng = random.Random(14)
+    for _ in range(80):
+        item, text = ([rng.randrange(rng.choice([1, 2, 3])) for _ in range(rng.randint(1, most))] for most in (40, 70))
+        tiles = decontaminate.tile(np.array(text, np.uint64), np.array(item, np.uint64))
+        assert sum(n for *_, n in tiles) == brute_cover(text, item)
+
+
+def test_long_runs_of_one_word_are_tiled_in_time():
+    begin = time.process_time()
+    assert decontaminate.tile(np.full(20_000, 7, np.uint64), np.full(5_000, 7, np.uint64)) == [(0, 0, 5_000)]
+    assert time.process_time() - begin < 20
+
+
+def test_items_of_common_phrases_lose_no_leak(spark):
+    """Items and texts made of a few phrases that most of them share, against tiles of all pairs."""
+    rng = random.Random(15)
+    phrases = [" ".join(f"p{i}w{k}" for k in range(rng.randint(4, 9))) for i in range(12)]
+    common = [0, 0, 0, 1, 1, *range(12)]
+
+    def said(most):
+        own = [phrases[rng.choice(common)] if rng.random() < 0.7 else f"x{rng.randrange(10**6)}" for _ in range(rng.randint(1, most))]
+        return " ".join(own)
+
+    items = [(i % 37, said(8)) for i in range(40)] + [(None, phrases[2]), (None, phrases[3])]
+    docs = [(i, said(14)) for i in range(120)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS key", "2 AS seed", "3 AS texts")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    codes = {}
+
+    def coded(text):
+        return np.array([codes.setdefault(w, len(codes)) for w in text.split()], np.uint64)
+
+    wanted = set()
+    for _, text in docs:
+        for item, words in items:
+            cover = sum(n for *_, n in decontaminate.tile(coded(text), coded(words))) / len(words.split())
+            if cover >= decontaminate.COVERAGE:
+                wanted.add((hashlib.md5(text.encode()).digest(), item, round(cover, 9)))
+    assert len(wanted) > 100
+    assert {(bytes(r.key), r.item, round(r.coverage, 9)) for r in got} == wanted
+
+
 def test_reordered_passages_are_caught(spark):
     rng = random.Random(13)
     items = [(i, " ".join(f"q{rng.randrange(5000)}" for _ in range(40))) for i in range(30)] + [(30, "too short item"), (31, None)]
