@@ -927,6 +927,12 @@ ORACLE: dict[str, str] = {
     "lookup_company_by_registration": _sql(
         f"SELECT * FROM company WHERE {_fold('registration_number')} = 'hr-42'", "company"
     ),
+    "find_company_by_name": _sql(
+        f"SELECT * FROM company WHERE {_fold('company_name')} = 'customer#000000042'", "company"
+    ),
+    "find_cases_by_status": _sql(
+        f"SELECT * FROM onboarding_case WHERE {_fold('case_status')} = 'inreview'", "onboarding_case"
+    ),
     "lookup_ubo_by_last_name": _sql("SELECT * FROM ubo WHERE rtrim(last_name) = '000000007'", "ubo"),
     "lookup_ownership_by_company": _sql("SELECT * FROM ownership WHERE company_id = 42", "ownership"),
     "cases_by_jurisdiction": "",

@@ -28,6 +28,7 @@ from casewright.operators import (
 )
 from casewright.schema import TABLES
 from casewright.sources.derived import Derived
+from casewright.sources.lookups import find, write_lookup
 from casewright.sources.shared import stored
 from casewright.sources.snapshots import (
     digests,
@@ -397,6 +398,21 @@ def lookup_company_by_registration(t: Derived) -> DataFrame:
     return lookup(t["company"], registration_number="hr-42")
 
 
+@_query
+def find_company_by_name(t: Derived) -> DataFrame:
+    path = shared_dir(t.spark, "companies-by-name")
+    write_lookup(t["company"], "company_name", path)
+    return find(t.spark, path, "company_name", "customer#000000042 ")
+
+
+@_query
+def find_cases_by_status(t: Derived) -> DataFrame:
+    """One of few texts that many rows share."""
+    path = shared_dir(t.spark, "cases-by-status")
+    write_lookup(t["onboarding_case"], "case_status", path)
+    return find(t.spark, path, "case_status", "InReview")
+
+
 @_query
 def lookup_ubo_by_last_name(t: Derived) -> DataFrame:
     return lookup(t["ubo"], last_name="000000007")
