@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from casewright.functions.text import text_eq
 from casewright.operators.overview import onboarding_overview
 from casewright.schema import TABLES
+from casewright.sources.shared import shared_dir, stored
 
 Tables = Mapping[str, DataFrame]
 
@@ -47,12 +48,24 @@ def archive_closed_cases(tables: Tables, running_path: str, archive_path: str, r
     stores nothing twice. ``running_path`` must not be where the tables are read from.
     """
     _, closed = split_closed(tables["onboarding_case"])
-    ids = closed.select("case_id").distinct()
+    ids = stored(closed.select("case_id").distinct().withColumn("_closed", F.lit(True)), "closed-cases")
     for name in CASE_TABLES:
-        rows = tables[name]
-        archived = rows.join(ids, "case_id", "left_semi")
+        archived, kept = _split(tables[name], ids)
         archived.write.mode("overwrite").parquet(f"{archive_path}/{name}/run={run}")
-        rows.join(ids, "case_id", "left_anti").write.mode("overwrite").parquet(f"{running_path}/{name}")
+        kept.write.mode("overwrite").parquet(f"{running_path}/{name}")
+
+
+def _split(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the cases in ``ids``, and the others.
+
+    Rows meet the ids once, and the ids are what is hashed, so that rows are moved once and never sorted.
+    """
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession, "split")
+    marked = rows.join(ids.hint("shuffle_hash"), "case_id", "left")
+    marked = marked.select(*rows.columns, F.coalesce("_closed", F.lit(False)).alias("_closed"))
+    marked.write.partitionBy("_closed").parquet(path)
+    both = spark.read.schema(marked.schema).parquet(path)
+    return both.filter("_closed").drop("_closed"), both.filter("NOT _closed").drop("_closed")
 
 
 def read_archive(spark: SparkSession, archive_path: str, name: str) -> DataFrame:

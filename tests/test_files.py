@@ -229,3 +229,14 @@ def test_stream_batch_run_again_adds_nothing(spark):
     _stream(spark, tables, out, f"{base}/cp2", feed)
     for name, rows in first.items():
         assert sorted(map(str, read_output(spark, out, name).collect())) == sorted(map(str, rows))
+
+
+def test_archive_moves_rows_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (3, "d")], "case_id bigint, v string")
+    ids = spark.createDataFrame([(1, True), (None, True), (4, True)], "case_id bigint, _closed boolean")
+    archived, kept = archive._split(rows, ids)
+    assert sorted(r.v for r in archived.collect()) == ["a", "a"]
+    assert sorted(r.v for r in kept.collect()) == ["b", "c", "d"]
+    assert archived.columns == rows.columns == kept.columns
+    # both are read from files: the join has run
+    assert all("Join" not in part._jdf.queryExecution().toString() for part in (archived, kept))
