@@ -87,3 +87,18 @@ def test_late_requests(spark):
     assert sorted(r.request_id for r in aside) == sorted(late)
     ids = [r.submitted_document_id for r in keyed_workflow.read_output(spark, f"{base}/out", "documents").collect()]
     assert len(ids) == len(set(ids)) == sum(v[0] == "ACCEPTED" and r[1] == "submit" for v, r in ((got[x[1]], x[2]) for x in on_time))
+
+
+def test_only_cases_with_changes_enter_the_store(spark):
+    rows = _random_rows(random.Random(13))
+    tables, base = world(spark, **rows), shared_dir(spark, "keyed")
+    case = rows["onboarding_case"][0]["case_id"]
+    asked = [(1, "status", case, None, None, "nowhere"), (2, "status", -5, None, None, "Open"), (3, "submit", None, 1, None, None)]
+    spark.createDataFrame(asked, request_feed.REQUEST_SCHEMA).write.parquet(f"{base}/feed")
+    stream = spark.readStream.schema(request_feed.REQUEST_SCHEMA).parquet(f"{base}/feed")
+    query = keyed_workflow.follow_cases(stream, tables, f"{base}/out", f"{base}/cp", AS_OF)
+    query.awaitTermination()
+    verdicts = keyed_workflow.read_output(spark, f"{base}/out", "verdicts").collect()
+    assert {r.request_id: r.code for r in verdicts} == {1: "INVALID", 2: "NOT_FOUND", 3: "CASE_NOT_FOUND"}
+    assert len(rows["onboarding_case"]) > 1
+    assert max(s.numRowsTotal for p in query.recentProgress for s in p.stateOperators) == 0
