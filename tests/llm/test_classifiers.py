@@ -189,3 +189,30 @@ def test_rows_beyond_the_pool_teach(spark, monkeypatch):
     model = quality.fit(docs, labels)
     good, bad = model.metadata.odds(quality.metadata_bags(["en", "en"], ["p", "q"], [60, 60]))
     assert good - bad > 0.5
+
+
+def test_thresholds_come_from_all_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [r[1:5] for r in _quality_rows(rng, 700)] + [(None, None, None, None), ("", "en", "a", 0), ("$$$ " * 300, "de", "x", 1200)]
+    rest = spark.createDataFrame(rows, "text string, lang string, source string, n_chars long").repartition(3)
+    number = np.random.default_rng(0)
+    models = tuple(quality.Logistic(number.normal(size=n), 0.1) for n in (quality.BUCKETS + quality.SHAPES * 9, quality.META_BUCKETS))
+    texts, *metadata = zip(*rows)
+    views = quality.content_bags(pa.array([t or "" for t in texts], pa.large_string())), quality.metadata_bags(*metadata)
+    odds = [np.sort(model.odds(view)) for model, view in zip(models, views)]
+    most = round(quality.SHARE * len(rows))
+    wanted = [[o[most - 1], o[-most]] for o in odds]
+    bags = quality.packed(rest)
+    for pool in (quality.POOL, 100, 1):
+        monkeypatch.setattr(quality, "POOL", pool)
+        assert np.allclose(quality.thresholds(models, bags), wanted, rtol=1e-9)
+    assert np.isinf(quality.thresholds(models, bags.limit(0))).all()
+
+
+def test_selected_is_exact_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(quality, "POOL", 3)
+    numbers = np.array([0.0, -0.0, 1.5, 1.5, 1.5, 1.5, -2.25, -2.25, 1e-300, -1e-300, 7, -7, 1.5000000000000002, 30, -30] * 3)
+    codes = quality.order_codes(numbers)
+    frame = spark.createDataFrame([(int(c),) for c in codes], "a long")
+    got = quality.selected(frame, [("a", k) for k in range(len(numbers))])
+    assert [quality.from_code(c) for c in got] == sorted(numbers.tolist())
