@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from casewright.functions.dates import not_ended, valid_on
 from casewright.functions.rules import full_name, is_reportable, owner_flag, ownership_type
-from casewright.functions.shuffles import distinct_apart, grouped_apart
+from casewright.functions.shuffles import distinct_apart, fine_shuffles, grouped_apart
 from casewright.operators.overview import company_profile
+from casewright.sources.shared import stored
 
 Tables = Mapping[str, DataFrame]
 
@@ -95,14 +96,22 @@ def reportable_at_onboarding(tables: Tables) -> DataFrame:
     valid, from running totals of case openings: a holding covers the cases
     up to its end less those before its start. Cases and holdings of a
     company never meet as pairs. A running total has one row per company and
-    day, so its window is bounded by the calendar.
+    day, so its window is bounded by the calendar. The holdings and the result
+    are stored, in shuffles fine enough that the memory of a task does not
+    follow the size of the tables.
     """
+    with fine_shuffles(tables["ownership"].sparkSession):
+        return stored(_reportable_at_onboarding(tables), "reportable-at-onboarding")
+
+
+def _reportable_at_onboarding(tables: Tables) -> DataFrame:
     holding = (
         tables["ownership"]
         .filter(is_reportable(F.col("ownership_percentage")))
         .select("company_id", "ubo_id", "ownership_percentage", "valid_from", "valid_to")
         .withColumn("_eve", F.date_sub("valid_from", 1))
     )
+    holding = stored(holding, "reportable-holdings")
     opened = (
         tables["onboarding_case"]
         .groupBy("company_id", F.col("case_open_date").alias("day"))

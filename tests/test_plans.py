@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from casewright.functions import shuffles
 from casewright.operators import archive, gaps, integrity, overview, ownership, review
 from casewright.sources.snapshots import restore, shared_dir, snapshot
 from casewright.sources.tables import lookup
@@ -87,3 +88,20 @@ def test_documents_are_counted_before_the_join(tables):
 def test_jurisdiction_layout_rebalances(tables):
     plan = _plan(archive.by_jurisdiction(tables))
     assert "REBALANCE_PARTITIONS_BY_COL" in plan
+
+
+def test_reportable_at_onboarding_shuffles_finely(spark, monkeypatch):
+    """A task's share does not follow the session's number of shuffle partitions."""
+    plans, before = [], spark.conf.get(shuffles.INITIAL, None)
+    plain = ownership.stored
+
+    def noted(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, purpose)
+
+    monkeypatch.setattr(ownership, "stored", noted)
+    ownership.reportable_at_onboarding(world(spark))
+    assert spark.conf.get(shuffles.INITIAL, None) == before
+    counts = [int(n) for plan in plans for n in re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan)]
+    assert counts and min(counts) >= shuffles.FINE
+    assert not any(re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", plan) for plan in plans)
