@@ -18,6 +18,8 @@ __all__ = ["restore", "shared_dir", "snapshot", "snapshot_path", "stored"]
 
 #: Buckets of a table by its key, the unit of a snapshot of changes.
 BUCKETS = 64
+#: Bits of the lower half of a digest's number.
+HALF = 30
 DIGESTS = "table_name string, bucket bigint, n bigint, low string, high string, held_in string"
 
 
@@ -60,11 +62,20 @@ def table_digests(rows: DataFrame, name: str) -> DataFrame:
     texts = [F.col(c.name).cast("string") for c in table.columns]
     told = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts]
     rows = rows.select(_bucket(table.key).alias("bucket"), F.md5(F.concat_ws("|", *told)).alias("md5"))
-    low, high = (
-        F.sum(F.conv(F.substring("md5", start, 15), 16, 10).cast("decimal(38,0)")).cast("string") for start in (1, 16)
-    )
-    sums = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), low.alias("low"), high.alias("high"))
-    return sums.select(F.lit(name).alias("table_name"), "bucket", "n", "low", "high")
+    numbers = [F.conv(F.substring("md5", start, 15), 16, 10).cast("bigint").alias(c) for start, c in ((1, "low"), (16, "high"))]
+    # the 60 bits of a row are added in two halves as long numbers, which are exact for 2 ** 33 rows
+    halves = [
+        F.sum(half).alias(f"{c}_{k}")
+        for c in ("low", "high")
+        for k, half in enumerate((F.col(c).bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftright(c, HALF)))
+    ]
+    sums = rows.select("bucket", *numbers).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *halves)
+
+    def whole(c: str) -> Column:
+        high = F.col(f"{c}_1").cast("decimal(20,0)") * F.lit(1 << HALF).cast("decimal(10,0)")
+        return (high + F.col(f"{c}_0").cast("decimal(20,0)")).cast("string").alias(c)
+
+    return sums.select(F.lit(name).alias("table_name"), "bucket", "n", whole("low"), whole("high"))
 
 
 def digests(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -88,11 +99,15 @@ def snapshot_changes(tables: Mapping[str, DataFrame], path: str, previous: str |
     old = spark.createDataFrame([], DIGESTS) if previous is None else read_digests(spark, previous)
     held = now.join(old, same, "left").withColumn("held_in", F.coalesce("held_in", F.lit(path)))
     held = stored(held.select(*same, "held_in"), "held-digests")
+    # at most BUCKETS rows a table
+    changed: dict[str, list[int]] = {}
+    for r in held.where(F.col("held_in") == path).select("table_name", "bucket").collect():
+        changed.setdefault(r.table_name, []).append(r.bucket)
     for name, table in TABLES.items():
-        changed = held.where((F.col("table_name") == name) & (F.col("held_in") == path)).select("bucket")
+        buckets = changed.get(name, [])
         rows = tables[name].select([c.name for c in table.columns]).withColumn("bucket", _bucket(table.key))
-        # at most BUCKETS rows
-        kept = rows.join(F.broadcast(changed), "bucket", "left_semi")
+        # a table without changes is not read again; else the condition reaches the table below its joins
+        kept = rows.where(F.col("bucket").isin(buckets)) if buckets else spark.createDataFrame([], rows.schema)
         # few files per bucket; a large bucket is cut
         kept.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
     held.coalesce(1).write.mode("overwrite").parquet(f"{path}/digests")

@@ -1,5 +1,7 @@
 """Loading, appending, emptying, snapshots, layouts, the SQL surface and the stream."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +242,35 @@ def test_archive_moves_rows_once(spark):
     assert archived.columns == rows.columns == kept.columns
     # both are read from files: the join has run
     assert all("Join" not in part._jdf.queryExecution().toString() for part in (archived, kept))
+
+
+def test_tables_without_changes_are_read_once_for_a_snapshot(spark):
+    base, tables = shared_dir(spark, "unchanged"), world(spark)
+    snapshots.snapshot_changes(tables, f"{base}/1")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    ubo = tables["ubo"]
+    again = snapshots.snapshot_changes(tables | {"ubo": ubo.mapInArrow(counted, ubo.schema)}, f"{base}/2", f"{base}/1")
+    assert {r.held_in for r in again.collect()} == {f"{base}/1"}
+    assert seen.value == ubo.count()
+
+
+def test_digest_sums_of_many_rows_are_exact(spark):
+    rows = [(i * snapshots.BUCKETS, i, "a", None, "b", "t") for i in range(500)]
+    schema = "external_source_id bigint, c int, source_name string, d int, source_country string, source_type string"
+    got = snapshots.table_digests(spark.createDataFrame(rows, schema), "external_source").collect()
+    columns = [c.name for c in snapshots.TABLES["external_source"].columns]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def told(row):
+        values = [dict(zip(names, row))[c] for c in columns]
+        return "|".join("-" if v is None else f"{len(str(v))}:{v}" for v in values)
+
+    md5 = [hashlib.md5(told(row).encode()).hexdigest() for row in rows]
+    low, high = (str(sum(int(m[k : k + 15], 16) for m in md5)) for k in (0, 15))
+    assert [tuple(r) for r in got] == [("external_source", 0, len(rows), low, high)]
