@@ -1,6 +1,7 @@
 """Byte-level BPE against the tiktoken library."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -51,6 +52,27 @@ def test_every_piece_is_reached_by_merges():
     assert tokens.tolist() == list(range(len(pieces))) and begins.tolist() == list(range(len(pieces) + 1))
 
 
+def test_merging_of_words_by_definition_in_little_memory():
+    rng, ranks = random.Random(3), bpe.read_ranks(PATH)
+    words = ["".join(rng.choice("aabcdeeinorst") for _ in range(rng.randint(0, 12))).encode() for _ in range(20_000)]
+    words += [b"", b"a" * 301, "\u00e9\u00e8".encode() * 20, b""]
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    data, table = np.frombuffer(b"".join(words), np.uint8), bpe.rank_table(PATH)
+    tracemalloc.start()
+    tokens, begins = bpe.fold_words(data, at, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * len(data)
+    for i in [*range(500), *range(20_000, len(words))]:
+        parts = [words[i][k : k + 1] for k in range(len(words[i]))]
+        while len(parts) > 1:
+            rank, k = min((ranks.get(a + b, 1 << 40), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == 1 << 40:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert tokens[begins[i] : begins[i + 1]].tolist() == [ranks[p] for p in parts], words[i]
+
+
 def test_odd_rows(spark, library):
     rows = bpe.encode(odd_documents(spark), PATH).collect()
     assert len(rows) == len(ODD_TEXTS) + 3
