@@ -102,3 +102,26 @@ def test_only_cases_with_changes_enter_the_store(spark):
     assert {r.request_id: r.code for r in verdicts} == {1: "INVALID", 2: "NOT_FOUND", 3: "CASE_NOT_FOUND"}
     assert len(rows["onboarding_case"]) > 1
     assert max(s.numRowsTotal for p in query.recentProgress for s in p.stateOperators) == 0
+
+
+def test_cases_share_keys_of_the_store(spark):
+    """Waiting requests and changed cases take rows of the store by key, not one or more each."""
+    rows, n = _random_rows(random.Random(14)), 400
+    rows["onboarding_case"] = [dict(case_id=c, company_id=1, case_status="Open") for c in range(1, n + 1)]
+    asked = [
+        (2 * c + turn, "status", c, None, None, "InReview" if turn else "Open", DAY + turn * HOUR, DAY + turn * HOUR)
+        for c in range(1, 2 * n + 1)
+        for turn in (0, 1)
+    ]
+    tables, base, kept = world(spark, **rows), shared_dir(spark, "keyed"), []
+    end = [(0, keyed_workflow.CLOCK, None, None, None, None, None, DAY + 9 * HOUR)]
+    for part in (asked, end):
+        spark.createDataFrame(part, keyed_workflow.TIMED_SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/feed")
+        stream = spark.readStream.schema(keyed_workflow.TIMED_SCHEMA).parquet(f"{base}/feed")
+        query = keyed_workflow.follow_cases(stream, tables, f"{base}/out", f"{base}/cp", AS_OF, wait=2 * HOUR)
+        query.awaitTermination()
+        kept += [s.numRowsTotal for p in query.recentProgress for s in p.stateOperators]
+    got = {r.request_id: r.code for r in keyed_workflow.read_output(spark, f"{base}/out", "verdicts").collect()}
+    assert got == {r[0]: "NOT_FOUND" if r[2] > n else "ACCEPTED" if r[0] % 2 else "INVALID" for r in asked}
+    # of each key its cases, waiting requests and timers
+    assert 0 < max(kept) < 10 * keyed_workflow.SPREAD < 2 * n
