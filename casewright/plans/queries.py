@@ -571,11 +571,11 @@ def stream_keyed_verdicts(t: Derived) -> DataFrame:
     feed, out = f"{base}/feed", f"{base}/out"
     requests = t["workflow_requests"]
     low, high = requests.approxQuantile("request_id", [0.33, 0.67], 0.01)
-    request_id = F.col("request_id")
+    request_id, owners = F.col("request_id"), stored(gaps.reportable_owners(t), "reportable-owners")
     for part in (request_id <= low, (request_id > low) & (request_id <= high), request_id > high):
         requests.filter(part).write.mode("append").parquet(feed)
         stream = t.spark.readStream.schema(request_feed.REQUEST_SCHEMA).parquet(feed)
-        keyed_workflow.follow_cases(stream, t, out, f"{base}/checkpoint", AS_OF).awaitTermination()
+        keyed_workflow.follow_cases(stream, t, out, f"{base}/checkpoint", AS_OF, owners=owners).awaitTermination()
     return keyed_workflow.read_output(t.spark, out, "verdicts").drop("batch_id")
 
 
@@ -590,6 +590,7 @@ def stream_late_verdicts(t: Derived) -> DataFrame:
     base = shared_dir(t.spark, "late-stream")
     feed, out = f"{base}/feed", f"{base}/out"
     requests = stored(t["timed_requests"], "timed-requests")
+    owners = stored(gaps.reportable_owners(t), "reportable-owners")
     received = F.col("received_at")
     first, second = (F.lit(day).cast("timestamp") for day in CUT_DAYS)
     # at last the clock moves on, so that all requests are released
@@ -602,7 +603,8 @@ def stream_late_verdicts(t: Derived) -> DataFrame:
     for part in [*parts, requests.limit(0).unionByName(end, allowMissingColumns=True)]:
         part.write.mode("append").parquet(feed)
         stream = t.spark.readStream.schema(keyed_workflow.TIMED_SCHEMA).parquet(feed)
-        keyed_workflow.follow_cases(stream, t, out, f"{base}/checkpoint", AS_OF, wait=WAIT).awaitTermination()
+        query = keyed_workflow.follow_cases(stream, t, out, f"{base}/checkpoint", AS_OF, wait=WAIT, owners=owners)
+        query.awaitTermination()
     verdicts = keyed_workflow.read_output(t.spark, out, "verdicts")
     late = keyed_workflow.read_output(t.spark, out, "late").withColumn("code", F.lit(keyed_workflow.LATE))
     columns = ["request_id", "kind", "case_id", "code", "message", "missing_after"]

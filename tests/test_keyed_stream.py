@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from casewright.sources.snapshots import shared_dir
@@ -125,3 +126,26 @@ def test_cases_share_keys_of_the_store(spark):
     assert got == {r[0]: "NOT_FOUND" if r[2] > n else "ACCEPTED" if r[0] % 2 else "INVALID" for r in asked}
     # of each key its cases, waiting requests and timers
     assert 0 < max(kept) < 10 * keyed_workflow.SPREAD < 2 * n
+
+
+def test_owners_are_not_found_again_in_each_micro_batch(spark):
+    """What is joined to the requests reads the stored pairs of company and owner, not all holdings."""
+    rows = _random_rows(random.Random(15))
+    tables, base = world(spark, **rows), shared_dir(spark, "keyed")
+    tables["ownership"].write.parquet(f"{base}/all-holdings")
+    tables["ownership"] = spark.read.schema(tables["ownership"].schema).parquet(f"{base}/all-holdings")
+    spark.createDataFrame([(1, "submit", 1, 1, 1, None)], request_feed.REQUEST_SCHEMA).write.parquet(f"{base}/feed")
+    stream = spark.readStream.schema(request_feed.REQUEST_SCHEMA).parquet(f"{base}/feed")
+    query = keyed_workflow.follow_cases(stream, tables, f"{base}/out", f"{base}/cp", AS_OF)
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(True)
+    assert "reportable-owners" in plan and "all-holdings" not in plan
+
+
+def test_values_of_columns():
+    columns = [
+        pa.array([1, None, 2**62 + 1]), pa.array([True, None, False]), pa.array(["a", None, "", "a"]),
+        pa.array([[1, 2**60], [], None, [1, 2**60]]), pa.array([], pa.int64()), pa.array([None], pa.string()),
+    ]
+    for column in columns:
+        assert keyed_workflow._values(pa.chunked_array([column])) == column.to_pylist()
